@@ -49,8 +49,12 @@ def _tokens(pattern: str):
         i += width
 
 
-def to_java(pattern: str, ignore_case: bool = False) -> str:
-    """Java form of an ECMAScript pattern."""
+def to_java(pattern: str, ignore_case: bool = False, starts: str = "") -> str:
+    """Java form of an ECMAScript pattern.
+
+    ``starts`` names the characters a match can start with; they are looked for before
+    the alternatives are tried one by one, which settles most places in a text.
+    """
     out = []
     for token, inside in _tokens(pattern):
         if token == r"[\s\S]":
@@ -59,10 +63,12 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             out.append(SPACE_CLASS if token == r"\s" else token)
         else:
             out.append(_OUTSIDE.get(token, token))
-    return ("(?i)" if ignore_case else "") + "".join(out)
+    ahead = f"(?=[{starts}])" if starts else ""
+    return ("(?i)" if ignore_case else "") + ahead + "".join(out)
 
 
 def words(alternatives: list[str]) -> str:
     """Java pattern for any of ``alternatives`` (ECMAScript pieces) as whole words."""
     body = "|".join(to_java(a) for a in alternatives)
-    return f"(?<!{WORD})(?:{body})(?!{WORD})"
+    starts = "".join(sorted({a[0] for a in alternatives}))
+    return f"(?=[{starts}])(?<!{WORD})(?:{body})(?!{WORD})"

@@ -10,8 +10,9 @@ from reviewloom.functions.dialect import to_java
 @dataclass(frozen=True)
 class Pattern:
     regex: str  # ECMAScript form
-    needs: tuple[str, ...] = ()  # one of these must be in the text; empty when case is ignored
+    needs: tuple[str, ...] = ()  # one of these must be in the text
     ignore_case: bool = False
+    starts: str = ""  # every match starts with one of these characters, in either case
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,7 @@ class Rule:
 
     @property
     def java(self) -> str:
-        return to_java(self.pattern.regex, self.pattern.ignore_case)
+        return to_java(self.pattern.regex, self.pattern.ignore_case, self.pattern.starts)
 
 
 # The patterns the rules look for.
@@ -39,14 +40,19 @@ PATTERNS = {
     "document_write": Pattern(r"document\.write\s*\(", ("document.write",)),
     "template_sql": Pattern(r"\$\{.*\}.*(?:query|execute|exec)\s*\(", ("${",)),
     "quoted_secret": Pattern(
-        r"""(?:password|secret|api_key|apikey|token)\s*[:=]\s*['"][^'"]+['"]""", ignore_case=True
+        r"""(?:password|secret|api_key|apikey|token)\s*[:=]\s*['"][^'"]+['"]""",
+        ignore_case=True,
+        starts="past",
     ),
     "quoted_secret_short": Pattern(
-        r"""(?:password|secret|api_key|token)\s*[:=]\s*['"][^'"]+['"]""", ignore_case=True
+        r"""(?:password|secret|api_key|token)\s*[:=]\s*['"][^'"]+['"]""",
+        ignore_case=True,
+        starts="past",
     ),
     "logged_secret": Pattern(
         r"""(?:console\.log|console\.debug|console\.warn)\s*\(\s*['"](?:password|token|secret)""",
         ignore_case=True,
+        starts="c",
     ),
     "shell_string_any": Pattern(
         r"""(?:exec|spawn|execSync|spawnSync)\s*\(\s*['"`]""", ("exec", "spawn")
@@ -79,7 +85,9 @@ PATTERNS = {
     "go_exec": Pattern(r"os\.Exec\s*\(", ("os.Exec",)),
     "go_html": Pattern(r"template\.HTML\s*\(", ("template.HTML",)),
     "unsafe_block": Pattern(r"unsafe\s*\{", ("unsafe",)),
-    "delete_from": Pattern(r"(?:DELETE|DROP|TRUNCATE)\s+FROM", ignore_case=True),
+    "delete_from": Pattern(
+        r"(?:DELETE|DROP|TRUNCATE)\s+FROM", ignore_case=True, starts="dt"
+    ),
     "await_chain": Pattern(
         r"(?:await|\.then\().*(?:await|\.then\().*(?:await|\.then\()", ("await", ".then(")
     ),

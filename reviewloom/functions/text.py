@@ -57,7 +57,7 @@ def looks_like_diff(text: Column) -> Column:
 
 def _function_words(names: list[str]) -> str:
     # An arrow counts only between two word characters.
-    return f"(?:{words(names)}|(?<={WORD})=>(?={WORD}))"
+    return f"(?:{words(names)}|=>(?<={WORD}..)(?={WORD}))"
 
 
 def _deepest(text: Column, opening: str, closing: str) -> Column:
@@ -66,12 +66,12 @@ def _deepest(text: Column, opening: str, closing: str) -> Column:
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
 
     def step(acc: Column, ch: Column) -> Column:
-        now = acc["now"] + F.when(F.lit(opening).contains(ch), 1).otherwise(-1)
+        # Text without brackets splits into one empty piece.
+        move = F.when(ch == "", 0).when(F.lit(opening).contains(ch), 1).otherwise(-1)
+        now = acc["now"] + move
         return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
 
-    return F.when(brackets == "", F.lit(0)).otherwise(
-        F.aggregate(F.split(brackets, ""), zero, step, lambda acc: acc["top"])
-    )
+    return F.aggregate(F.split(brackets, ""), zero, step, lambda acc: acc["top"])
 
 
 def _complexity(text: Column, control: list[str], opening: str, closing: str) -> Column:

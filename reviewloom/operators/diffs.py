@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.binding import let
 from reviewloom.functions.dialect import LINE_START, to_java
 from reviewloom.functions.lookup import language
 from reviewloom.functions.text import complexity_of_diff
@@ -43,18 +44,26 @@ def _number(text: Column, index: int) -> Column:
 
 def hunks_array(block: Column) -> Column:
     """Hunks of a block; a body ends before the next line that starts with ``@@``."""
-    heads = F.regexp_extract_all(block, F.lit(_HUNK), 0)
-    bodies = F.slice(F.split(block, _HUNK, -1), 2, F.greatest(F.size(heads), F.lit(1)))
+    found = F.arrays_zip(
+        F.regexp_extract_all(block, F.lit(_HUNK), 0).alias("head"),
+        # Behind each header up to the next one; there is one piece more, before the first.
+        F.slice(F.split(block, _HUNK, -1), 2, 1 << 30).alias("body"),
+    )
+    return let(found, _hunks)
+
 
+def _hunks(found: Column) -> Column:
     def to_the_end(i: Column) -> Column:
         # Rare: the next header is inside a line, so the body runs on through it.
-        later = F.zip_with(heads, bodies, lambda h, b: F.concat(h, b))
-        tail = F.array_join(F.slice(later, i + 2, F.size(heads)), "")
-        return F.substring_index(F.concat(F.get(bodies, i), tail), "\n@@", 1)
+        later = F.transform(
+            F.slice(found, i + 2, F.size(found)), lambda f: F.concat(f["head"], f["body"])
+        )
+        tail = F.array_join(later, "")
+        return F.substring_index(F.concat(F.get(found, i)["body"], tail), "\n@@", 1)
 
-    def hunk(head: Column, i: Column) -> Column:
-        body = F.get(bodies, i)
-        is_last = i == F.size(heads) - 1
+    def hunk(one: Column, i: Column) -> Column:
+        head, body = one["head"], one["body"]
+        is_last = i == F.size(found) - 1
         content = (
             F.when(body.contains("\n@@"), F.substring_index(body, "\n@@", 1))
             .when(is_last, body)
@@ -71,7 +80,7 @@ def hunks_array(block: Column) -> Column:
             content.alias("content"),
         )
 
-    return F.transform(heads, hunk)
+    return F.transform(found, hunk)
 
 
 def diff_hunks(blocks: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ EDGE_WEIGHT = 2
 COUPLED, STRONGLY_COUPLED = 3, 5
 
 
-def _exploded_imports(contents: DataFrame, imports: Column) -> DataFrame:
-    return contents.filter(F.col("content").isNotNull()).select(
+def exploded_imports(contents: DataFrame, imports: Column) -> DataFrame:
+    """One row per import of each file: (analysis_id, source, source_ord, imp_ord, imp)."""
+    return contents.select(
         "analysis_id",
         F.col("path").alias("source"),
         F.col("file_ord").alias("source_ord"),
@@ -34,11 +35,11 @@ def _exploded_imports(contents: DataFrame, imports: Column) -> DataFrame:
 
 
 def imports_pr(contents: DataFrame) -> DataFrame:
-    return _exploded_imports(contents, imports_of_pr_file(F.col("content")))
+    return exploded_imports(contents, imports_of_pr_file(F.col("content")))
 
 
 def imports_repo(contents: DataFrame) -> DataFrame:
-    return _exploded_imports(contents, imports_of_repo_file(F.col("content")))
+    return exploded_imports(contents, imports_of_repo_file(F.col("content")))
 
 
 def _suffix_keys(path: Column) -> Column:
@@ -61,13 +62,13 @@ def _suffix_keys(path: Column) -> Column:
     return F.array_distinct(F.flatten(endings))
 
 
-def edges_pr(contents: DataFrame, pr_files: DataFrame) -> DataFrame:
-    """Edges from files with contents to changed files whose path ends with the import.
+def edges_pr(imports: DataFrame, pr_files: DataFrame) -> DataFrame:
+    """Edges from imports (see ``imports_pr``) to changed files whose path ends with them.
 
     An import that fits a target gives one edge, and two imports that fit it give two.
     """
     # Both joins read the imports; the texts they come from are read once.
-    sources = cut(imports_pr(contents).withColumn("key", F.xxhash64("imp")))
+    sources = cut(imports.withColumn("key", F.xxhash64("imp")))
     wanted = sources.select("analysis_id", "imp", "key").distinct()
     targets = pr_files.select(
         "analysis_id",
@@ -160,16 +161,15 @@ def _target_keys(path: Column) -> Column:
     )
 
 
-def edges_repo(contents: DataFrame, files: DataFrame, resolve_dots: bool = False) -> DataFrame:
-    """Edges from files with contents to files of the repository, one per pair.
+def edges_repo(imports: DataFrame, files: DataFrame, resolve_dots: bool = False) -> DataFrame:
+    """Edges from imports (see ``imports_repo``) to files of the repository, one per pair.
 
     Dots in relative imports are kept as written unless ``resolve_dots`` is set, so by
     default they lead nowhere.  The first import that fits a pair gives its type.
     """
     imp = F.col("imp")
-    sources = (
-        imports_repo(contents.filter(is_repo_file(F.col("path")) & (F.col("content") != "")))
-        .withColumn("key", F.explode(_import_keys(F.col("source"), imp, resolve_dots)))
+    sources = imports.filter(is_repo_file(F.col("source"))).withColumn(
+        "key", F.explode(_import_keys(F.col("source"), imp, resolve_dots))
     )
     targets = files.select(
         "analysis_id",
@@ -194,7 +194,7 @@ def coupling(edges: DataFrame) -> DataFrame:
     """Files with at least three edges going out."""
     return (
         edges.groupBy("analysis_id", "source")
-        .agg(F.count(F.lit(1)).alias("n_edges"))
+        .agg(F.count(F.lit(1)).alias("n_edges"), F.min("source_ord").alias("source_ord"))
         .filter(F.col("n_edges") >= COUPLED)
         .withColumn("severity", F.when(F.col("n_edges") >= STRONGLY_COUPLED, "high").otherwise("medium"))
     )

@@ -18,7 +18,7 @@ from reviewloom.operators.scan import level_counts
 
 def pr_file_metrics(pr_files: DataFrame) -> DataFrame:
     """Measures of the changed files of pull requests, taken from their patches."""
-    patch = F.coalesce("patch", F.lit(""))
+    patch = "coalesce(patch, '')"
     measured = pr_files.select(
         "analysis_id",
         "file_ord",
@@ -26,7 +26,7 @@ def pr_file_metrics(pr_files: DataFrame) -> DataFrame:
         "additions",
         "deletions",
         language(F.col("path")).alias("language"),
-        complexity_of_file(patch).alias("complexity"),
+        complexity_of_file(F.expr(patch)).alias("complexity"),
         *level_counts(patch, rules.PR_SECURITY, "sec"),
         *level_counts(patch, rules.PR_PERFORMANCE, "perf"),
     )
@@ -47,8 +47,11 @@ def _pr_risk() -> Column:
     )
 
 
-def repo_file_metrics(contents: DataFrame) -> DataFrame:
-    """Measures of scanned repository files; their churn is estimated from size and complexity."""
+def repo_file_metrics(contents: DataFrame, *extra: Column) -> DataFrame:
+    """Measures of scanned repository files; their churn is estimated from size and complexity.
+
+    ``extra`` columns over ``content`` are worked out in the same pass.
+    """
     text = F.col("content")
     measured = contents.select(
         "analysis_id",
@@ -57,7 +60,8 @@ def repo_file_metrics(contents: DataFrame) -> DataFrame:
         language(F.col("path")).alias("language"),
         line_count(text).alias("lines"),
         complexity_of_file(text).alias("complexity"),
-        *level_counts(text, rules.REPO_SECURITY, "sec"),
+        *level_counts("content", rules.REPO_SECURITY, "sec"),
+        *extra,
     )
     risk = (
         F.when(F.col("sec_critical") > 0, "critical")
@@ -76,11 +80,10 @@ def repo_file_metrics(contents: DataFrame) -> DataFrame:
 
 def diff_file_metrics(files: DataFrame) -> DataFrame:
     """Measures of the files of a diff (see ``diffs.diff_files``)."""
-    code = F.col("code")
     return files.select(
         *[c for c in files.columns if c != "code"],
-        *level_counts(code, rules.DIFF_SECURITY, "sec"),
-        *level_counts(code, rules.DIFF_PERFORMANCE, "perf"),
+        *level_counts("code", rules.DIFF_SECURITY, "sec"),
+        *level_counts("code", rules.DIFF_PERFORMANCE, "perf"),
     )
 
 
@@ -95,7 +98,7 @@ def code_metrics(submissions: DataFrame) -> DataFrame:
         "analysis_id",
         non_blank_lines(code).cast("int").alias("additions"),
         complexity_of_code(code).alias("complexity"),
-        *level_counts(code, rules.CODE_SECURITY, "sec"),
-        *level_counts(code, rules.CODE_PERFORMANCE, "perf"),
+        *level_counts("code", rules.CODE_SECURITY, "sec"),
+        *level_counts("code", rules.CODE_PERFORMANCE, "perf"),
         F.substring(code, 1, CODE_SHOWN).alias("shown"),
     )

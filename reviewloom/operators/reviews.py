@@ -109,14 +109,14 @@ def _number_small(items: DataFrame, inserted: list[str], ranked: list[str]) -> D
 
 def review_items_pr(pr_files: DataFrame, coupled: DataFrame) -> DataFrame:
     """Unnumbered queue items of pull requests, with the keys they are ordered by."""
-    patch, place = F.coalesce("patch", F.lit("")), basename(F.col("path"))
+    patch, place = "coalesce(patch, '')", basename(F.col("path"))
     scanned = pr_files.select(
         "analysis_id",
         "file_ord",
         "path",
         findings_array(patch, rules.PR_SECURITY).alias("sec"),
         findings_array(patch, rules.PR_PERFORMANCE).alias("perf"),
-        complexity_of_file(patch).alias("complexity"),
+        complexity_of_file(F.expr(patch)).alias("complexity"),
     )
     title = F.concat(
         F.lit("High complexity in "), place, F.lit(" (score: "), F.col("complexity"), F.lit(")")
@@ -135,11 +135,7 @@ def review_items_pr(pr_files: DataFrame, coupled: DataFrame) -> DataFrame:
     )
     n = F.col("n_edges")
     of_graph = (
-        coupled.join(
-            pr_files.select("analysis_id", "file_ord", F.col("path").alias("source")),
-            ["analysis_id", "source"],
-        )
-        .withColumn(
+        coupled.withColumn(
             "item",
             _item(
                 "architecture",
@@ -156,7 +152,9 @@ def review_items_pr(pr_files: DataFrame, coupled: DataFrame) -> DataFrame:
                 F.lit(0),
             ),
         )
-        .select("analysis_id", "file_ord", F.col("source").alias("path"), "item.*")
+        .select(
+            "analysis_id", F.col("source_ord").alias("file_ord"), F.col("source").alias("path"), "item.*"
+        )
     )
     return _ranked(of_files.unionByName(of_graph))
 
@@ -175,13 +173,13 @@ def reviews_pr(items: DataFrame) -> DataFrame:
 
 def reviews_repo(contents: DataFrame) -> DataFrame:
     """Queue of each repository, over the few files chosen to be read (``scan_ord``)."""
-    text, place = F.col("content"), basename(F.col("path"))
+    place = basename(F.col("path"))
     scanned = contents.select(
         "analysis_id",
         "scan_ord",
         "path",
-        findings_array(text, rules.REPO_SECURITY).alias("sec"),
-        complexity_of_file(text).alias("complexity"),
+        findings_array("content", rules.REPO_SECURITY).alias("sec"),
+        complexity_of_file(F.col("content")).alias("complexity"),
     )
     title = F.concat(
         F.lit("High complexity in "), place, F.lit(" ("), F.col("complexity"), F.lit(")")
@@ -203,13 +201,13 @@ def reviews_repo(contents: DataFrame) -> DataFrame:
 
 def reviews_diff(files: DataFrame) -> DataFrame:
     """Queue of each diff (files as from ``diffs.diff_files``); ranked by severity alone."""
-    code, place = F.col("code"), basename(F.col("path"))
+    place = basename(F.col("path"))
     scanned = files.select(
         "analysis_id",
         "file_ord",
         "path",
-        findings_array(code, rules.DIFF_SECURITY).alias("sec"),
-        findings_array(code, rules.DIFF_PERFORMANCE).alias("perf"),
+        findings_array("code", rules.DIFF_SECURITY).alias("sec"),
+        findings_array("code", rules.DIFF_PERFORMANCE).alias("perf"),
     )
     items = scanned.select(
         "analysis_id",
@@ -228,12 +226,11 @@ def reviews_diff(files: DataFrame) -> DataFrame:
 
 def reviews_code(submissions: DataFrame, path: str = "pasted-code") -> DataFrame:
     """Queue of each code submission, sorted inside its row: no shuffle."""
-    code = F.col("code")
     scanned = submissions.select(
         "analysis_id",
-        findings_array(code, rules.CODE_SECURITY).alias("sec"),
-        findings_array(code, rules.CODE_PERFORMANCE).alias("perf"),
-        complexity_of_code(code).alias("complexity"),
+        findings_array("code", rules.CODE_SECURITY).alias("sec"),
+        findings_array("code", rules.CODE_PERFORMANCE).alias("perf"),
+        complexity_of_code(F.col("code")).alias("complexity"),
     )
     title = F.concat(F.lit("High complexity ("), F.col("complexity"), F.lit(")"))
     items = scanned.select(

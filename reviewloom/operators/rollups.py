@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.lookup import color, language
@@ -23,13 +22,12 @@ def churn_totals(files: DataFrame) -> DataFrame:
 def language_stats(languages: DataFrame, n: int = TOP_LANGUAGES) -> DataFrame:
     """The ``n`` languages with most bytes of each repository, with their share and colour.
 
-    ``languages`` has (analysis_id, lang_ord, language, bytes): a repository has few rows.
+    ``languages`` has (analysis_id, lang_ord, language, bytes).
     """
-    total = F.sum("bytes").over(Window.partitionBy("analysis_id"))
-    shares = languages.withColumn("total", F.when(total == 0, 1).otherwise(total))
+    totals = languages.groupBy("analysis_id").agg(F.greatest(F.sum("bytes"), F.lit(1)).alias("total"))
     share = F.floor(F.col("bytes") / F.col("total") * 100 * 10 + F.lit(0.5)) / 10
-    top = first_of_group(shares, ["analysis_id"], [F.desc("bytes"), "lang_ord"], n, "rank")
-    return top.select(
+    top = first_of_group(languages, ["analysis_id"], [F.desc("bytes"), "lang_ord"], n, "rank")
+    return top.join(totals, "analysis_id").select(
         "analysis_id",
         "rank",
         "language",

@@ -4,13 +4,12 @@ Every rule is unrolled into the expression of one projection, with its pattern a
 literal, so a scan reads the text once, needs no shuffle and compiles each pattern once
 per task.  A substring that every match must contain is checked first on the raw bytes;
 most rules are settled there, without decoding the text.
+
+The expressions are written as SQL: a pack is parsed in one go.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,84 +17,74 @@ from reviewloom.functions.rules import Rule
 
 # Put before each match to find its line.  A private-use character matches no pattern
 # token but the negated classes, as does the one that stands in for it if a text has it.
-_MARK, _STAND_IN = "\ue000", "\ue001"
+_MARK, _STAND_IN = "", ""
 
 FINDING = "struct<rule_id:string,kind:string,type:string,level:string,line:int,rule_ord:int,match_ord:int>"
-NO_FINDINGS = f"array<{FINDING}>"
+NO_FINDINGS = f"CAST(array() AS array<{FINDING}>)"
 
+# Levels of the findings of each kind; the prefixes name count columns.
+LEVELS = {
+    "sec": ("critical", "high", "medium", "low"),
+    "perf": ("high", "medium", "low"),
+}
 
-def _possible(text: Column, rule: Rule) -> Column:
-    """A cheap test that is true wherever the rule can match."""
-    if not rule.pattern.needs:
-        return F.lit(True)
-    return reduce(or_, [text.contains(n) for n in rule.pattern.needs])
 
+def quoted(value: str) -> str:
+    """SQL literal of a string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _match_lines(text: Column, rule: Rule) -> Column:
-    """Line of every match, in order of place."""
-    clean = F.when(text.contains(_MARK), F.translate(text, _MARK, _STAND_IN)).otherwise(text)
-    marked = F.regexp_replace(clean, F.lit(rule.java), F.lit(_MARK + "$0"))
-
-    def repeat_line(line: Column, i: Column) -> Column:
-        marks = F.length(line) - F.length(F.replace(line, F.lit(_MARK), F.lit("")))
-        return F.array_repeat(i + 1, marks)
-
-    return F.flatten(F.transform(F.split(marked, "\n", -1), repeat_line))
-
-
-def rule_findings(text: Column, rule: Rule) -> Column:
-    def finding(line: Column, i: Column) -> Column:
-        return F.struct(
-            F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(rule.kind).alias("kind"),
-            F.lit(rule.type).alias("type"),
-            F.lit(rule.level).alias("level"),
-            line.cast("int").alias("line"),
-            F.lit(rule.rule_ord).alias("rule_ord"),
-            (i + 1).cast("int").alias("match_ord"),
-        )
 
-    hit = _possible(text, rule) & text.rlike(rule.java)
-    return F.when(hit, F.transform(_match_lines(text, rule), finding)).otherwise(
-        F.array().cast(NO_FINDINGS)
-    )
+def _possible(text: str, rule: Rule) -> str:
+    """A cheap test that is true wherever the rule can match."""
+    tests = [f"contains({text}, {quoted(n)})" for n in rule.pattern.needs]
+    return f"({' OR '.join(tests)})" if tests else "true"
 
 
-def findings_array(text: Column, pack: list[Rule]) -> Column:
-    """All findings of a pack in one text, rule by rule."""
-    return F.concat(*[rule_findings(text, r) for r in pack])
+def _match_lines(text: str, rule: Rule) -> str:
+    """Line of every match, in order of place."""
+    mark = quoted(_MARK)
+    clean = f"IF(contains({text}, {mark}), translate({text}, {mark}, {quoted(_STAND_IN)}), {text})"
+    marked = f"regexp_replace({clean}, {quoted(rule.java)}, {quoted(_MARK + '$0')})"
+    repeated = f"array_repeat(i + 1, length(l) - length(replace(l, {mark}, '')))"
+    return f"flatten(transform(split({marked}, '\\n', -1), (l, i) -> {repeated}))"
+
+
+def _rule_findings(text: str, rule: Rule) -> str:
+    finding = (
+        f"named_struct('rule_id', {quoted(rule.rule_id)}, 'kind', {quoted(rule.kind)}, "
+        f"'type', {quoted(rule.type)}, 'level', {quoted(rule.level)}, 'line', CAST(line AS INT), "
+        f"'rule_ord', {rule.rule_ord}, 'match_ord', CAST(i + 1 AS INT))"
+    )
+    return (
+        f"CASE WHEN {_possible(text, rule)} AND rlike({text}, {quoted(rule.java)}) "
+        f"THEN transform({_match_lines(text, rule)}, (line, i) -> {finding}) ELSE {NO_FINDINGS} END"
+    )
 
 
-def level_count(text: Column, pack: list[Rule], level: str | None = None) -> Column:
-    """Number of findings of a pack (of one level) without working out their lines."""
-    counts = [
-        F.when(_possible(text, r), F.regexp_count(text, F.lit(r.java))).otherwise(0)
-        for r in pack
-        if level is None or r.level == level
-    ]
-    return reduce(lambda a, b: a + b, counts, F.lit(0)).cast("int")
+def findings_array(text: str, *packs: list[Rule]) -> Column:
+    """All findings of the packs in one text (a SQL expression), rule by rule."""
+    return F.expr(f"concat({', '.join(_rule_findings(text, r) for pack in packs for r in pack)})")
 
 
-LEVELS = {
-    "sec": ("critical", "high", "medium", "low"),
-    "perf": ("high", "medium", "low"),
-}
+def level_counts(text: str, pack: list[Rule], prefix: str) -> list[Column]:
+    """Findings of a pack by level, without their lines: ``<prefix>_<level>`` columns."""
 
+    def count(rule: Rule) -> str:
+        return (
+            f"IF({_possible(text, rule)}, regexp_count({text}, {quoted(rule.java)}), 0)"
+        )
 
-def level_counts(text: Column, pack: list[Rule], prefix: str) -> list[Column]:
-    """One count column per level of a kind (sec, perf), named ``<prefix>_<level>``."""
-    return [
-        level_count(text, pack, level).alias(f"{prefix}_{level}") for level in LEVELS[prefix]
-    ]
+    columns = []
+    for level in LEVELS[prefix]:
+        terms = [count(r) for r in pack if r.level == level]
+        columns.append(F.expr(f"CAST({' + '.join(terms) or '0'} AS INT)").alias(f"{prefix}_{level}"))
+    return columns
 
 
 def scan(files: DataFrame, pack: list[Rule], text: str = "content") -> DataFrame:
-    """One row per match of any rule of ``pack``; the other columns of ``files`` are kept.
-
-    ``files`` should be keyed by (analysis_id, path, file_ord) or a subset.
-    """
+    """One row per match of any rule of ``pack``; the other columns of ``files`` are kept."""
     keys = [F.col(c) for c in files.columns if c != text]
-    found = files.select(*keys, findings_array(F.col(text), pack).alias("found"))
+    found = files.select(*keys, findings_array(text, pack).alias("found"))
     return found.select(*keys, F.inline("found"))
 
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.text import imports_of_repo_file
 from reviewloom.operators import diffs, graph, metrics, narrative, reviews, scores
+from reviewloom.session import cut
 
 RESULT = [
     "analysis_id", "kind", "overall", "security", "complexity", "maintainability",
@@ -36,7 +38,8 @@ def diff_sums(submissions: DataFrame) -> DataFrame:
     """Sums over the files of each diff, also of those without any."""
     files = diffs.diff_files(diffs.file_blocks(submissions))
     sums = scores.file_sums(metrics.diff_file_metrics(files), "diff")
-    return scores.with_all(submissions, sums, "diff")
+    # Scores, totals and texts all start from these few numbers.
+    return cut(scores.with_all(submissions, sums, "diff"))
 
 
 def results_code(submissions: DataFrame) -> DataFrame:
@@ -61,10 +64,11 @@ def results_diff(submissions: DataFrame) -> DataFrame:
 
 def pr_parts(pr_files: DataFrame, contents: DataFrame) -> dict[str, DataFrame]:
     """Measures, sums, edges, queue counts and scores of pull requests."""
-    measured = metrics.pr_file_metrics(pr_files)
+    # The patches are scanned once; all else starts from the narrow measures.
+    measured = cut(metrics.pr_file_metrics(pr_files))
     sums = scores.file_sums(measured, "pr")
-    edges = graph.edges_pr(contents, pr_files)
-    coupled = graph.coupling(edges)
+    edges = graph.edges_pr(graph.imports_pr(contents), pr_files)
+    coupled = cut(graph.coupling(edges))
     return {
         "metrics": measured,
         "sums": sums,
@@ -94,13 +98,14 @@ def repo_parts(
     ``languages`` as from ``rollups.language_stats``, ``files`` from ``selection.repo_files``,
     ``contents`` those of the files chosen to be read.
     """
-    measured = metrics.repo_file_metrics(contents)
-    sums = scores.with_all(info, scores.file_sums(measured, "repo"), "repo")
+    imports = imports_of_repo_file(F.col("content")).alias("imports")
+    # The contents are scanned once; all else starts from the narrow measures.
+    measured = cut(metrics.repo_file_metrics(contents, imports))
+    sums = scores.with_all(info, scores.file_sums(measured.drop("imports"), "repo"), "repo")
     counted = files.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("total_files"))
     scored = scores.scores_repo(sums, counted)
-    n_edges = graph.edges_repo(contents, files).groupBy("analysis_id").agg(
-        F.count(F.lit(1)).alias("n_edges")
-    )
+    edges = graph.edges_repo(graph.exploded_imports(measured, F.col("imports")), files)
+    n_edges = edges.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("n_edges"))
     facts = narrative.repo_facts(info, languages, sums, counted, scored, n_edges)
     return {"metrics": measured, "sums": sums, "scores": scored, "facts": facts}
 

@@ -23,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table whose texts are to be scanned, with work for every core.
+
+    Scanning is bound by the processor.  A table with fewer splits than there are cores is
+    small, and its rows are spread by key first; a large one is read as it lies.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, *keys)
+    return df
+
+
 def _pick(values: list[str], key: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int"))
 
@@ -41,7 +54,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.replace(_pick(_BODIES, doc), F.lit("@NEAR@"), (doc + 20).cast("string"))
     body = F.replace(body, F.lit("@FOLD@"), ((doc + 20) % 13).cast("string"))
     newline = F.lit("\n")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         F.col("source").alias("analysis_id"),
         doc.alias("file_ord"),
         _doc_path(_pick(_EXTS, doc)).alias("path"),
@@ -137,7 +150,7 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     blocks = F.transform(F.split("text", "\n", -1), block)
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations", "conv_id", "turn").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-t"), F.col("turn").cast("string"))
         .alias("analysis_id"),
         F.array_join(blocks, "").alias("diff"),
@@ -154,7 +167,7 @@ def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     additions = F.floor(F.length("text") / 4).cast("int")
     deletions = (F.col("turn") * 3).cast("int")
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations", "conv_id", "turn").select(
         F.concat(F.lit("pr-"), F.col("conv_id").cast("string")).alias("analysis_id"),
         F.col("turn").cast("int").alias("file_ord"),
         F.concat(F.lit("src/c"), F.col("turn").cast("string"), F.lit("."), _pick(_EXTS, _turn_key()))

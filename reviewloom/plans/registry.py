@@ -81,7 +81,7 @@ def pr_file_pages(spark, sf):
 
 @query
 def decode_contents(spark, sf):
-    docs = corpora.table(spark, sf, "documents")
+    docs = corpora.texts(spark, sf, "documents", "doc_id")
     coded = F.base64(F.encode("text", "UTF-8"))
     lines = F.regexp_replace(coded, "(.{60})", "$1\n")
     raw = docs.select(
@@ -251,7 +251,7 @@ def blocking_findings(spark, sf):
 def flatten_findings(spark, sf):
     """Nested findings of each file, as a result holds them, back in long form."""
     nested = corpora.code_files(spark, sf).select(
-        "analysis_id", "path", scan.findings_array(F.col("content"), rules.CODE_SECURITY).alias("issues")
+        "analysis_id", "path", scan.findings_array("content", rules.CODE_SECURITY).alias("issues")
     )
     flat = nested.select("analysis_id", "path", F.inline("issues"))
     return _long(flat.select("analysis_id", "path", "type", "level", "line"), "line")
@@ -333,12 +333,14 @@ def imports_repo(spark, sf):
 
 
 def _edges_pr(spark, sf):
-    return graph.edges_pr(corpora.pr_contents(spark, sf), corpora.pr_files(spark, sf))
+    return graph.edges_pr(
+        graph.imports_pr(corpora.pr_contents(spark, sf)), corpora.pr_files(spark, sf)
+    )
 
 
 def _edges_repo(spark, sf):
     return graph.edges_repo(
-        corpora.code_files(spark, sf), selection.repo_files(corpora.tree(spark, sf))
+        graph.imports_repo(corpora.code_files(spark, sf)), selection.repo_files(corpora.tree(spark, sf))
     )
 
 
@@ -357,7 +359,7 @@ def edges_repo(spark, sf):
 
 @query
 def coupling(spark, sf):
-    return graph.coupling(_edges_pr(spark, sf))
+    return graph.coupling(_edges_pr(spark, sf)).drop("source_ord")
 
 
 @query
@@ -396,12 +398,12 @@ def _pr_parts(spark, sf):
     return analyses.pr_parts(corpora.pr_files(spark, sf), corpora.pr_contents(spark, sf))
 
 
-def _repo_parts(spark, sf):
+def _repo_parts(spark, sf, contents=None):
     return analyses.repo_parts(
         corpora.repo_info(spark, sf),
         rollups.language_stats(corpora.repo_languages(spark, sf)),
         selection.repo_files(corpora.tree(spark, sf)),
-        corpora.repo_contents(spark, sf),
+        corpora.repo_contents(spark, sf) if contents is None else contents,
     )
 
 
@@ -572,7 +574,7 @@ def prompt_context(spark, sf):
     found = scan.scan(
         contents.select("analysis_id", "scan_ord", "content"), rules.REPO_SECURITY
     ).withColumn("note", scan.notes(rules.REPO_SECURITY))
-    repo = narrative.context_repo(_repo_parts(spark, sf)["facts"], found)
+    repo = narrative.context_repo(_repo_parts(spark, sf, contents)["facts"], found)
     files = corpora.pr_files(spark, sf)
     p = _pr_parts(spark, sf)
     pr = narrative.context_pr(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.functions.binding import let
+
 SUBMISSION_SCHEMA = (
     "analysis_id string, url string, diff string, code string, filename string, "
     "received_at timestamp"
@@ -109,18 +111,23 @@ def decoded(content: Column, encoding: Column) -> Column:
     be missing, and bytes that are no UTF-8 become replacement characters.
     """
     plain = F.translate(F.regexp_replace(content, "[^A-Za-z0-9+/_-]", ""), "-_", "+/")
-    usable = F.length(plain) - F.when(F.length(plain) % 4 == 1, 1).otherwise(0)
-    padded = F.rpad(
-        F.substring(plain, F.lit(1), usable), (F.ceil(usable / 4) * 4).cast("int"), F.lit("=")
-    )
-    text = F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+
+    def padded(p: Column) -> Column:
+        usable = F.length(p) - F.when(F.length(p) % 4 == 1, 1).otherwise(0)
+        missing = F.pmod(-usable, F.lit(4)).cast("int")
+        return F.concat(F.substring(p, F.lit(1), usable), F.repeat(F.lit("="), missing))
+
+    text = F.make_valid_utf8(F.unbase64(let(plain, padded)).cast("string"))
     return F.when((encoding == "base64") & (content != ""), text)
 
 
 def file_contents(raw: DataFrame) -> DataFrame:
     """Readable files from (analysis_id, path, content, encoding, ...) rows."""
-    text = raw.withColumn("content", decoded(F.col("content"), F.col("encoding"))).drop("encoding")
-    return text.filter(F.col("content").isNotNull() & (F.col("content") != ""))
+    keys = [c for c in raw.columns if c not in ("content", "encoding")]
+    coded = raw.filter((F.col("encoding") == "base64") & (F.col("content") != ""))
+    text = decoded(F.col("content"), F.col("encoding"))
+    # A generator, so that the test of the text does not decode it once more.
+    return coded.select(*keys, F.explode(F.array_compact(F.array(F.nullif(text, F.lit(""))))).alias("content"))
 
 
 def checkout(spark: SparkSession, path: str) -> DataFrame:

@@ -23,14 +23,9 @@ def scan_submissions(submissions: DataFrame) -> DataFrame:
         "analysis_id", "kind", F.inline(F.when(is_code, pasted).otherwise(_diff_texts(F.col("diff"))))
     )
 
-    def found(security: list[rules.Rule], performance: list[rules.Rule]) -> Column:
-        return F.concat(
-            findings_array(F.col("text"), security), findings_array(F.col("text"), performance)
-        )
-
-    either = F.when(is_code, found(rules.CODE_SECURITY, rules.CODE_PERFORMANCE)).otherwise(
-        found(rules.DIFF_SECURITY, rules.DIFF_PERFORMANCE)
-    )
+    either = F.when(
+        is_code, findings_array("text", rules.CODE_SECURITY, rules.CODE_PERFORMANCE)
+    ).otherwise(findings_array("text", rules.DIFF_SECURITY, rules.DIFF_PERFORMANCE))
     return files.select(
         "analysis_id", F.col("kind").alias("submission"), "path", "file_ord", either.alias("found")
     ).select("analysis_id", "submission", "path", "file_ord", F.inline("found"))
