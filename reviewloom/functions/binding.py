@@ -1,4 +1,4 @@
-"""Name an intermediate value inside one expression."""
+"""Small helpers to build expressions."""
 
 from __future__ import annotations
 
@@ -8,6 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def quoted(value: str) -> str:
+    """SQL literal of a string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals(values) -> str:
+    """SQL literals of strings, as an argument list."""
+    return ", ".join(quoted(v) for v in values)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once, however often ``body`` uses it.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewloom.functions.binding import literals
+
 # Language of a file extension.
 LANGUAGE_OF_EXTENSION = {
     "ts": "TypeScript",
@@ -74,7 +76,7 @@ SOURCE_EXTENSIONS = [
 
 
 def _literal_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.expr(f"map({literals(x for pair in values.items() for x in pair)})")
 
 
 def extension(path: Column) -> Column:

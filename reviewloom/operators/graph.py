@@ -2,6 +2,10 @@
 
 Matching each import against each path is a theta join.  Here both sides write out the
 keys they could meet under, and the match is an equi-join on those keys.
+
+A module that very many files import is one hot key, as is a name that very many files
+have.  So the distinct keys meet the paths first, which also drops the many imports from
+outside, and only then the importing files join what was matched; both joins are salted.
 """
 
 from __future__ import annotations
@@ -168,9 +172,11 @@ def edges_repo(imports: DataFrame, files: DataFrame, resolve_dots: bool = False)
     default they lead nowhere.  The first import that fits a pair gives its type.
     """
     imp = F.col("imp")
-    sources = imports.filter(is_repo_file(F.col("source"))).withColumn(
+    # Both joins read the imports; the texts they come from are read once.
+    sources = cut(imports.filter(is_repo_file(F.col("source")))).withColumn(
         "key", F.explode(_import_keys(F.col("source"), imp, resolve_dots))
     )
+    wanted = sources.select("analysis_id", "key").distinct()
     targets = files.select(
         "analysis_id",
         F.col("path").alias("target"),
@@ -179,11 +185,11 @@ def edges_repo(imports: DataFrame, files: DataFrame, resolve_dots: bool = False)
     edge_type = (
         F.when(imp.startswith("."), "import").when(imp.startswith("@"), "require").otherwise("import")
     )
-    met = salted_join(sources, targets, ["analysis_id", "key"], spread_by="target").filter(
-        F.col("source") != F.col("target")
-    )
+    matched = salted_join(wanted, targets, ["analysis_id", "key"], spread_by="target")
+    met = salted_join(matched, sources, ["analysis_id", "key"], spread_by="source")
     return (
-        met.withColumn("type", edge_type)
+        met.filter(F.col("source") != F.col("target"))
+        .withColumn("type", edge_type)
         .groupBy("analysis_id", "source", "target")
         .agg(F.min_by("type", "imp_ord").alias("type"))
         .withColumn("weight", F.lit(EDGE_WEIGHT))

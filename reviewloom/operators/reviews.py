@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions import rules
+from reviewloom.functions.binding import literals
 from reviewloom.functions.lookup import basename, rank_of
 from reviewloom.functions.rules import CATEGORY_RANK, LEVEL_RANK, Rule
 from reviewloom.functions.text import complexity_of_code, complexity_of_file
@@ -41,7 +42,7 @@ def _item(category, severity, line, title, description, suggestion, effort, rule
 
 def _of_rule(pack: list[Rule], field: str, finding: Column) -> Column:
     """Text of the rule a finding comes from."""
-    texts = F.array(*[F.lit(getattr(r, field)) for r in pack])
+    texts = F.expr(f"array({literals(getattr(r, field) for r in pack)})")
     return F.get(texts, finding["rule_ord"] - 1)
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.binding import quoted
 from reviewloom.functions.rules import Rule
 
 # Put before each match to find its line.  A private-use character matches no pattern
@@ -29,11 +30,6 @@ LEVELS = {
 }
 
 
-def quoted(value: str) -> str:
-    """SQL literal of a string."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _possible(text: str, rule: Rule) -> str:
     """A cheap test that is true wherever the rule can match."""
     tests = [f"contains({text}, {quoted(n)})" for n in rule.pattern.needs]
@@ -84,8 +80,15 @@ def level_counts(text: str, pack: list[Rule], prefix: str) -> list[Column]:
 def scan(files: DataFrame, pack: list[Rule], text: str = "content") -> DataFrame:
     """One row per match of any rule of ``pack``; the other columns of ``files`` are kept."""
     keys = [F.col(c) for c in files.columns if c != text]
-    found = files.select(*keys, findings_array(text, pack).alias("found"))
-    return found.select(*keys, F.inline("found"))
+    # Generating from the expression, not from a column of it, keeps the optimizer from
+    # adding a filter on that column, which would work the scan out again.
+    return files.select(*keys, F.inline(findings_array(text, pack)))
+
+
+def flatten(files: DataFrame, nested: str) -> DataFrame:
+    """Findings nested in a column of their file, in long form with the file's other columns."""
+    keys = [F.col(c) for c in files.columns if c != nested]
+    return files.select(*keys, F.inline(F.coalesce(nested, F.expr(NO_FINDINGS))))
 
 
 def notes(pack: list[Rule]) -> Column:

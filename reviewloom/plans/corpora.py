@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.functions.binding import literals
 from reviewloom.functions.lookup import language
 from reviewloom.operators import selection
 from reviewloom.operators.joins import join_selected
@@ -37,7 +38,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
 
 
 def _pick(values: list[str], key: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int"))
+    return F.get(F.expr(f"array({literals(values)})"), (key % len(values)).cast("int"))
 
 
 def _doc_path(ext: Column) -> Column:

@@ -253,8 +253,7 @@ def flatten_findings(spark, sf):
     nested = corpora.code_files(spark, sf).select(
         "analysis_id", "path", scan.findings_array("content", rules.CODE_SECURITY).alias("issues")
     )
-    flat = nested.select("analysis_id", "path", F.inline("issues"))
-    return _long(flat.select("analysis_id", "path", "type", "level", "line"), "line")
+    return _long(scan.flatten(nested, "issues").select("analysis_id", "path", "type", "level", "line"), "line")
 
 
 @query

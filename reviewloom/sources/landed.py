@@ -55,10 +55,8 @@ def pr_files(raw_pages: DataFrame) -> DataFrame:
 
     Every page but the last is full, so a file's ordinal follows from its page and place.
     """
-    listed = raw_pages.select(
-        "analysis_id", "page", F.from_json("body", f"array<{PR_FILE}>").alias("files")
-    )
-    return listed.select("analysis_id", "page", F.posexplode("files").alias("pos", "f")).select(
+    files = F.from_json("body", f"array<{PR_FILE}>")
+    return raw_pages.select("analysis_id", "page", F.posexplode(files).alias("pos", "f")).select(
         "analysis_id",
         ((F.col("page") - 1) * PAGE_ROWS + F.col("pos")).cast("int").alias("file_ord"),
         F.col("f.filename").alias("path"),
@@ -83,12 +81,8 @@ def repo_info(raw: DataFrame) -> DataFrame:
 
 def tree(raw: DataFrame) -> DataFrame:
     """Tree items from (analysis_id, body) JSON rows, blobs and folders alike."""
-    parsed = raw.select(
-        "analysis_id", F.from_json("body", f"tree array<{TREE_ITEM}>")["tree"].alias("items")
-    )
-    return parsed.select(
-        "analysis_id", F.posexplode("items").alias("file_ord", "item")
-    ).select("analysis_id", F.col("file_ord").cast("bigint").alias("file_ord"), "item.path", "item.type", "item.size")
+    items = F.from_json("body", f"tree array<{TREE_ITEM}>")["tree"]
+    return raw.select("analysis_id", F.posexplode(items).alias("file_ord", "item")).select("analysis_id", F.col("file_ord").cast("bigint").alias("file_ord"), "item.path", "item.type", "item.size")
 
 
 def repo_languages(raw: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ def scan_submissions(submissions: DataFrame) -> DataFrame:
         is_code, findings_array("text", rules.CODE_SECURITY, rules.CODE_PERFORMANCE)
     ).otherwise(findings_array("text", rules.DIFF_SECURITY, rules.DIFF_PERFORMANCE))
     return files.select(
-        "analysis_id", F.col("kind").alias("submission"), "path", "file_ord", either.alias("found")
-    ).select("analysis_id", "submission", "path", "file_ord", F.inline("found"))
+        "analysis_id", F.col("kind").alias("submission"), "path", "file_ord", F.inline(either)
+    )
 
 
 def _diff_texts(diff: Column) -> Column:
