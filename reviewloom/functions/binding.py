@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 
 def quoted(value: str) -> str:
-    """SQL literal of a string."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """SQL literal of a string.
+
+    A dollar sign is written as an escape, or the parser would take ``${..}`` for a variable.
+    """
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
+    return f"'{escaped}'"
 
 
 def literals(values) -> str:
