@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +24,7 @@ from reviewloom.operators import (
     selection,
 )
 from reviewloom.plans import analyses, corpora
-from reviewloom.session import ensure_checkpoint_dir
+from reviewloom.session import cut, ensure_checkpoint_dir
 from reviewloom.sources import landed, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,12 +43,7 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder in the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("/") or base.startswith("file:"):
-        return tempfile.mkdtemp(prefix="run-", dir=base.removeprefix("file:"))
-    import uuid
-
-    return f"{base.rstrip('/')}/run-{uuid.uuid4()}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4()}"
 
 
 # Sources -------------------------------------------------------------------------------
@@ -566,7 +561,7 @@ def insights_repo(spark, sf):
 def prompt_context(spark, sf):
     """Facts of all four kinds of analysis."""
     code = narrative.context_code(metrics.code_metrics(corpora.code_submissions(spark, sf)))
-    diff_metrics = metrics.diff_file_metrics(_diff_files(spark, sf))
+    diff_metrics = cut(metrics.diff_file_metrics(_diff_files(spark, sf)))
     diff_queue = reviews.queue_counts_diff(scores.file_sums(diff_metrics, "diff"))
     diff = narrative.context_diff(diff_metrics, diff_queue)
     contents = corpora.repo_contents(spark, sf)

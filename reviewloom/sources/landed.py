@@ -111,17 +111,21 @@ def decoded(content: Column, encoding: Column) -> Column:
         missing = F.pmod(-usable, F.lit(4)).cast("int")
         return F.concat(F.substring(p, F.lit(1), usable), F.repeat(F.lit("="), missing))
 
-    text = F.make_valid_utf8(F.unbase64(let(plain, padded)).cast("string"))
+    # Well-formed contents are decoded as they are; only the others are cleaned first.
+    strict = F.try_to_binary(content, F.lit("base64"))
+    binary = F.coalesce(strict, F.unbase64(let(plain, padded)))
+    text = F.make_valid_utf8(binary.cast("string"))
     return F.when((encoding == "base64") & (content != ""), text)
 
 
 def file_contents(raw: DataFrame) -> DataFrame:
     """Readable files from (analysis_id, path, content, encoding, ...) rows."""
     keys = [c for c in raw.columns if c not in ("content", "encoding")]
-    coded = raw.filter((F.col("encoding") == "base64") & (F.col("content") != ""))
+    coded = raw.filter(F.col("encoding") == "base64")
     text = decoded(F.col("content"), F.col("encoding"))
     # A generator, so that the test of the text does not decode it once more.
-    return coded.select(*keys, F.explode(F.array_compact(F.array(F.nullif(text, F.lit(""))))).alias("content"))
+    kept = F.filter(F.array(text), lambda t: t != "")
+    return coded.select(*keys, F.explode(kept).alias("content"))
 
 
 def checkout(spark: SparkSession, path: str) -> DataFrame:
