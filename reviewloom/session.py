@@ -7,9 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str | int = "*", name: str = "reviewloom") -> SparkSession:
+def local_session(
+    cpus: str | int = "*", name: str = "reviewloom", settings: dict[str, str] | None = None
+) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
@@ -18,8 +20,10 @@ def local_session(cpus: str | int = "*", name: str = "reviewloom") -> SparkSessi
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
