@@ -601,11 +601,19 @@ def results(spark, sf):
 # Streams ------------------------------------------------------------------------------------------------
 
 
-def _landed(spark, sf, folder: str, parts: int = 4) -> str:
-    """The mixed submissions as several landed files."""
+# Rows of one portion of a stream that has to be taken in order of time.
+PORTION_ROWS = 5_000_000
+
+
+def _landed_stream(spark, sf, folder: str) -> DataFrame:
+    """The mixed submissions as a stream of several landed files, a few of them at a time."""
     path = f"{folder}/in"
-    corpora.submissions(spark, sf).repartition(parts, "analysis_id").write.parquet(path)
-    return path
+    mixed = corpora.submissions(spark, sf)
+    splits = mixed.rdd.getNumPartitions()
+    if splits < 4:
+        splits, mixed = 4, mixed.repartition(4, "analysis_id")
+    mixed.write.parquet(path)
+    return landed.submission_stream(spark, path, files_per_trigger=max(2, splits // 50))
 
 
 @query
@@ -613,7 +621,7 @@ def stream_scan(spark, sf):
     from reviewloom.streaming.scan import start_scan
 
     folder = _scratch(spark)
-    stream = landed.submission_stream(spark, _landed(spark, sf, folder), files_per_trigger=2)
+    stream = _landed_stream(spark, sf, folder)
     start_scan(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     return _long(spark.read.parquet(f"{folder}/out"), "file_ord", "line", "rule_ord", "match_ord")
 
@@ -623,23 +631,37 @@ def stream_results(spark, sf):
     from reviewloom.streaming.results import start_results
 
     folder = _scratch(spark)
-    stream = landed.submission_stream(spark, _landed(spark, sf, folder), files_per_trigger=2)
+    stream = _landed_stream(spark, sf, folder)
     start_results(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     return store.load(spark, f"{folder}/out").select(*analyses.RESULT)
 
 
 @query
 def stream_dedup(spark, sf):
-    """Events land in three portions, each taken up where the last one stopped."""
+    """Events land in portions of time, each taken up where the last one stopped.
+
+    The number of portions grows with the events, so the rows of a key that meet in one
+    task stay bounded.
+    """
     from reviewloom.streaming.dedup import start_dedup
 
     folder = _scratch(spark)
-    events = corpora.table(spark, sf, "events").select("event_id", "ts", "event_type")
-    day = F.dayofmonth("ts")
-    for portion in (day <= 10, (day > 10) & (day <= 20), day > 20):
+    events = corpora.table(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"
+    )
+    micros = F.unix_micros("ts")
+    n, low, high = events.agg(F.count("ts"), F.min(micros), F.max(micros)).first()
+    portions = max(3, -(-n // PORTION_ROWS))
+    edges = [low + (high + 1 - low) * i // portions for i in range(portions + 1)]
+    for start, end in zip(edges, edges[1:]):
+        portion = (F.col("ts") >= F.timestamp_micros(F.lit(start))) & (
+            F.col("ts") < F.timestamp_micros(F.lit(end))
+        )
         events.filter(portion).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
-        start_dedup(stream, f"{folder}/out", f"{folder}/state", "event_type", "ts", "event_id").awaitTermination()
+        start_dedup(
+            stream, f"{folder}/out", f"{folder}/state", "event_type", "ts", "event_id"
+        ).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(
         F.col("key").alias("event_type"), F.col("row_id").alias("event_id")
     )

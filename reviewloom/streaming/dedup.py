@@ -18,8 +18,9 @@ def first_sights(
 
     A suppressed row does not lengthen the suppression.  State is one time per key; it
     goes once the watermark has passed the end of the suppression, when any row that can
-    still come would be taken anyway.  Only key, time and id pass through Python, and the
-    source's rate limit bounds the rows of a key in a batch.
+    still come would be taken anyway.  Only key, time and id pass through Python.  The rule
+    needs the rows of a key in order, so those of one batch meet in one task: land the rows in
+    order of time and keep the batches small (``maxFilesPerTrigger`` or portions).
     """
     ttl = ttl_seconds * 1_000_000
 
