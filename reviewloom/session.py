@@ -20,6 +20,8 @@ def local_session(
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the call site of every expression takes longer than building it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in (settings or {}).items():
         builder = builder.config(key, value)

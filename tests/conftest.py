@@ -8,14 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from reviewloom.session import local_session  # noqa: E402
 
 # Started here, because some tests build columns when they are collected.
-SESSION = local_session(
-    "8",
-    "tests",
-    {
-        "spark.sql.shuffle.partitions": "4",
-        "spark.python.sql.dataFrameDebugging.enabled": "false",
-    },
-)
+SESSION = local_session("8", "tests", {"spark.sql.shuffle.partitions": "4"})
 
 
 @pytest.fixture(scope="session")
