@@ -651,6 +651,7 @@ def stream_dedup(spark, sf):
     )
     micros = F.unix_micros("ts")
     n, low, high = events.agg(F.count("ts"), F.min(micros), F.max(micros)).first()
+    low, high = low or 0, high or 0
     portions = max(3, -(-n // PORTION_ROWS))
     edges = [low + (high + 1 - low) * i // portions for i in range(portions + 1)]
     for start, end in zip(edges, edges[1:]):
