@@ -12,7 +12,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
 
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+from oracle import oracle_sql  # noqa: E402
+from reviewloom.plans.registry import REGISTRY as QUERIES  # noqa: E402
+
+STATEMENTS = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +34,8 @@ def bag(rows, columns):
 
 def test_every_query_has_its_statement():
     assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(STATEMENTS) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
