@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewloom.llm import digests, langid, tokens, urls
+from reviewloom.llm import digests, langid, mixing, simhash, tokens, urls
 from reviewloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,19 @@ def op6_url_filters(spark, sf_dir):
     return urls.url_filter(read(spark, sf_dir, "pages"))
 
 
+@query
+def op7_source_mix(spark, sf_dir):
+    sizes = mixing.sized(read(spark, sf_dir, "documents"))
+    return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_simhash_near_dedup(spark, sf_dir):
+    return simhash.classes(read(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 @query
 def op10_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
@@ -42,4 +56,4 @@ def op10_language_id(spark, sf_dir):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urls.filter_sql()}
+    return {"op6_url_filters": urls.filter_sql(), "op7_source_mix": mixing.mix_sql()}
