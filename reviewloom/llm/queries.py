@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import digests, langid, mixing, simhash, tokens, urls
+from reviewloom.llm import digests, langid, mixing, quality, simhash, tokens, urls
 from reviewloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,12 @@ def op8_simhash_near_dedup(spark, sf_dir):
     )
 
 
+@query
+def op9_quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+
+
 @query
 def op10_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
