@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import digests, langid, mixing, quality, simhash, tokens, urls
+from reviewloom.llm import digests, langid, mixing, quality, simhash, tokens, urls, warc
 from reviewloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,28 @@ def op3_fingerprints(spark, sf_dir):
     return digests.neighbours(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_warc(spark, sf_dir):
+    """Written and read back; what is said of a response comes from its payload, of a revisit from its headers."""
+    folder = warc.archive(read(spark, sf_dir, "pages"))
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    whole = warc.load(spark, folder).where("warc_type = 'response'").select(
+        number(F.col("record_id")).alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        F.lit(None).cast("long").alias("refers_to"),
+    )
+    again = warc.load(spark, folder, payload=False).where("warc_type = 'revisit'").select(
+        number(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("warc_type").alias("record_type"),
+        number(F.col("refers_to")).alias("refers_to"),
+    )
+    return whole.unionByName(again)
+
+
 @query
 def op6_url_filters(spark, sf_dir):
     return urls.url_filter(read(spark, sf_dir, "pages"))
@@ -61,5 +83,20 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, langid.learn(docs))
 
 
+PAGES_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept FROM p)
+SELECT page_id, payload_bytes::bigint AS payload_bytes, payload_digest,
+       CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urls.filter_sql(), "op7_source_mix": mixing.mix_sql()}
+    return {
+        "op4_warc": PAGES_SQL,
+        "op6_url_filters": urls.filter_sql(),
+        "op7_source_mix": mixing.mix_sql(),
+    }
