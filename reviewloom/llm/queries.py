@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import digests, langid, mixing, quality, simhash, tokens, urls, warc
+from reviewloom.llm import decontaminate, digests, langid, mixing, quality, simhash, tokens, urls, warc
 from reviewloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op1_token_counts(spark, sf_dir):
     return tokens.token_counts(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_fingerprints(spark, sf_dir):
     return digests.neighbours(read(spark, sf_dir, "documents"))
