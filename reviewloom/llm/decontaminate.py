@@ -77,6 +77,8 @@ class Pieces:
         self.of, self.at = of[order], at[order]
         distinct, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
         self.index = Index(distinct)
+        self.maybe = np.zeros(1 << 20, dtype=bool)  # most q-grams of a text are settled here
+        self.maybe[distinct >> np.uint64(44)] = True
         width = int(self.m.max(initial=1))
         self.padded = np.zeros((len(self.codes), width), dtype=np.uint32)
         for row, codes in zip(self.padded, self.codes, strict=True):
@@ -84,9 +86,10 @@ class Pieces:
 
     def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces and first diagonals of the bands that reach their bound in a text."""
-        found = self.index.find(qgrams(codes))
-        places = np.flatnonzero(found >= 0)
-        found = found[places]
+        keys = qgrams(codes)
+        places = np.flatnonzero(self.maybe[keys >> np.uint64(44)])
+        found = self.index.find(keys[places])
+        places, found = places[found >= 0], found[found >= 0]
         # Stretches with fewer hits than the least bound asks for can't hold any piece.
         reach, least = int((self.m + 2 * self.k + 2).max(initial=1)), int(self.bound.min(initial=1))
         if len(places) < least:
@@ -120,21 +123,24 @@ class Pieces:
         most = int(k.max())
         width = 2 * (most + 1) + 2 * most + 1
         low = first - most
-        beyond = 1 << 20
-        cols = np.arange(width)
-        text = np.concatenate([codes, np.zeros(1, np.uint32)]).astype(np.int64)
-        text[-1] = -1
-        table = np.where((low[:, None] + cols >= 0) & (low[:, None] + cols <= len(codes)), 0, beyond)
+        beyond = 1 << 12
+        cols = np.arange(width, dtype=np.int16)
+        # The text under all cells of a candidate, -1 outside; cell (i, x) is at i + x.
+        place = low[:, None] + np.arange(int(m.max()) + width)
+        inside = (place >= 0) & (place < len(codes))
+        under = np.where(inside, codes.astype(np.int32)[np.where(inside, place, 0)] if len(codes) else -1, -1)
+        open_end = np.where((place >= 0) & (place <= len(codes)), 0, beyond).astype(np.int16)
+        letters_of = self.padded[piece].astype(np.int32)
+        table = open_end[:, :width].copy()
         for i in range(int(m.max())):
-            place = low[:, None] + i + cols  # the text letter that cell (i, x) would use
-            inside = (place >= 0) & (place < len(codes))
-            letter = text[np.where(inside, place, -1)]
-            match = table + np.where(inside, letter != self.padded[piece, min(i, self.padded.shape[1] - 1)][:, None], beyond)
-            skip = np.concatenate([table[:, 1:], np.full((len(piece), 1), beyond)], axis=1) + 1
-            row = np.minimum(match, skip)
-            row = np.minimum.accumulate(row - cols, axis=1) + cols  # letters of the text that the piece lacks
-            ended = place + 1
-            row = np.where((ended >= 0) & (ended <= len(codes)), row, beyond)
+            letter = under[:, i : i + width]
+            row = table + (letter != letters_of[:, i, None])
+            row[letter < 0] = beyond
+            row[:, :-1] = np.minimum(row[:, :-1], table[:, 1:] + np.int16(1))
+            row -= cols
+            np.minimum.accumulate(row, axis=1, out=row)  # letters of the text that the piece lacks
+            row += cols
+            np.maximum(row, open_end[:, i + 1 : i + 1 + width], out=row)
             table = np.where((i < m)[:, None], row, table)
         best = table.argmin(axis=1)
         return table[np.arange(len(piece)), best], low + m + best
