@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import decontaminate, digests, langid, mixing, quality, simhash, tokens, urls, warc
+from reviewloom.llm import decontaminate, digests, langid, mixing, quality, repeats, simhash, tokens, urls, warc
 from reviewloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op4_warc(spark, sf_dir):
     return whole.unionByName(again)
 
 
+@query
+def op5_suffix_array_dedup(spark, sf_dir):
+    return repeats.report(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_url_filters(spark, sf_dir):
     return urls.url_filter(read(spark, sf_dir, "pages"))
