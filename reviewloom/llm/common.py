@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, so that long texts don't pile up in a Python worker.
@@ -67,6 +67,19 @@ def remainder(column: str, divisor: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def text_digest(text: Column | str) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def row_key(doc_id: Column | str, digest: Column | str) -> dict[str, Column]:
+    """``__rid`` and ``__th``, which tell rows apart that differ in id or text (its ``digest``); never null."""
+    number = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long")
+    return {
+        "__rid": F.coalesce(number, F.xxhash64(F.lit("no id"), digest)),
+        "__th": F.shiftright(digest, 32).cast("int"),
+    }
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, end to end, and the offsets of its n rows (n + 1).
 

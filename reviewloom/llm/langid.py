@@ -145,8 +145,12 @@ def sample(docs: DataFrame, divisor: int, max_docs: int, max_doc_bytes: int) ->
     fit = docs.where(
         (F.col("part") != 0) & F.col("lang").isNotNull() & (F.octet_length("text").between(1, max_doc_bytes))
     )
-    order = W.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = fit.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs)
+    # Of a large language a fair share by hash is ranked, about four times what is taken.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    sizes = fit.groupBy("lang").agg(F.count("*").alias("docs"))
+    some = fit.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(part * F.col("docs") < 4 * max_docs)
+    order = W.Window.partitionBy("lang").orderBy(part, F.xxhash64("doc_id"), "doc_id")
+    ids = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs)
     # max_docs ids for each language: small enough to go to every task.
     return fit.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
 

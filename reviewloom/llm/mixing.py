@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from reviewloom.llm.common import bounded, written
+from reviewloom.llm.common import bounded, row_key, text_digest, written
 
 WEIGHTS, BUDGET, EPOCHS = (3, 1, 2), 1.5, 2
 BLOCK = 64
@@ -115,7 +115,7 @@ def sized(docs: DataFrame) -> DataFrame:
     bounded(docs.sparkSession)
     return written(
         docs.select(
-            F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")
+            F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), text_digest("text").alias("text_hash")
         )
     )
 
@@ -132,6 +132,18 @@ def mix(sizes: DataFrame, block: int = BLOCK, epochs: int = EPOCHS) -> DataFrame
     )
 
 
+def mixed(docs: DataFrame, block: int = BLOCK, epochs: int = EPOCHS) -> DataFrame:
+    """``docs``, all columns, with size, source_size, target and taken; columns of those names are replaced."""
+    new = ["size", "source_size", "target", "taken"]
+    copy = F.row_number().over(W.Window.partitionBy("__rid", "__th").orderBy("__source"))
+    part = mix(sized(docs), block, epochs).withColumns(row_key("doc_id", "text_hash")).withColumnRenamed("source", "__source")
+    part = part.withColumn("__copy", copy).select("__rid", "__th", "__copy", *new)
+    names = [n for n in docs.columns if n not in new]
+    rows = docs.select(*names).withColumns(row_key("doc_id", text_digest("text")) | {"__source": F.col("source")})
+    rows = rows.withColumn("__copy", copy)
+    return rows.join(part, ["__rid", "__th", "__copy"]).select(*names, *new)
+
+
 def mix_sql() -> str:
     """The same in DuckDB, in plain windows over whole sources."""
     weights = "CASE (sid - 1) % 3 WHEN 0 THEN 3.0::double WHEN 1 THEN 1.0::double ELSE 2.0::double END"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import bounded, nonempty, utf8, written
+from reviewloom.llm.common import bounded, nonempty, row_key, text_digest, utf8, written
 from reviewloom.llm.suffix_arrays import repeated_windows, words_at
 
 WIDTH, GRAM = 200, 32
@@ -116,17 +116,6 @@ class Runs:
         return text, first - ends[text], count, key, digest
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__rid`` and ``__th``, which tell rows apart that differ in id or text."""
-    digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.withColumns(
-        {
-            "__rid": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), digest)),
-            "__th": F.shiftright(digest, 32).cast("int"),
-        }
-    )
-
-
 def runs(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, run, __rid, __th, at): ``at`` is 512 times the first window plus the number of windows."""
 
@@ -292,7 +281,7 @@ def merged(windows: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, longest: int = RUNS) -> tuple[DataFrame, DataFrame]:
     """``docs`` with __rid and __th, and (__rid, __th, ranges): windows that repeat, as 512 * first + number."""
     bounded(docs.sparkSession)
-    rows = identified(docs)
+    rows = docs.withColumns(row_key("doc_id", text_digest("text")))
     cut = runs(rows, width)
     keys = cut.groupBy("key").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high"))
     keys = keys.where("n > 1").select("key", (F.col("low") != F.col("high")).alias("differ"))

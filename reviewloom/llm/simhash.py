@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from reviewloom.llm.common import bounded, nonempty, utf8, written
+from reviewloom.llm.common import bounded, nonempty, row_key, text_digest, utf8, written
 from reviewloom.llm.components import components
 
 WORDS, BITS, SEED = 3, 2, 42
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             )
 
     bounded(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", text_digest("text").alias("text_hash"))
     return rows.mapInArrow(count, "doc_id long, text_hash long, fp long")
 
 
@@ -167,7 +168,10 @@ def _then_none(batches: Iterator) -> Iterator:
 
 
 def classes(docs: DataFrame, words: int = WORDS, bits: int = BITS, longest: int = LIST) -> DataFrame:
-    """doc_id, text_hash, fp, component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, fp, root, component_id of every row of ``docs`` (doc_id, text).
+
+    ``root`` is the fingerprint that stands for the component, which has one even where no row has an id.
+    """
     rows = written(fingerprints(docs, words))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     stars = components(links(nodes.select("fp"), bits, longest)).select(
@@ -175,8 +179,21 @@ def classes(docs: DataFrame, words: int = WORDS, bits: int = BITS, longest: int
     )
     rooted = nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def one_each(docs: DataFrame, words: int = WORDS, bits: int = BITS, longest: int = LIST) -> DataFrame:
+    """The rows of ``docs``, all their columns, that have the least id of their component; of rows alike in id and text, one."""
+    found = classes(docs, words, bits, longest)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    kept = found.groupBy("root").agg(first.alias("one")).select(
+        *[c.alias(n) for n, c in row_key(F.col("one.doc_id"), F.col("one.text_hash")).items()]
+    )
+    names = docs.columns
+    rows = docs.withColumns(row_key("doc_id", text_digest("text"))).join(kept, ["__rid", "__th"], "left_semi")
+    copy = F.row_number().over(W.Window.partitionBy("__rid", "__th").orderBy("__th"))
+    return rows.withColumn("__copy", copy).where("__copy = 1").select(*names)
 
 
 def hex_fingerprint(fp: Column) -> Column:
