@@ -85,7 +85,7 @@ def places(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """``sizes`` with sid, source_size, target and ``start``, the words of the source before the document."""
     rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("bucket", F.substring("key", 1, 4))
+    rows = rows.withColumn("bucket", F.substring("key", 1, 3))
     per = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     over = W.Window.partitionBy("sid").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     per = per.select("sid", "bucket", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("base"))

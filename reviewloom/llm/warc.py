@@ -174,7 +174,9 @@ class Reader(DataSourceReader):
     def wanted(self, row: dict) -> bool:
         return all(row[name] in values for name, values in self.tests)
 
-    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, piece: Piece | None) -> Iterator[pa.RecordBatch]:
+        if piece is None:  # an archive without files
+            return
         store, folder = place(self.path)
         rows, size = [], 0
         with store.open_input_file(f"{folder}/{piece.file}") as file:
@@ -240,7 +242,7 @@ class Reader(DataSourceReader):
                 if wanted:
                     parts.append(more)
             plain = b"".join(parts)
-            following = at + packed_size if packed_size else file.tell() - len(pending) - len(inflater.unused_data)
+            following = at + packed_size if packed_size else file.tell() - len(inflater.unused_data)
             if not wanted:
                 return None, following
         http_end = plain.find(b"\r\n\r\n", head)
