@@ -12,7 +12,7 @@ from oracle.ctes import (
     language_of,
     lit_re,
     n_lines,
-    plural,
+    paste_language,
     queue,
     quoted,
     re2,
@@ -201,7 +201,7 @@ SELECTS["risk_heatmap"] = """
       CASE risk WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, file_ord) AS position
     FROM pr_metrics_t
 """
-SELECTS["language_stats"] = "SELECT analysis_id, rank, language, bytes, percentage, color FROM languages_t"
+SELECTS["language_stats"] = "SELECT analysis_id, rank, language, bytes, percentage, color FROM languages_t WHERE rank <= 15"
 SELECTS["folder_tree"] = """
     SELECT f.analysis_id, f.path, f.parent, f.name, f.node_type, f.depth,
            (SELECT count(*) FROM folders_t c WHERE c.analysis_id = f.analysis_id AND c.parent = f.path) AS child_count,
@@ -210,7 +210,7 @@ SELECTS["folder_tree"] = """
     UNION ALL
     SELECT analysis_id, '', NULL, '/', 'folder', 0, count(*), NULL, NULL FROM folders_t WHERE depth = 1 GROUP BY 1
 """
-SELECTS["summary_pr"] = "SELECT analysis_id, 0::BIGINT AS part, summary AS text FROM summary_pr_t"
+SELECTS["summary_pr"] = "SELECT * FROM summary_pr_t"
 SELECTS["summary_repo"] = "SELECT * FROM summary_repo_t"
 SELECTS["summary_diff"] = "SELECT * FROM summary_diff_t"
 SELECTS["summary_code"] = "SELECT * FROM summary_code_t"
@@ -232,89 +232,86 @@ def _section(name: str, points: list[tuple[str, str]], otherwise: list[str], mor
 
 
 _STRENGTHS = [
-    ("security_score >= 80", "'Strong security posture (' || security_score || '/100) with ' || "
-     + given("sec_critical = 0", "'no critical vulnerabilities'", "'few critical issues'") + " || '.'"),
-    ("complexity_score >= 70",
-     "'Well-managed complexity (score: ' || complexity_score || '/100) across ' || total_files || ' files.'"),
-    ("n_langs > 1", "'Multi-language codebase using ' || array_to_string(langs[1:3], ', ') || '.'"),
-    ("maintainability_score >= 75",
-     "'Good maintainability (' || maintainability_score || '/100) — code is readable and organized.'"),
+    ("security_score >= 80", "'Security scores ' || security_score || ' of 100, ' || "
+     + given("sec_critical = 0", "'no'", "'few'") + " || ' critical findings.'"),
+    ("complexity_score >= 70", "'Complexity scores ' || complexity_score || ' of 100 over ' || total_files || ' files.'"),
+    ("n_langs > 1", "'Written in ' || array_to_string(langs[1:3], ', ') || '.'"),
+    ("maintainability_score >= 75", "'Maintainability scores ' || maintainability_score || ' of 100.'"),
     ("architecture_score >= 70",
-     "'Solid architecture score (' || architecture_score || '/100) with ' || n_edges || ' detected dependencies.'"),
+     "'Architecture scores ' || architecture_score || ' of 100; ' || n_edges || ' imports between files were resolved.'"),
 ]
 _WEAKNESSES = [
-    ("sec_critical > 0", f"sec_critical || ' critical security issue' || {plural('sec_critical')} || ' require immediate attention.'"),
-    ("sec_high > 0", f"sec_high || ' high-severity security finding' || {plural('sec_high')} || ' detected.'"),
-    ("avg_complexity > 60", f"'Average complexity is ' || {_AVG} || ' — consider breaking down large functions.'"),
-    ("n_complex > 0", f"n_complex || ' file' || {plural('n_complex')} || ' flagged for high cyclomatic complexity.'"),
-    ("maintainability_score < 60",
-     "'Maintainability score is low (' || maintainability_score || '/100) — code may be hard to modify.'"),
-    ("total_files > 500", "'Large codebase (' || total_files || ' files) — may benefit from modularization.'"),
+    ("sec_critical > 0", "sec_critical || ' critical security findings.'"),
+    ("sec_high > 0", "sec_high || ' high security findings.'"),
+    ("avg_complexity > 60", f"'Files have a complexity of ' || {_AVG} || ' on average.'"),
+    ("n_complex > 0", "n_complex || ' files are very complex.'"),
+    ("maintainability_score < 60", "'Maintainability scores only ' || maintainability_score || ' of 100.'"),
+    ("total_files > 500", "total_files || ' files are a lot for one repository.'"),
 ]
 _DEBT = [
-    ("n_complex > 0", "n_complex || ' files with high complexity need refactoring.'"),
-    ("avg_complexity > 50", f"'Average complexity (' || {_AVG} || ') suggests accumulated structural debt.'"),
-    ("maintainability_score < 70", "'Low maintainability score indicates technical debt in code organization.'"),
+    ("n_complex > 0", "n_complex || ' complex files to split up.'"),
+    ("avg_complexity > 50", f"'An average complexity of ' || {_AVG} || ' has built up.'"),
+    ("maintainability_score < 70", "'Maintainability is below 70.'"),
 ]
 _IMPROVEMENTS = [
-    ("sec_critical + sec_high > 0",
-     f"'Address ' || (sec_critical + sec_high) || ' security issue' || {plural('(sec_critical + sec_high)')} || ' — review and patch flagged patterns.'"),
-    ("avg_complexity > 50", "'Refactor high-complexity functions to improve readability and testability.'"),
-    ("n_edges = 0 AND total_files > 5",
-     "'Add explicit dependency imports between modules to improve dependency tracking.'"),
-    ("architecture_score < 70", "'Improve module separation — consider extracting shared utilities.'"),
+    ("sec_critical + sec_high > 0", "'Fix the ' || (sec_critical + sec_high) || ' urgent security findings.'"),
+    ("avg_complexity > 50", "'Split up long functions.'"),
+    ("n_edges = 0 AND total_files > 5", "'No imports between files were resolved: name them by path.'"),
+    ("architecture_score < 70", "'Draw the lines between modules more clearly.'"),
 ]
 SELECTS["insights_repo"] = " UNION ALL ".join(
     [
-        _section("Technical Debt", _DEBT, ["'Technical debt is minimal. No significant structural issues detected.'"]),
+        _section("Technical Debt", _DEBT, ["'None to speak of.'"]),
         _section(
             "Strengths", _STRENGTHS,
-            ["'Active codebase with ' || total_files || ' analyzed files.'", "'Primary language: ' || primary_lang || '.'"],
-            "CASE WHEN stargazers_count > 100 THEN 'Community interest: ' || stargazers_count || ' stars.' END",
+            ["total_files || ' files were looked at.'", "'Most of it is ' || primary_lang || '.'"],
+            "CASE WHEN stargazers_count > 100 THEN 'Starred ' || stargazers_count || ' times.' END",
         ),
-        _section("Weaknesses", _WEAKNESSES, ["'No major weaknesses detected. Scores are within acceptable ranges.'"]),
+        _section("Weaknesses", _WEAKNESSES, ["'None found.'"]),
         _section(
-            "Suggested Improvements", _IMPROVEMENTS,
-            ["'Continue maintaining current code quality standards.'", "'Consider adding unit tests for critical paths.'"],
+            "Suggested Improvements", _IMPROVEMENTS, ["'Keep to the present standard.'", "'Test the critical paths.'"]
         ),
     ]
 )
 SELECTS["prompt_context"] = f"""
-    SELECT analysis_id, 'code' AS kind, 0::BIGINT AS part,
-           'Code to review:' || {NL} || '```' || {NL} || left(code, 2000) || {NL} || '```' || {NL} || 'Issues found: '
-           || (sec_critical + sec_high + sec_medium + sec_low) || ' security, '
-           || (perf_high + perf_medium + perf_low) || ' performance.' AS text
+    SELECT analysis_id, 'code' AS kind,
+           'Pasted code:' || {NL} || code || {NL} || 'Security findings: ' || (sec_critical + sec_high + sec_medium + sec_low)
+           || '; performance findings: ' || (perf_high + perf_medium + perf_low) || '.' AS text
     FROM code_metrics_t
     UNION ALL
-    SELECT m.analysis_id, 'diff', 0, 'Git diff analysis:' || {NL} || string_agg(path || ' (+' || additions || '/-' || deletions || '): '
-           || (sec_critical + sec_high + sec_medium + sec_low) || ' security, ' || (perf_high + perf_medium + perf_low) || ' perf',
+    SELECT m.analysis_id, 'diff', 'Diff by file:' || {NL} || string_agg(path || ': +' || additions || ' -' || deletions || ', '
+           || (sec_critical + sec_high + sec_medium + sec_low) || ' security, ' || (perf_high + perf_medium + perf_low) || ' performance',
              {NL} ORDER BY file_ord)
-           || {NL} || 'Total: ' || coalesce(any_value(n_items), 0) || ' issues (' || coalesce(any_value(n_critical), 0) || ' critical)'
+           || {NL} || 'Queue: ' || coalesce(any_value(n_items), 0) || ' items, ' || coalesce(any_value(n_critical), 0) || ' critical'
     FROM diff_metrics_t m LEFT JOIN counts_diff q ON q.analysis_id = m.analysis_id GROUP BY m.analysis_id
     UNION ALL
-    SELECT f.analysis_id, 'repo', 0, 'Repository: ' || full_name || {NL} || 'Description: ' || coalesce(nullif(description, ''), 'N/A')
-           || {NL} || 'Languages: ' || coalesce(array_to_string(shares[1:5], ', '), '') || {NL} || 'Files: ' || total_files
-           || {NL} || 'Scores: Security ' || security_score || '/100, Complexity ' || complexity_score
-           || '/100, Maintainability ' || maintainability_score || '/100, Architecture ' || architecture_score || '/100' || {NL}
-           || coalesce('Security issues: ' || listed, 'No critical security issues.')
+    SELECT f.analysis_id, 'repo', full_name || {NL} || 'About: ' || coalesce(nullif(description, ''), 'none')
+           || {NL} || 'Languages: ' || coalesce(array_to_string(shares, ', '), '') || {NL} || 'Files: ' || total_files
+           || {NL} || 'Security ' || security_score || ', complexity ' || complexity_score
+           || ', maintainability ' || maintainability_score || ', architecture ' || architecture_score || ' (of 100)' || {NL}
+           || coalesce('Urgent: ' || listed, 'Nothing urgent.')
     FROM facts_t f LEFT JOIN (
-      SELECT analysis_id, string_agg(type || ' in ' || note, '; ' ORDER BY scan_ord, rule_ord, match_ord) AS listed
+      SELECT analysis_id, string_agg(type || ': ' || note, '; ' ORDER BY scan_ord, rule_ord, match_ord) AS listed
       FROM found_repo WHERE level IN ('critical', 'high') GROUP BY 1) l ON l.analysis_id = f.analysis_id
     UNION ALL
-    SELECT h.analysis_id, 'pr', 0, 'PR: ' || title || ' by ' || author || {NL} || 'Repository: ' || repo_name
-           || {NL} || 'Files changed: ' || n_files || ' (+' || additions || '/-' || deletions || ')'
-           || {NL} || 'Key files: ' || files
-           || {NL} || 'Scores: ' || overall || '/100 overall, Security ' || security || '/100, Performance ' || performance || '/100'
-           || {NL} || 'Critical/high issues: ' || coalesce(n_urgent, 0) || {NL} || coalesce(listed, '')
+    SELECT h.analysis_id, 'pr', title || ' (' || author || ')' || {NL} || 'Repository: ' || repo_name
+           || {NL} || 'Files: ' || n_files || ', +' || additions || ' -' || deletions
+           || {NL} || 'Changed: ' || files
+           || {NL} || 'Overall ' || overall || ', security ' || security || ', performance ' || performance || ' (of 100)'
+           || {NL} || 'Urgent items: ' || coalesce(n_urgent, 0) || {NL} || coalesce(listed, '')
     FROM pr_header_t h JOIN pr_sums_t s ON s.analysis_id = h.analysis_id
     JOIN pr_scores_t sc ON sc.analysis_id = h.analysis_id
-    JOIN (SELECT analysis_id, string_agg(path || ' (+' || additions || '/-' || deletions || ')', ', ' ORDER BY file_ord) AS files
-          FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY file_ord) AS pos FROM pr_files_t)
-          WHERE pos <= 10 GROUP BY 1) k ON k.analysis_id = h.analysis_id
+    JOIN (SELECT analysis_id, string_agg(path || ' +' || additions || ' -' || deletions, ', ' ORDER BY file_ord) AS files
+          FROM pr_files_t GROUP BY 1) k ON k.analysis_id = h.analysis_id
     LEFT JOIN (SELECT analysis_id, count(*) AS n_urgent,
-                      string_agg('- [' || category || '] ' || title || ': ' || description, {NL} ORDER BY priority) AS listed
+                      string_agg('* ' || category || ': ' || title || '. ' || description, {NL} ORDER BY priority) AS listed
                FROM queue_pr WHERE severity IN ('critical', 'high') GROUP BY 1) u ON u.analysis_id = h.analysis_id
 """
+SELECTS["code_files_of_paste"] = f"""
+    SELECT analysis_id, path, 'added' AS status, additions, 0::BIGINT AS deletions, {paste_language()} AS language, complexity,
+           1::BIGINT AS old_start, 0::BIGINT AS old_lines, 1::BIGINT AS new_start, additions AS new_lines, code AS content
+    FROM code_metrics_t
+"""
 
 
 def _result(kind: str, scores: str, sums: str, summary: str, extra: dict[str, str]) -> str:
@@ -360,4 +357,4 @@ SELECTS["stream_results"] = " UNION ALL ".join(
         _result("diff", "sub_diff_scores", "sub_diff_sums", "sub_diff_summary", {}),
     ]
 )
-SELECTS["stream_dedup"] = "SELECT event_type, event_id FROM accepted"
+SELECTS["stream_dedup"] = "SELECT user_id, event_type, event_id FROM accepted"

@@ -17,7 +17,7 @@ from reviewloom.functions.lookup import parent
 from reviewloom.functions.text import imports_of_pr_file, imports_of_repo_file
 from reviewloom.operators.joins import salted_join
 from reviewloom.operators.selection import is_repo_file
-from reviewloom.session import cut
+from reviewloom.session import reuse
 
 # What may follow an import in the path it names.
 PR_TAILS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
@@ -46,8 +46,11 @@ def imports_repo(contents: DataFrame) -> DataFrame:
     return exploded_imports(contents, imports_of_repo_file(F.col("content")))
 
 
-def _suffix_keys(path: Column) -> Column:
-    """Hashes of every ending of the path, and of the path without each tail it has."""
+def _ending_keys(path: Column, lengths: Column) -> Column:
+    """Hashes of the endings of the path, and of the path without each tail it has.
+
+    Only endings that are as long as some import are of use; ``lengths`` are theirs.
+    """
     stems = F.filter(
         F.array(
             *[
@@ -60,7 +63,7 @@ def _suffix_keys(path: Column) -> Column:
     endings = F.transform(
         stems,
         lambda s: F.transform(
-            F.sequence(F.lit(1), F.length(s)), lambda i: F.xxhash64(F.substring(s, i, F.length(s)))
+            F.filter(lengths, lambda n: (n > 0) & (n <= F.length(s))), lambda n: F.xxhash64(F.right(s, n))
         ),
     )
     return F.array_distinct(F.flatten(endings))
@@ -70,15 +73,19 @@ def edges_pr(imports: DataFrame, pr_files: DataFrame) -> DataFrame:
     """Edges from imports (see ``imports_pr``) to changed files whose path ends with them.
 
     An import that fits a target gives one edge, and two imports that fit it give two.
+    A one-letter import, as the pattern for Python gives, fits every path with that ending: that many edges
+    are meant, and both joins are salted for them.
     """
     # Both joins read the imports; the texts they come from are read once.
-    sources = cut(imports.withColumn("key", F.xxhash64("imp")))
+    sources = reuse(imports.withColumn("key", F.xxhash64("imp")))
     wanted = sources.select("analysis_id", "imp", "key").distinct()
-    targets = pr_files.select(
+    # Of each analysis, the lengths of its imports: a few numbers.
+    lengths = wanted.groupBy("analysis_id").agg(F.collect_set(F.length("imp")).alias("lengths"))
+    targets = pr_files.join(lengths, "analysis_id").select(
         "analysis_id",
         F.col("path").alias("target"),
         F.col("file_ord").alias("target_ord"),
-        F.explode(_suffix_keys(F.col("path"))).alias("key"),
+        F.explode(_ending_keys(F.col("path"), F.col("lengths"))).alias("key"),
     )
     # Keys are hashes to keep the shuffled rows short; the texts decide.
     fits = F.lit(False)
@@ -173,7 +180,7 @@ def edges_repo(imports: DataFrame, files: DataFrame, resolve_dots: bool = False)
     """
     imp = F.col("imp")
     # Both joins read the imports; the texts they come from are read once.
-    sources = cut(imports.filter(is_repo_file(F.col("source")))).withColumn(
+    sources = reuse(imports.filter(is_repo_file(F.col("source")))).withColumn(
         "key", F.explode(_import_keys(F.col("source"), imp, resolve_dots))
     )
     wanted = sources.select("analysis_id", "key").distinct()

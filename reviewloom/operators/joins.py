@@ -1,38 +1,13 @@
-"""Joins that hold up when one side is hot or large."""
+"""Joins that hold up when one side is hot."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.session import cut
-
-# A side is broadcast only when it was measured and found to have at most this many bytes.
-BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
-def join_selected(big: DataFrame, selected: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of a wide table with the few narrow rows selected from it.
-
-    The selection is worked out and measured first.  Small, it is broadcast and the wide
-    table is not shuffled; otherwise both sides are shuffled on the key.
-    """
-    selected = cut(selected)
-    if measured_bytes(selected) <= BROADCAST_BYTES:
-        selected = F.broadcast(selected)
-    else:
-        selected = selected.hint("shuffle_merge")
-    return big.join(selected, on)
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of the rows of ``df``: its texts, and 16 for each value."""
-    texts = [F.octet_length(f.name) for f in df.schema if f.dataType.simpleString() == "string"]
-    row = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(16 * len(df.columns)))
-    return df.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0))).first()[0]
-
-
 def salted_join(few: DataFrame, many: DataFrame, on: list[str], spread_by: str) -> DataFrame:
     """Inner equi-join whose hot keys are spread over several tasks.
 

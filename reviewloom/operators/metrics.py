@@ -87,18 +87,46 @@ def diff_file_metrics(files: DataFrame) -> DataFrame:
     )
 
 
-# Characters of pasted code that go with the facts about it.
-CODE_SHOWN = 2000
+def paste_path() -> Column:
+    """The file name of pasted code; without one, or with an empty one, a fixed value."""
+    return F.when(F.col("filename") != "", F.col("filename")).otherwise("pasted-code")
 
 
-def code_metrics(submissions: DataFrame) -> DataFrame:
-    """Measures of pasted code; each submission is one file."""
+def paste_language() -> Column:
+    """The language of pasted code by its file name; without one that of a text file."""
+    return F.when(F.col("filename") != "", language(F.col("filename"))).otherwise("TXT")
+
+
+def code_metrics(submissions: DataFrame, *extra: Column) -> DataFrame:
+    """Measures of pasted code (analysis_id, code, filename); each submission is one file.
+
+    ``extra`` columns over the submission are worked out in the same pass.
+    """
     code = F.col("code")
     return submissions.select(
         "analysis_id",
+        paste_path().alias("path"),
+        paste_language().alias("language"),
         non_blank_lines(code).cast("int").alias("additions"),
         complexity_of_code(code).alias("complexity"),
         *level_counts("code", rules.CODE_SECURITY, "sec"),
         *level_counts("code", rules.CODE_PERFORMANCE, "perf"),
-        F.substring(code, 1, CODE_SHOWN).alias("shown"),
+        *extra,
+    )
+
+
+def paste_files(submissions: DataFrame) -> DataFrame:
+    """Pasted code as the one added file and the one hunk that it is."""
+    code, lines = F.col("code"), F.col("additions")
+    measured = submissions.select(
+        "analysis_id",
+        paste_path().alias("path"),
+        paste_language().alias("language"),
+        complexity_of_code(code).alias("complexity"),
+        F.inline(F.array(F.struct(non_blank_lines(code).cast("int").alias("additions"), code.alias("content")))),
+    )
+    return measured.select(
+        "analysis_id", "path", F.lit("added").alias("status"), "additions", F.lit(0).alias("deletions"),
+        "language", "complexity", F.lit(1).alias("old_start"), F.lit(0).alias("old_lines"),
+        F.lit(1).alias("new_start"), lines.alias("new_lines"), "content",
     )

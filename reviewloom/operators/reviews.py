@@ -10,10 +10,11 @@ from reviewloom.functions.binding import literals
 from reviewloom.functions.lookup import basename, rank_of
 from reviewloom.functions.rules import CATEGORY_RANK, LEVEL_RANK, Rule
 from reviewloom.functions.text import complexity_of_code, complexity_of_file
+from reviewloom.operators.metrics import paste_path
 from reviewloom.operators.ranking import positions_in_group
 from reviewloom.operators.scan import findings_array
 from reviewloom.operators.scores import COMPLEX, VERY_COMPLEX
-from reviewloom.session import cut
+from reviewloom.session import reuse
 
 _ITEM = (
     "struct<category:string,severity:string,line:int,title:string,description:string,"
@@ -163,9 +164,9 @@ def review_items_pr(pr_files: DataFrame, coupled: DataFrame) -> DataFrame:
 def reviews_pr(items: DataFrame) -> DataFrame:
     """Number the queue of each pull request, which may have any number of files."""
     numbered = positions_in_group(
-        cut(items),
+        reuse(items),
         ["analysis_id"],
-        "file_ord",
+        ["file_ord"],
         ["file_ord", "rule_ord", "match_ord"],
         {"priority": ["sev_rank", "cat_rank"], "number": ["cat_rank"]},
     )
@@ -173,11 +174,12 @@ def reviews_pr(items: DataFrame) -> DataFrame:
 
 
 def reviews_repo(contents: DataFrame) -> DataFrame:
-    """Queue of each repository, over the few files chosen to be read (``scan_ord``)."""
+    """Queue of each repository; its files come in the order of ``smaller``, then of the tree."""
     place = basename(F.col("path"))
     scanned = contents.select(
         "analysis_id",
-        "scan_ord",
+        "smaller",
+        "file_ord",
         "path",
         findings_array("content", rules.REPO_SECURITY).alias("sec"),
         complexity_of_file(F.col("content")).alias("complexity"),
@@ -187,7 +189,8 @@ def reviews_repo(contents: DataFrame) -> DataFrame:
     )
     items = scanned.select(
         "analysis_id",
-        "scan_ord",
+        "smaller",
+        "file_ord",
         "path",
         F.inline(
             F.concat(
@@ -196,8 +199,14 @@ def reviews_repo(contents: DataFrame) -> DataFrame:
             )
         ),
     )
-    inserted = ["scan_ord", "cat_rank", "rule_ord", "match_ord"]
-    return _number_small(_ranked(items), inserted, ["sev_rank", "cat_rank", *inserted])
+    numbered = positions_in_group(
+        reuse(_ranked(items)),
+        ["analysis_id"],
+        ["smaller", "file_ord"],
+        ["smaller", "file_ord", "cat_rank", "rule_ord", "match_ord"],
+        {"priority": ["sev_rank", "cat_rank"], "number": []},
+    )
+    return numbered.withColumn("id", F.concat(F.lit("r"), "number")).select(*OUTPUT)
 
 
 def reviews_diff(files: DataFrame) -> DataFrame:
@@ -225,10 +234,12 @@ def reviews_diff(files: DataFrame) -> DataFrame:
     return _number_small(_ranked(items), inserted, ["sev_rank", *inserted])
 
 
-def reviews_code(submissions: DataFrame, path: str = "pasted-code") -> DataFrame:
-    """Queue of each code submission, sorted inside its row: no shuffle."""
+def reviews_code(submissions: DataFrame) -> DataFrame:
+    """Queue of each code submission (with ``filename``), sorted inside its row: no shuffle."""
+    path = F.col("path")
     scanned = submissions.select(
         "analysis_id",
+        paste_path().alias("path"),
         findings_array("code", rules.CODE_SECURITY).alias("sec"),
         findings_array("code", rules.CODE_PERFORMANCE).alias("perf"),
         complexity_of_code(F.col("code")).alias("complexity"),
@@ -236,9 +247,10 @@ def reviews_code(submissions: DataFrame, path: str = "pasted-code") -> DataFrame
     title = F.concat(F.lit("High complexity ("), F.col("complexity"), F.lit(")"))
     items = scanned.select(
         "analysis_id",
+        "path",
         F.concat(
-            _finding_items(F.col("sec"), rules.CODE_SECURITY, F.lit(path), "code"),
-            _finding_items(F.col("perf"), rules.CODE_PERFORMANCE, F.lit(path), "code"),
+            _finding_items(F.col("sec"), rules.CODE_SECURITY, path, "code"),
+            _finding_items(F.col("perf"), rules.CODE_PERFORMANCE, path, "code"),
             _complexity_items(F.col("complexity"), title),
         ).alias("items"),
     )
@@ -252,11 +264,11 @@ def reviews_code(submissions: DataFrame, path: str = "pasted-code") -> DataFrame
         )
 
     queue = F.array_sort(F.transform("items", with_keys))
-    return items.select("analysis_id", F.posexplode(queue).alias("pos", "entry")).select(
+    return items.select("analysis_id", "path", F.posexplode(queue).alias("pos", "entry")).select(
         "analysis_id",
         F.concat(F.lit("r"), "entry.number").alias("id"),
         (F.col("pos") + 1).cast("int").alias("priority"),
-        F.lit(path).alias("path"),
+        "path",
         "entry.item.*",
     ).select(*OUTPUT)
 
@@ -316,6 +328,6 @@ def risk_heatmap(metrics: DataFrame) -> DataFrame:
         rank_of(F.col("risk"), LEVEL_RANK).alias("risk_rank"),
     )
     placed = positions_in_group(
-        cut(ranked), ["analysis_id"], "file_ord", ["file_ord"], {"position": ["risk_rank"]}
+        reuse(ranked), ["analysis_id"], ["file_ord"], ["file_ord"], {"position": ["risk_rank"]}
     )
     return placed.drop("risk_rank", "file_ord")

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from reviewloom.functions.lookup import color, language
 from reviewloom.operators.ranking import first_of_group
 
-TOP_LANGUAGES = 15
-
 
 def churn_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("analysis_id").agg(
@@ -19,8 +17,8 @@ def churn_totals(files: DataFrame) -> DataFrame:
     )
 
 
-def language_stats(languages: DataFrame, n: int = TOP_LANGUAGES) -> DataFrame:
-    """The ``n`` languages with most bytes of each repository, with their share and colour.
+def language_stats(languages: DataFrame, n: int | None = None) -> DataFrame:
+    """The ``n`` languages with most bytes of each repository (all by default), with share and colour.
 
     ``languages`` has (analysis_id, lang_ord, language, bytes).
     """
@@ -117,16 +115,16 @@ def listed(tree: DataFrame) -> DataFrame:
     return tree.orderBy("analysis_id", "parent", *sibling_order())
 
 
-def first_findings(findings: DataFrame, order: list, n: int = 10) -> DataFrame:
+def first_findings(findings: DataFrame, order: list, n: int) -> DataFrame:
     return first_of_group(findings, ["analysis_id"], order, n, "pos")
 
 
-def first_root_nodes(tree: DataFrame, n: int = 30) -> DataFrame:
+def first_root_nodes(tree: DataFrame, n: int) -> DataFrame:
     roots = tree.filter(F.col("depth") == 1)
     return first_of_group(roots, ["analysis_id"], sibling_order(), n, "pos")
 
 
-def first_files(pr_files: DataFrame, n: int = 10) -> DataFrame:
+def first_files(pr_files: DataFrame, n: int) -> DataFrame:
     return first_of_group(
         pr_files.select("analysis_id", "file_ord", "path", "additions", "deletions"),
         ["analysis_id"],

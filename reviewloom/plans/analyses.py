@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.text import imports_of_repo_file
 from reviewloom.operators import diffs, graph, metrics, narrative, reviews, scores
-from reviewloom.session import cut
+from reviewloom.session import reuse
 
 RESULT = [
     "analysis_id", "kind", "overall", "security", "complexity", "maintainability",
@@ -39,11 +39,11 @@ def diff_sums(submissions: DataFrame) -> DataFrame:
     files = diffs.diff_files(diffs.file_blocks(submissions))
     sums = scores.file_sums(metrics.diff_file_metrics(files), "diff")
     # Scores, totals and texts all start from these few numbers.
-    return cut(scores.with_all(submissions, sums, "diff"))
+    return reuse(scores.with_all(submissions, sums, "diff"))
 
 
 def results_code(submissions: DataFrame) -> DataFrame:
-    """Results of pasted code: one projection over the submissions, no shuffle."""
+    """Results of pasted code (with ``filename``): one projection over the submissions, no shuffle."""
     df = metrics.code_metrics(submissions).select(
         "analysis_id",
         *[c.alias(name) for name, c in scores.code_score_columns().items()],
@@ -65,10 +65,10 @@ def results_diff(submissions: DataFrame) -> DataFrame:
 def pr_parts(pr_files: DataFrame, contents: DataFrame) -> dict[str, DataFrame]:
     """Measures, sums, edges, queue counts and scores of pull requests."""
     # The patches are scanned once; all else starts from the narrow measures.
-    measured = cut(metrics.pr_file_metrics(pr_files))
+    measured = reuse(metrics.pr_file_metrics(pr_files))
     sums = scores.file_sums(measured, "pr")
     edges = graph.edges_pr(graph.imports_pr(contents), pr_files)
-    coupled = cut(graph.coupling(edges))
+    coupled = reuse(graph.coupling(edges))
     return {
         "metrics": measured,
         "sums": sums,
@@ -81,13 +81,9 @@ def pr_parts(pr_files: DataFrame, contents: DataFrame) -> dict[str, DataFrame]:
 
 
 def results_pr(pr_files: DataFrame, contents: DataFrame) -> DataFrame:
-    """Results of pull requests with the first part of their summary."""
     p = pr_parts(pr_files, contents)
-    texts = narrative.summary_pr(p["totals"], p["queue"], p["metrics"]).filter(F.col("part") == 0)
-    df = p["scores"].join(p["totals"], "analysis_id").join(
-        texts.select("analysis_id", F.col("text").alias("summary")), "analysis_id"
-    )
-    return _result(df, "pr")
+    texts = narrative.summary_pr(p["totals"], p["queue"], p["metrics"])
+    return _result(p["scores"].join(p["totals"], "analysis_id").join(texts, "analysis_id"), "pr")
 
 
 def repo_parts(
@@ -96,11 +92,11 @@ def repo_parts(
     """Sums, scores and facts of repositories.
 
     ``languages`` as from ``rollups.language_stats``, ``files`` from ``selection.repo_files``,
-    ``contents`` those of the files chosen to be read.
+    ``contents`` those of the source files.
     """
     imports = imports_of_repo_file(F.col("content")).alias("imports")
     # The contents are scanned once; all else starts from the narrow measures.
-    measured = cut(metrics.repo_file_metrics(contents, imports))
+    measured = reuse(metrics.repo_file_metrics(contents, imports))
     sums = scores.with_all(info, scores.file_sums(measured.drop("imports"), "repo"), "repo")
     counted = files.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("total_files"))
     scored = scores.scores_repo(sums, counted)

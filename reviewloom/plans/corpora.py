@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.binding import literals
-from reviewloom.functions.lookup import language
-from reviewloom.operators import selection
-from reviewloom.operators.joins import join_selected
+from reviewloom.functions.lookup import SOURCE_EXTENSIONS, extension, language
 from reviewloom.plans.bank import SNIPPETS
 
 _EXTS = [ext for ext, _ in SNIPPETS]
@@ -24,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The files of a table as a stream; the file limit bounds each micro-batch.
+
+    The path is a pattern, which a table of one file may be given by too.
+    """
+    files = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    return files.option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
     """A table whose texts are to be scanned, with work for every core.
 
@@ -49,15 +56,19 @@ def _doc_path(ext: Column) -> Column:
     )
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_files(
+    spark: SparkSession, sf_dir: str, chosen: Column | None = None, *extra: Column
+) -> DataFrame:
     """Source files: (analysis_id, file_ord, path, size, content); a repository per source."""
     doc = F.col("doc_id")
     body = F.replace(_pick(_BODIES, doc), F.lit("@NEAR@"), (doc + 20).cast("string"))
     body = F.replace(body, F.lit("@FOLD@"), ((doc + 20) % 13).cast("string"))
     newline = F.lit("\n")
-    return texts(spark, sf_dir, "documents", "doc_id").select(
+    docs = texts(spark, sf_dir, "documents", "doc_id")
+    return (docs if chosen is None else docs.filter(chosen)).select(
         F.col("source").alias("analysis_id"),
         doc.alias("file_ord"),
+        *extra,
         _doc_path(_pick(_EXTS, doc)).alias("path"),
         F.col("n_chars").alias("size"),
         F.when(doc % 2 == 0, F.concat(body, newline, "text"))
@@ -67,38 +78,57 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source file pasted as a submission of its own."""
+    """Every source file pasted as a submission of its own; every third has a file name."""
+    doc = F.col("file_ord")
     return code_files(spark, sf_dir).select(
-        F.concat(F.lit("doc-"), F.col("file_ord").cast("string")).alias("analysis_id"),
+        F.concat(F.lit("doc-"), doc.cast("string")).alias("analysis_id"),
         F.col("content").alias("code"),
+        F.when(doc % 3 == 0, F.col("path")).when(doc % 3 == 1, F.lit("")).alias("filename"),
     )
 
 
-def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repository trees: mostly the source files, with some folders and assets."""
+def _tree_path() -> Column:
     doc = F.col("doc_id")
-    ext = (
+    return _doc_path(
         F.when(doc % 23 == 0, "png").when(doc % 29 == 0, "lock").otherwise(_pick(_EXTS, doc))
     )
+
+
+def _tree_type() -> Column:
+    return F.when(F.col("doc_id") % 17 == 0, "tree").otherwise("blob")
+
+
+def _tree_size() -> Column:
+    return F.when(F.col("doc_id") % 19 != 0, F.col("n_chars"))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository trees: mostly the source files, with some folders and assets."""
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("analysis_id"),
-        doc.alias("file_ord"),
-        _doc_path(ext).alias("path"),
-        F.when(doc % 17 == 0, "tree").otherwise("blob").alias("type"),
-        F.when(doc % 19 != 0, F.col("n_chars")).alias("size"),
+        F.col("doc_id").alias("file_ord"),
+        _tree_path().alias("path"),
+        _tree_type().alias("type"),
+        _tree_size().alias("size"),
     )
 
 
 def repo_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents of the files chosen in each repository, with their scan order."""
-    chosen = selection.scan_candidates(tree(spark, sf_dir)).select("file_ord", "scan_ord")
-    return join_selected(code_files(spark, sf_dir), chosen, ["file_ord"])
+    """Contents of every source file of each repository; ``smaller`` puts them in scan order.
+
+    Largest first, then in order of the tree.
+    """
+    return code_files(
+        spark, sf_dir,
+        (_tree_type() == "blob") & extension(_tree_path()).isin(SOURCE_EXTENSIONS),
+        (-F.coalesce(_tree_size(), F.lit(0))).cast("bigint").alias("smaller"),
+    )
 
 
 def repo_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("head", F.substring("text", 1, 200))
+    docs = table(spark, sf_dir, "documents")
     return docs.groupBy(F.col("source").alias("analysis_id")).agg(
-        F.min_by("head", "doc_id").alias("head"),
+        F.min_by("text", "doc_id").alias("head"),
         F.count(F.lit(1)).alias("n"),
         F.min("doc_id").alias("first"),
     ).select(
@@ -125,6 +155,10 @@ def _turn_key() -> Column:
     return F.col("conv_id") + F.col("turn")
 
 
+def _turn_path() -> Column:
+    return F.concat(F.lit("src/c"), F.col("turn").cast("string"), F.lit("."), _pick(_EXTS, _turn_key()))
+
+
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A diff per conversation turn, with a file block per line of its text."""
     newline = F.lit("\n")
@@ -171,8 +205,7 @@ def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "conversations", "conv_id", "turn").select(
         F.concat(F.lit("pr-"), F.col("conv_id").cast("string")).alias("analysis_id"),
         F.col("turn").cast("int").alias("file_ord"),
-        F.concat(F.lit("src/c"), F.col("turn").cast("string"), F.lit("."), _pick(_EXTS, _turn_key()))
-        .alias("path"),
+        _turn_path().alias("path"),
         F.lit("modified").alias("status"),
         additions.alias("additions"),
         deletions.alias("deletions"),
@@ -182,7 +215,7 @@ def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pr_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents of the most changed files of each pull request, which import one another."""
+    """Contents of the files with a patch of each pull request, which import one another."""
     turn = F.col("turn")
 
     def named(step: int, before: str, after: str) -> list[Column]:
@@ -197,20 +230,18 @@ def pr_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
         *named(6, "import * as s from 'c", ".ts';\n"),
         "text",
     )
-    texts = table(spark, sf_dir, "conversations").select(
+    rows = texts(spark, sf_dir, "conversations", "conv_id", "turn")
+    return rows.filter(_turn_key() % 11 != 0).select(
         F.concat(F.lit("pr-"), F.col("conv_id").cast("string")).alias("analysis_id"),
         turn.cast("int").alias("file_ord"),
+        _turn_path().alias("path"),
         content.alias("content"),
     )
-    chosen = selection.pr_candidates(pr_files(spark, sf_dir)).select(
-        "analysis_id", "file_ord", "path", "scan_ord"
-    )
-    return join_selected(texts, chosen, ["analysis_id", "file_ord"])
 
 
 def pr_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title and author of each pull request: the start and role of its first turn."""
-    first = F.min_by(F.struct(F.substring("text", 1, 40).alias("title"), "role"), "turn")
+    """Title and author of each pull request: the text and role of its first turn."""
+    first = F.min_by(F.struct(F.col("text").alias("title"), "role"), "turn")
     grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(first.alias("first"))
     conv = F.col("conv_id").cast("string")
     return grouped.select(
@@ -222,7 +253,19 @@ def pr_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixed submissions, one per page: addresses, diffs, code and rejects."""
+    return mixed(table(spark, sf_dir, "pages"))
+
+
+def page_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The same submissions from the table's own files, as a stream of them."""
+    return mixed(table_stream(spark, sf_dir, "pages", files_per_trigger))
+
+
+def mixed(pages: DataFrame) -> DataFrame:
+    """Mixed submissions of pages: addresses, diffs, code and rejects.
+
+    A page whose text is in neither a diff nor code is pasted as it is too, so that all are read.
+    """
     page = F.col("page_id")
     kind, number = page % 8, page.cast("string")
     host = "https://github.com/org"
@@ -247,12 +290,18 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(kind == 7, F.concat(_pick(_BODIES, page), F.lit("\n"), F.col("html"))).when(
         kind == 6, F.lit(" \n\t ")
     )
-    return table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("s"), number).alias("analysis_id"),
-        url.alias("url"),
-        diff.alias("diff"),
-        code.alias("code"),
-        F.lit(None).cast("string").alias("filename"),
+    none = F.lit(None).cast("string")
+    first = F.struct(
+        F.concat(F.lit("s"), number).alias("analysis_id"), url.alias("url"), diff.alias("diff"), code.alias("code")
+    )
+    pasted = F.struct(
+        F.concat(F.lit("s"), number, F.lit("x")).alias("analysis_id"), none.alias("url"), none.alias("diff"),
+        F.col("html").alias("code"),
+    )
+    rows = F.when(is_diff | (kind == 7), F.array(first)).otherwise(F.array(first, pasted))
+    return pages.select(F.inline(rows)).select(
+        "analysis_id", "url", "diff", "code",
+        none.alias("filename"),
         F.lit(None).cast("timestamp").alias("received_at"),
     )
 

@@ -24,7 +24,7 @@ from reviewloom.operators import (
     selection,
 )
 from reviewloom.plans import analyses, corpora
-from reviewloom.session import cut, ensure_checkpoint_dir
+from reviewloom.session import reuse, shared_folder
 from reviewloom.sources import landed, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,8 +42,11 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4()}"
+    """A fresh folder in the shared one; it goes when the driver's JVM ends."""
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 # Sources -------------------------------------------------------------------------------
@@ -254,11 +257,11 @@ def flatten_findings(spark, sf):
 @query
 def first_n(spark, sf):
     """The short lists of a dashboard: findings, root folders and changed files."""
-    contents = corpora.repo_contents(spark, sf).select("analysis_id", "path", "scan_ord", "content")
+    contents = corpora.repo_contents(spark, sf).select("analysis_id", "path", "smaller", "file_ord", "content")
     found = scan.scan(contents, rules.REPO_SECURITY)
-    tenth = rollups.first_findings(found, ["scan_ord", "rule_ord", "match_ord"])
-    roots = rollups.first_root_nodes(rollups.folder_tree(selection.repo_files(corpora.tree(spark, sf))))
-    files = rollups.first_files(corpora.pr_files(spark, sf))
+    tenth = rollups.first_findings(found, ["smaller", "file_ord", "rule_ord", "match_ord"], 10)
+    roots = rollups.first_root_nodes(rollups.folder_tree(selection.repo_files(corpora.tree(spark, sf))), 30)
+    files = rollups.first_files(corpora.pr_files(spark, sf), 10)
 
     def named(name: str, df: DataFrame, item) -> DataFrame:
         return df.select(
@@ -347,7 +350,6 @@ def edges_pr(spark, sf):
 
 @query
 def edges_repo(spark, sf):
-    """Edges from every file of a repository, not only those chosen to be scored."""
     return _long(_edges_repo(spark, sf), "weight")
 
 
@@ -511,6 +513,13 @@ def reviews_code(spark, sf):
     return _queue(reviews.reviews_code(corpora.code_submissions(spark, sf)))
 
 
+@query
+def code_files_of_paste(spark, sf):
+    """Pasted code as the added file and the hunk that a result shows."""
+    files = metrics.paste_files(corpora.code_submissions(spark, sf))
+    return _long(files, "additions", "deletions", "complexity", "old_start", "old_lines", "new_start", "new_lines")
+
+
 @query
 def risk_heatmap(spark, sf):
     return _long(reviews.risk_heatmap(_pr_metrics(spark, sf)), "position", "complexity")
@@ -521,7 +530,7 @@ def risk_heatmap(spark, sf):
 
 @query
 def language_stats(spark, sf):
-    return _long(rollups.language_stats(corpora.repo_languages(spark, sf)), "rank")
+    return _long(rollups.language_stats(corpora.repo_languages(spark, sf), 15), "rank")
 
 
 @query
@@ -533,7 +542,7 @@ def folder_tree(spark, sf):
 @query
 def summary_pr(spark, sf):
     p = _pr_parts(spark, sf)
-    return _long(narrative.summary_pr(p["totals"], p["queue"], p["metrics"]), "part")
+    return narrative.summary_pr(p["totals"], p["queue"], p["metrics"])
 
 
 @query
@@ -560,19 +569,21 @@ def insights_repo(spark, sf):
 @query
 def prompt_context(spark, sf):
     """Facts of all four kinds of analysis."""
-    code = narrative.context_code(metrics.code_metrics(corpora.code_submissions(spark, sf)))
-    diff_metrics = cut(metrics.diff_file_metrics(_diff_files(spark, sf)))
+    code = narrative.context_code(
+        metrics.code_metrics(corpora.code_submissions(spark, sf), F.col("code").alias("shown"))
+    )
+    diff_metrics = reuse(metrics.diff_file_metrics(_diff_files(spark, sf)))
     diff_queue = reviews.queue_counts_diff(scores.file_sums(diff_metrics, "diff"))
     diff = narrative.context_diff(diff_metrics, diff_queue)
     contents = corpora.repo_contents(spark, sf)
     found = scan.scan(
-        contents.select("analysis_id", "scan_ord", "content"), rules.REPO_SECURITY
+        contents.select("analysis_id", "smaller", "file_ord", "content"), rules.REPO_SECURITY
     ).withColumn("note", scan.notes(rules.REPO_SECURITY))
     repo = narrative.context_repo(_repo_parts(spark, sf, contents)["facts"], found)
     files = corpora.pr_files(spark, sf)
     p = _pr_parts(spark, sf)
     pr = narrative.context_pr(
-        corpora.pr_headers(spark, sf), p["totals"], rollups.first_files(files), p["scores"],
+        corpora.pr_headers(spark, sf), p["totals"], files, p["scores"],
         reviews.review_items_pr(files, p["coupled"]), p["queue"],
     )
     kinds = {"code": code, "diff": diff, "repo": repo, "pr": pr}
@@ -580,7 +591,7 @@ def prompt_context(spark, sf):
     out = named[0]
     for df in named[1:]:
         out = out.unionByName(df)
-    return _long(out, "part")
+    return out
 
 
 @query
@@ -601,28 +612,12 @@ def results(spark, sf):
 # Streams ------------------------------------------------------------------------------------------------
 
 
-# Rows of one portion of a stream that has to be taken in order of time.
-PORTION_ROWS = 5_000_000
-
-
-def _landed_stream(spark, sf, folder: str) -> DataFrame:
-    """The mixed submissions as a stream of several landed files, a few of them at a time."""
-    path = f"{folder}/in"
-    mixed = corpora.submissions(spark, sf)
-    splits = mixed.rdd.getNumPartitions()
-    if splits < 4:
-        splits, mixed = 4, mixed.repartition(4, "analysis_id")
-    mixed.write.parquet(path)
-    return landed.submission_stream(spark, path, files_per_trigger=max(2, splits // 50))
-
-
 @query
 def stream_scan(spark, sf):
     from reviewloom.streaming.scan import start_scan
 
     folder = _scratch(spark)
-    stream = _landed_stream(spark, sf, folder)
-    start_scan(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    start_scan(corpora.page_stream(spark, sf), f"{folder}/out", f"{folder}/state").awaitTermination()
     return _long(spark.read.parquet(f"{folder}/out"), "file_ord", "line", "rule_ord", "match_ord")
 
 
@@ -631,38 +626,20 @@ def stream_results(spark, sf):
     from reviewloom.streaming.results import start_results
 
     folder = _scratch(spark)
-    stream = _landed_stream(spark, sf, folder)
-    start_results(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    start_results(corpora.page_stream(spark, sf), f"{folder}/out", f"{folder}/state").awaitTermination()
     return store.load(spark, f"{folder}/out").select(*analyses.RESULT)
 
 
 @query
 def stream_dedup(spark, sf):
-    """Events land in portions of time, each taken up where the last one stopped.
-
-    The number of portions grows with the events, so the rows of a key that meet in one
-    task stay bounded.
-    """
-    from reviewloom.streaming.dedup import start_dedup
+    """Events of one user and type suppress each other; the table's own files are the stream."""
+    from reviewloom.streaming.dedup import accepted, start_dedup
 
     folder = _scratch(spark)
-    events = corpora.table(spark, sf, "events").select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"
-    )
-    micros = F.unix_micros("ts")
-    n, low, high = events.agg(F.count("ts"), F.min(micros), F.max(micros)).first()
-    low, high = low or 0, high or 0
-    portions = max(3, -(-n // PORTION_ROWS))
-    edges = [low + (high + 1 - low) * i // portions for i in range(portions + 1)]
-    for start, end in zip(edges, edges[1:]):
-        portion = (F.col("ts") >= F.timestamp_micros(F.lit(start))) & (
-            F.col("ts") < F.timestamp_micros(F.lit(end))
-        )
-        events.filter(portion).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
-        start_dedup(
-            stream, f"{folder}/out", f"{folder}/state", "event_type", "ts", "event_id"
-        ).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(
-        F.col("key").alias("event_type"), F.col("row_id").alias("event_id")
+    events = corpora.table_stream(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"
     )
+    start_dedup(
+        events, f"{folder}/out", f"{folder}/state", ["user_id", "event_type"], "ts", "event_id"
+    ).awaitTermination()
+    return accepted(spark, f"{folder}/out").select("user_id", "event_type", F.col("row_id").alias("event_id"))

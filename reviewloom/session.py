@@ -1,9 +1,8 @@
-"""Session settings and the shared folder for cut lineage."""
+"""Session settings, the shared folder of streams, and reuse of scans."""
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,23 +29,22 @@ def local_session(
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch one only where none is set."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if not current:
-            current = tempfile.mkdtemp(prefix="run-")
-        sc.setCheckpointDir(current)
-    return current
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, for streams.
+
+    A cluster names it in ``spark.checkpoint.dir``; only a local session may go without.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return "/tmp/checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there.
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep what an expensive scan gives for its second reader, in the executors.
 
-    For narrow results of an expensive scan that are used more than once: the scan runs
-    once, and an executor lost later costs a re-read, not a re-scan.
+    Nothing runs before the result is asked for, and what a lost executor kept is worked out anew.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

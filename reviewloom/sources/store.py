@@ -26,7 +26,21 @@ def save(results: DataFrame, path: str, batch_id: int | None = None) -> None:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The last saved result of each id: of the latest batch that has it.
+
+    Each id's rows meet as partial maxima, one per task.  Two rows of one id in a batch are told apart by their values.
+    """
+    saved = spark.read.parquet(path)
+    if "batch_id" not in saved.columns:
+        return saved
+    results = [c for c in saved.columns if c != "batch_id"]
+    last = F.max_by(F.struct(*results), F.struct("batch_id", *sorted(set(results) - {"analysis_id"})))
+    return saved.groupBy("analysis_id").agg(last.alias("last")).select("last.*")
+
+
+def compact(spark: SparkSession, path: str, out: str) -> None:
+    """Write what ``load`` gives as a table of its own, a folder per kind instead of one per batch."""
+    save(load(spark, path), out)
 
 
 def latest(saves: DataFrame, order: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,71 +12,123 @@ from pyspark.sql.streaming import StreamingQuery
 TTL_SECONDS = 300
 
 
-def first_sights(
-    stream: DataFrame, key: str, ts: str, row_id: str,
-    ttl_seconds: int = TTL_SECONDS, lateness: str = "1 hour",
-) -> DataFrame:
-    """Rows that no accepted row of their key precedes by at most ``ttl_seconds``.
+def segmented(rows: DataFrame, ttl: int) -> DataFrame:
+    """``rows`` (key, micros, row_id) with ``segment``: stretches of a key that more than ``ttl`` parts.
+
+    Time is cut into buckets as long as the suppression.  Where one is empty, the gap over it is longer,
+    so what follows depends on nothing before it.  Only the buckets of a key are ordered, not its rows.
+    """
+    rows = rows.withColumn("bucket", F.floor(F.col("micros") / ttl))
+    buckets = rows.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("key").orderBy("bucket")
+    fresh = F.col("bucket") - F.coalesce(F.lag("bucket").over(along), F.col("bucket") - 2) > 1
+    starts = buckets.withColumn("start", F.when(fresh, F.col("bucket")))
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    segments = starts.select("key", "bucket", F.last("start", ignorenulls=True).over(upto).alias("segment"))
+    return rows.join(segments, ["key", "bucket"]).drop("bucket")
+
+
+def first_sights(rows: DataFrame, state: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """Rows (key, micros, row_id) that no accepted row of their key precedes by at most ``ttl_seconds``.
 
-    A suppressed row does not lengthen the suppression.  State is one time per key; it
-    goes once the watermark has passed the end of the suppression, when any row that can
-    still come would be taken anyway.  Only key, time and id pass through Python.  The rule
-    needs the rows of a key in order, so those of one batch meet in one task: land the rows in
-    order of time and keep the batches small (``maxFilesPerTrigger`` or portions).
+    ``state`` has (key, last), the last row accepted before; a row before it counts as a repeat.  A suppressed
+    row does not lengthen the suppression.  Rows of a segment pass in order through one task, a portion at a time.
     """
     ttl = ttl_seconds * 1_000_000
+    dealt = (
+        segmented(rows, ttl)
+        .join(state, "key", "left")
+        .withColumn("group", F.xxhash64("key", "segment"))
+        .select("group", "key", "segment", "last", "micros", "row_id")
+        .repartition("group")
+        .sortWithinPartitions("group", "key", "segment", "micros", "row_id")
+    )
 
-    def keep(keys, frames, state):
+    def keep(frames: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["micros", "row_id"], kind="stable")
-        micros = rows["micros"].to_numpy()
-        last = state.get[0] if state.exists else None
-        taken, i = [], 0
-        if last is not None:
-            i = int(np.searchsorted(micros, last + ttl, side="right"))
-        while i < len(micros):
-            taken.append(i)
-            last = int(micros[i])
-            i = int(np.searchsorted(micros, last + ttl, side="right"))
-        state.update((last,))
-        ends = (last + ttl) // 1000 + 1
-        if ends > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(ends)
-        else:
-            state.remove()
-        if taken:
-            yield rows.iloc[taken][["key", "micros", "row_id"]]
-
-    narrow = stream.select(
-        F.col(key).cast("string").alias("key"),
-        F.col(ts).cast("timestamp").alias("event_time"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"),
-        F.col(row_id).cast("bigint").alias("row_id"),
-    )
-    kept = narrow.withWatermark("event_time", lateness).groupBy("key").applyInPandasWithState(
-        keep,
-        "key string, micros bigint, row_id bigint",
-        "last bigint",
-        "append",
-        "EventTimeTimeout",
+
+        held, last = None, None
+        for frame in frames:
+            micros = frame["micros"].to_numpy()
+            names = list(zip(frame["group"], frame["key"].map(repr), frame["segment"]))
+            edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            taken = []
+            for start, stop in zip(edges, edges[1:]):
+                if start == stop:
+                    continue
+                if names[start] != held:
+                    held, before = names[start], frame["last"].iloc[start]
+                    last = None if before is None or before != before else int(before)
+                at = start
+                while True:
+                    if last is not None:
+                        at = max(at, start + int(np.searchsorted(micros[start:stop], last + ttl, side="right")))
+                    if at >= stop:
+                        break
+                    taken.append(at)
+                    last = int(micros[at])
+            yield frame.iloc[taken][["key", "micros", "row_id"]]
+
+    return dealt.mapInPandas(keep, dealt.select("key", "micros", "row_id").schema)
+
+
+def _folder(path: str, batch_id: int) -> str:
+    return f"{path}/batch={batch_id}"
+
+
+def _exists(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store if store.exists(at) else None
+
+
+def take_batch(
+    batch: DataFrame, batch_id: int, sink: str, checkpoint: str, key: list[str], ts: str, row_id: str,
+    ttl_seconds: int = TTL_SECONDS,
+) -> None:
+    """Accept what is new in a batch; a batch that runs again replaces what it wrote.
+
+    Rows without a time are put in the folder of rejects.  The state, a time per key, is
+    written anew with each batch and read from the one before.
+    """
+    spark = batch.sparkSession
+    narrow = batch.select(
+        F.struct(*key).alias("key"), F.unix_micros(F.col(ts)).alias("micros"), F.col(row_id).alias("row_id")
+    ).persist()
+    narrow.filter("micros IS NULL").select("key.*", "row_id").write.mode("overwrite").parquet(
+        _folder(f"{sink}/rejects", batch_id)
     )
-    return kept.select(
-        "key", F.timestamp_micros("micros").alias("accepted_at"), "row_id"
+    rows = narrow.filter("micros IS NOT NULL")
+    before = _folder(f"{checkpoint}/last", batch_id - 1)
+    known = rows.select("key", F.col("micros").alias("last"))
+    state = spark.read.schema(known.schema).parquet(before) if batch_id and _exists(spark, before) else known.limit(0)
+    out = _folder(f"{sink}/accepted", batch_id)
+    first_sights(rows, state, ttl_seconds).write.mode("overwrite").parquet(out)
+    accepted = spark.read.parquet(out).select("key", F.col("micros").alias("last"))
+    accepted.unionByName(state).groupBy("key").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(
+        _folder(f"{checkpoint}/last", batch_id)
     )
+    narrow.unpersist()
+    old = _folder(f"{checkpoint}/last", batch_id - 2)
+    if store := _exists(spark, old):
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+
 
+def start_dedup(
+    stream: DataFrame, sink: str, checkpoint: str, key: list[str], ts: str, row_id: str
+) -> StreamingQuery:
+    def take(batch: DataFrame, batch_id: int) -> None:
+        take_batch(batch, batch_id, sink, checkpoint, key, ts, row_id)
 
-def start_dedup(stream: DataFrame, sink: str, checkpoint: str, key: str, ts: str, row_id: str) -> StreamingQuery:
     return (
-        first_sights(stream, key, ts, row_id)
-        .writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
+        stream.writeStream.foreachBatch(take)
+        .option("checkpointLocation", f"{checkpoint}/stream")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def accepted(spark: SparkSession, sink: str) -> DataFrame:
+    """The accepted rows: the key's columns, accepted_at, row_id."""
+    rows = spark.read.parquet(f"{sink}/accepted")
+    return rows.select("key.*", F.timestamp_micros("micros").alias("accepted_at"), "row_id")

@@ -14,13 +14,16 @@ from reviewloom.sources import store
 def batch_results(submissions: DataFrame) -> DataFrame:
     """Results of the code and diff submissions of one batch."""
     routed = route(submissions)
-    code = routed.filter(F.col("kind") == "code").select("analysis_id", "code")
+    code = routed.filter(F.col("kind") == "code").select("analysis_id", "code", "filename")
     diff = routed.filter(F.col("kind") == "diff").select("analysis_id", "diff")
     return results_code(code).unionByName(results_diff(diff))
 
 
 def start_results(submissions: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Write the results of what has landed, then stop.  A batch run again replaces itself."""
+    """Write the results of what has landed, then stop.  A batch run again replaces itself.
+
+    An id that comes again is written again; ``store.load`` gives its last result.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         store.save(batch_results(batch), sink, batch_id)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reviewloom.functions import rules
 from reviewloom.operators import diffs
+from reviewloom.operators.metrics import paste_path
 from reviewloom.operators.routing import route
 from reviewloom.operators.scan import findings_array
 
@@ -17,7 +18,7 @@ def scan_submissions(submissions: DataFrame) -> DataFrame:
     routed = route(submissions).filter(F.col("kind").isin("code", "diff"))
     is_code = F.col("kind") == "code"
     pasted = F.array(
-        F.struct(F.lit("pasted-code").alias("path"), F.lit(0).alias("file_ord"), F.col("code").alias("text"))
+        F.struct(paste_path().alias("path"), F.lit(0).alias("file_ord"), F.col("code").alias("text"))
     )
     files = routed.select(
         "analysis_id", "kind", F.inline(F.when(is_code, pasted).otherwise(_diff_texts(F.col("diff"))))

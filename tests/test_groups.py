@@ -2,38 +2,61 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from reviewloom.operators import joins, narrative, ranking
+from reviewloom.plans import analyses
 
 
 def test_positions_agree_with_a_plain_sort(spark, monkeypatch):
     monkeypatch.setattr(ranking, "BLOCK", 3)
     rng = random.Random(1)
-    rows = [("hot" if i % 3 else f"g{i % 5}", rng.randint(0, 3), rng.randint(0, 60), i) for i in range(500)]
-    df = spark.createDataFrame(rows, "g string, c int, o int, i int")
-    got = ranking.positions_in_group(df, ["g"], "o", ["o", "i"], {"by_c": ["c"], "plain": []}).collect()
-    assert len(got) == len(rows)
-    for group in {r[0] for r in rows}:
-        mine = [r for r in rows if r[0] == group]
-        by_c = {r[3]: k for k, r in enumerate(sorted(mine, key=lambda r: (r[1], r[2], r[3])), start=1)}
-        plain = {r[3]: k for k, r in enumerate(sorted(mine, key=lambda r: (r[2], r[3])), start=1)}
-        for r in got:
-            if r.g == group:
-                assert (r.by_c, r.plain) == (by_c[r.i], plain[r.i])
-
-
-def test_parts_make_the_whole(spark, monkeypatch):
-    monkeypatch.setattr(narrative, "PER_PART", 4)
-    heads = spark.createDataFrame([("a", "H ", "T"), ("b", "H ", "T"), ("c", "H ", "")], "analysis_id string, head string, tail string")
-    entries = spark.createDataFrame(
-        [("a", i, f"e{i}") for i in range(10)] + [("c", 0, "x")], "analysis_id string, o int, entry string")
-    parts = narrative.in_parts(heads, entries, "o", ["o"], [], ", ", before="<", after="> ").collect()
-    whole = {}
-    for r in sorted(parts, key=lambda r: (r.analysis_id, r.part)):
-        whole[r.analysis_id] = whole.get(r.analysis_id, "") + r.text
-    assert whole == {"a": "H <" + ", ".join(f"e{i}" for i in range(10)) + "> T", "b": "H T", "c": "H <x> "}
-    assert sum(r.analysis_id == "a" for r in parts) == 3
+    rows = [("hot" if i % 3 else f"g{i % 5}", rng.randint(0, 3), -rng.randint(0, 4), rng.randint(0, 60), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, c int, s int, o int, i int")
+    for along in (["o"], ["s", "o"]):
+        order = [*along, "i"]
+        got = ranking.positions_in_group(df, ["g"], along, order, {"by_c": ["c"], "plain": []}).collect()
+        assert len(got) == len(rows)
+        keyed = [dict(zip("gcsoi", r)) for r in rows]
+        for group in {r["g"] for r in keyed}:
+            mine = [r for r in keyed if r["g"] == group]
+            plain = {r["i"]: k for k, r in enumerate(sorted(mine, key=lambda r: [r[x] for x in order]), start=1)}
+            by_c = {r["i"]: k for k, r in enumerate(sorted(mine, key=lambda r: [r[x] for x in ["c", *order]]), start=1)}
+            for r in got:
+                if r.g == group:
+                    assert (r.by_c, r.plain) == (by_c[r.i], plain[r.i])
+
+
+def test_lists_are_whole_and_in_order(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK", 4)
+    rng = random.Random(2)
+    rows = [("a", rng.randint(0, 2), rng.randint(0, 90), i, f"e{i}") for i in range(300)] + [("c", 0, 0, 0, "x")]
+    entries = spark.createDataFrame(rows, "analysis_id string, lead int, o int, i int, entry string")
+    got = narrative.listed(entries, ["o"], ["o", "i"], ", ", ("lead",)).collect()
+    want = [r[4] for r in sorted(r for r in rows if r[0] == "a")]
+    assert {r.analysis_id: (r.listed, r.n_listed) for r in got} == {"a": (", ".join(want), 300), "c": ("x", 1)}
+
+
+def test_a_request_with_many_risky_files_lists_all_of_them(spark):
+    files = spark.createDataFrame(
+        [("p", i, f"src/f{i}.js", 300, 0, "@@") for i in range(700)],
+        "analysis_id string, file_ord int, path string, additions int, deletions int, patch string")
+    none = spark.createDataFrame([], "analysis_id string, path string, file_ord int, content string")
+    [row] = analyses.results_pr(files, none).collect()
+    assert row.summary == "700 changed files, +210000 -0. Risky files: " + ", ".join(f"f{i}.js" for i in range(700)) + ". Nothing urgent. "
+
+
+def test_queries_build_without_a_job(spark, sf_dir):
+    from reviewloom.plans.registry import REGISTRY
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "build")
+    for name, query in REGISTRY.items():
+        if not name.startswith("stream_"):
+            query(spark, sf_dir)
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("build")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Reading a table's schema is a job of one task per table; nothing else runs.
+    assert all(len(j.stageIds) == 1 for j in jobs)
+    assert len(jobs) <= 3 * len(REGISTRY)
 
 
 def test_salted_join_is_an_inner_join(spark):
@@ -41,14 +64,3 @@ def test_salted_join_is_an_inner_join(spark):
     many = spark.createDataFrame([(1 if i % 2 else i % 5, i) for i in range(200)], "k int, i int")
     got = sorted(map(tuple, joins.salted_join(few, many, ["k"], "i").select("k", "v", "i").collect()))
     assert got == sorted(map(tuple, few.join(many, "k").select("k", "v", "i").collect()))
-
-
-def test_selected_rows_join_either_way(spark, monkeypatch):
-    big = spark.range(1000).withColumn("text", F.lit("t"))
-    chosen = spark.range(0, 1000, 10).withColumn("n", F.col("id") + 1)
-    small = joins.join_selected(big, chosen, ["id"])
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1)
-    large = joins.join_selected(big, chosen, ["id"])
-    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))

@@ -9,7 +9,8 @@ SNIPPET = 'let a = eval("1");\nconst token = "abcdef";\nfunction go(b) { return
 
 
 def code(spark, *texts):
-    return spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "analysis_id string, code string")
+    rows = [(f"c{i}", t, ["", None, "a/b.py"][i % 3]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "analysis_id string, code string, filename string")
 
 
 def test_code(spark):
@@ -17,13 +18,19 @@ def test_code(spark):
     rows = {r.analysis_id: r for r in analyses.results_code(subs).collect()}
     r = rows["c0"]
     assert (r.security, r.overall, r.maintainability, r.total_additions) == (25, 55, 80, 3)
-    assert r.summary == "Analyzed TXT code (3 lines). Found 3 security and 0 performance issues. Complexity: 20/100."
+    assert r.summary == "TXT, 3 lines with text; 3 security and 0 performance findings; complexity 20 of 100."
     assert (rows["c1"].overall, rows["c1"].security, rows["c1"].complexity) == (100, 100, 90)
-    assert (rows["c2"].overall, rows["c2"].total_additions) == (90, 2)
+    assert (rows["c2"].overall, rows["c2"].total_additions) == (90, 2) and rows["c2"].summary.startswith("Python, 2 lines")
     queue = reviews.reviews_code(subs).filter("analysis_id = 'c0'").orderBy("priority").collect()
     assert [(q.id, q.severity, q.line, q.effort) for q in queue] == [
         ("r1", "critical", 1, "quick"), ("r2", "critical", 3, "quick"), ("r3", "critical", 2, "quick")]
     assert queue[0].title.startswith("Code Injection — ") and queue[0].path == "pasted-code"
+    assert {q.path for q in reviews.reviews_code(subs).filter("analysis_id = 'c2'").collect()} == {"a/b.py"}
+    files = {f.analysis_id: f for f in metrics.paste_files(subs).collect()}
+    f = files["c2"]
+    assert (f.path, f.status, f.additions, f.deletions, f.language) == ("a/b.py", "added", 2, 0, "Python")
+    assert (f.old_start, f.old_lines, f.new_start, f.new_lines, f.content) == (1, 0, 1, 2, "console.log(1)\n\nvar x")
+    assert (files["c1"].path, files["c1"].language, files["c1"].new_lines) == ("pasted-code", "TXT", 0)
 
 
 def test_code_is_measured_without_a_shuffle(spark):
@@ -52,11 +59,9 @@ def test_diff(spark):
     rows = {r.analysis_id: r for r in analyses.results_diff(df).collect()}
     r = rows["d"]
     assert (r.security, r.complexity, r.maintainability, r.overall) == (70, 100, 85, 85)
-    assert r.summary == (
-        "Analyzed 2 files from diff with 3 additions and 1 deletions. 1 critical issue found. 2 high-severity issues found. ")
+    assert r.summary == "2 files in the diff, +3 -1. Critical: 1. High: 2. "
     assert (rows["none"].files_changed, rows["none"].overall) == (0, 94)
-    assert rows["none"].summary == (
-        "Analyzed 0 files from diff with 0 additions and 0 deletions. No critical issues found in this diff. ")
+    assert rows["none"].summary == "0 files in the diff, +0 -0. Nothing urgent. "
     queue = reviews.reviews_diff(diffs.diff_files(diffs.file_blocks(df))).orderBy("priority").collect()
     assert [(q.id, q.category, q.severity, q.line, q.effort, q.title) for q in queue] == [
         ("r1", "security", "critical", 2, "quick", "Code Injection in x.ts"),
@@ -112,11 +117,9 @@ def test_pr(spark, pr_files, edges):
     assert (p.security, p.performance, p.complexity, p.maintainability) == (78, 97, 88, 73)
     assert p.overall == round(78 * 0.3 + 97 * 0.25 + 88 * 0.25 + 73 * 0.2)
     totals = rollups.churn_totals(pr_files)
-    text = {r.analysis_id: r.text for r in narrative.summary_pr(totals, reviews.queue_counts_pr(sums, coupled), measured).collect()}
-    assert text["p"] == (
-        "Analyzed 4 files with 161 additions and 25 deletions. 1 critical issue requires immediate attention. "
-        "2 high-severity issues found. 2 issues can be fixed quickly. High-risk files: b.ts, c.ts. ")
-    assert text["q"] == "Analyzed 1 files with 0 additions and 0 deletions. No critical issues found. This PR looks solid. "
+    text = {r.analysis_id: r.summary for r in narrative.summary_pr(totals, reviews.queue_counts_pr(sums, coupled), measured).collect()}
+    assert text["p"] == "4 changed files, +161 -25. Critical: 1. High: 2. Quick to fix: 2. Risky files: b.ts, c.ts. "
+    assert text["q"] == "1 changed files, +0 -0. Nothing urgent. "
     estimate = {r.analysis_id: r for r in scores.review_estimate(sums, scores.scores_pr(sums, coupled), reviews.queue_counts_pr(sums, coupled)).collect()}
     # 186 lines: 13, one critical 25, two high 24, and 13 * 12% rounded up 2.
     assert (estimate["p"].minutes, estimate["p"].estimate) == (64, "1h 4m")
@@ -142,26 +145,27 @@ def test_repo(spark):
         [("r", 0, "Go", 75), ("r", 1, "C", 25)], "analysis_id string, lang_ord int, language string, bytes long"))
     files = spark.createDataFrame([("r", i, f"f{i}.go") for i in range(20)], "analysis_id string, file_ord int, path string")
     contents = spark.createDataFrame(
-        [("r", 3, 1, "f3.go", "eval(x)\ninnerHTML ="), ("r", 4, 2, "f4.go", "{" * 18)],
-        "analysis_id string, file_ord int, scan_ord int, path string, content string")
+        [("r", 3, -9, "f3.go", "eval(x)\ninnerHTML ="), ("r", 4, -5, "f4.go", "{" * 18)],
+        "analysis_id string, file_ord int, smaller long, path string, content string")
     parts = analyses.repo_parts(info, languages, files, contents)
     scored = {r.analysis_id: r for r in parts["scores"].collect()}
     # 14 and 82 for the files: average 48; architecture 80 - 20 * 0.15.
     assert (scored["r"].security, scored["r"].complexity, scored["r"].maintainability, scored["r"].architecture) == (70, 72, 85, 77)
     assert (scored["bare"].security, scored["bare"].complexity, scored["bare"].architecture, scored["bare"].overall) == (100, 100, 80, 92)
     text = {r.analysis_id: r.summary for r in narrative.summary_repo(parts["facts"]).collect()}
-    assert text["r"].startswith(f'lib is a Go project — "{"d" * 120}". Analyzed 20 files with 2 languages. 1 critical security issue require')
+    assert text["r"].startswith(f'lib, mainly Go: {"d" * 130}. 20 files, 2 languages. Security: 1 critical. ')
+    cut = {r.analysis_id: r.summary for r in narrative.summary_repo(parts["facts"], 10).collect()}
+    assert cut["r"].startswith("lib, mainly Go: dddddddddd. 20 files")
     assert text["bare"] == (
-        "none is a Unknown project. Analyzed 0 files with 0 languages. No critical security issues found. "
-        "Complexity is manageable (avg: 20). Overall quality score: 92/100.")
+        "none, mainly Unknown. 0 files, 0 languages. Security: nothing critical. "
+        "Complexity: 20 on average. Score 92 of 100.")
     points = {}
     for r in narrative.insights_repo(parts["facts"]).orderBy("item_ord").collect():
         points.setdefault((r.analysis_id, r.section), []).append(r.text)
     assert points["r", "Weaknesses"] == [
-        "1 critical security issue require immediate attention.", "1 high-severity security finding detected.",
-        "1 file flagged for high cyclomatic complexity."]
-    assert points["r", "Strengths"][-1] == "Community interest: 500 stars."
-    assert points["bare", "Technical Debt"] == ["Technical debt is minimal. No significant structural issues detected."]
+        "1 critical security findings.", "1 high security findings.", "1 files are very complex."]
+    assert points["r", "Strengths"][-1] == "Starred 500 times."
+    assert points["bare", "Technical Debt"] == ["None to speak of."]
     queue = reviews.reviews_repo(contents).orderBy("priority").collect()
     assert [(q.id, q.title) for q in queue] == [
         ("r1", "Code Injection in f3.go"), ("r2", "XSS in f3.go"), ("r3", "High complexity in f4.go (82)")]

@@ -1,11 +1,12 @@
 """Streams against the same work on tables."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from reviewloom.sources import landed, store
-from reviewloom.streaming.dedup import start_dedup
+from reviewloom.streaming.dedup import accepted, start_dedup, take_batch
 from reviewloom.streaming.results import batch_results, start_results
 from reviewloom.streaming.scan import scan_submissions, start_scan
 
@@ -43,17 +44,70 @@ def test_results_of_a_stream(spark, tmp_path):
     assert out.count() == 6 and same(out, batch_results(df))
 
 
-def test_first_sights_across_batches(spark, tmp_path):
-    start = dt.datetime(2024, 1, 1)
-    portions = [[("a", 0), ("a", 4), ("b", 0)], [("a", 20), ("b", 5), ("a", 3)], [("a", 30), ("a", 31), ("b", 5.5)]]
+def test_an_id_that_comes_again_has_its_last_result(spark, tmp_path):
+    for i, code in enumerate(["eval(1)", "one\ntwo"]):
+        rows = [("again", None, None, code, None, None), (f"once{i}", None, None, "x", None, None)]
+        df = spark.createDataFrame(rows, landed.SUBMISSION_SCHEMA)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = landed.submission_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+        start_results(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r.analysis_id: r.total_additions for r in store.load(spark, str(tmp_path / "out")).collect()}
+    assert got == {"again": 2, "once0": 1, "once1": 1}
+    store.compact(spark, str(tmp_path / "out"), str(tmp_path / "small"))
+    assert same(store.load(spark, str(tmp_path / "small")), store.load(spark, str(tmp_path / "out")))
+
+
+START = dt.datetime(2024, 1, 1)
+
+
+def sights(spark, folder, portions, key=("k",)):
+    """Accepted (key, minute) of portions of (key, minute), each a batch of its own; minute None is no time."""
     n = 0
     for portion in portions:
-        rows = [(n + i, start + dt.timedelta(minutes=m), k) for i, (k, m) in enumerate(portion)]
+        rows = [
+            (n + i, None if m is None else START + dt.timedelta(minutes=m), k, 1) for i, (k, m) in enumerate(portion)
+        ]
         n += len(rows)
-        spark.createDataFrame(rows, "id long, ts timestamp, k string").write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema("id long, ts timestamp, k string").parquet(str(tmp_path / "in"))
-        start_dedup(stream, str(tmp_path / "out"), str(tmp_path / "state"), "k", "ts", "id").awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    kept = sorted((r.key, (r.accepted_at - start).total_seconds() / 60) for r in got.collect())
-    # Exactly five minutes later is still a repeat.
-    assert kept == [("a", 0), ("a", 20), ("a", 30), ("b", 0), ("b", 5.5)]
+        schema = "id long, ts timestamp, k string, u int"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        start_dedup(stream, f"{folder}/out", f"{folder}/state", list(key), "ts", "id").awaitTermination()
+    rows = accepted(spark, f"{folder}/out").collect()
+    return sorted(((r.k, (r.accepted_at - START).total_seconds() / 60) for r in rows), key=lambda r: (r[0] or "", r[1]))
+
+
+def rule(events, last=None):
+    kept = []
+    for minute in sorted(events):
+        if last is None or minute > last + 5:
+            kept.append(minute)
+            last = minute
+    return kept
+
+
+def test_first_sights_across_batches(spark, tmp_path):
+    portions = [[("a", 0), ("a", 4), ("b", 0)], [("a", 20), ("b", 5), ("a", 3)], [("a", 30), ("a", 31), ("b", 5.5)]]
+    # Exactly five minutes later is still a repeat, and so is what comes late.
+    assert sights(spark, str(tmp_path), portions) == [("a", 0), ("a", 20), ("a", 30), ("b", 0), ("b", 5.5)]
+
+
+def test_dense_keys_bursts_and_rows_without_a_time(spark, tmp_path):
+    r = random.Random(2)
+    dense = [("dense", i / 10) for i in range(3000)]
+    burst = [("burst", 7.0)] * 500 + [("burst", 100 + r.randrange(240) / 60) for _ in range(500)]
+    sparse = [(f"s{i % 7}", r.randrange(120_000) / 60) for i in range(700)]
+    events = dense + burst + sparse
+    r.shuffle(events)
+    got = sights(spark, str(tmp_path), [[*events, ("none", None), (None, 3), (None, 4)]], ("k", "u"))
+    want = [(k, m) for k in {k for k, _ in events} for m in rule([m for n, m in events if n == k])]
+    assert [(k, round(m, 3)) for k, m in got if k is not None] == sorted((k, round(m, 3)) for k, m in want)
+    assert [m for k, m in got if k is None] == [3]
+    assert [x.k for x in spark.read.parquet(f"{tmp_path}/out/rejects").collect()] == ["none"]
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    batch = spark.createDataFrame([(1, START, "a"), (2, START + dt.timedelta(minutes=9), "a")], "id long, ts timestamp, k string")
+    args = (f"{tmp_path}/out", f"{tmp_path}/state", ["k"], "ts", "id")
+    for batch_id in (0, 1, 1):
+        take_batch(batch, batch_id, *args)
+    assert [r.row_id for r in accepted(spark, f"{tmp_path}/out").orderBy("row_id").collect()] == [1, 2]
