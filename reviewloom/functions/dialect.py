@@ -13,6 +13,8 @@ SPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 LINE_END_CLASS = r"\n\r\x{2028}\x{2029}"
+# White space that ends no line.
+INLINE_SPACE_CLASS = r"\t\x0B\f \x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 WORD = "[A-Za-z0-9_]"
 SPACE = f"[{SPACE_CLASS}]"
@@ -28,7 +30,7 @@ _OUTSIDE = {
     r"\b": f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))",
     ".": DOT,
 }
-_ANY = r"[\x{0}-\x{10FFFF}]"
+ANY = r"[\x{0}-\x{10FFFF}]"
 
 
 def _tokens(pattern: str):
@@ -58,7 +60,7 @@ def to_java(pattern: str, ignore_case: bool = False, starts: str = "") -> str:
     out = []
     for token, inside in _tokens(pattern):
         if token == r"[\s\S]":
-            out.append(_ANY)
+            out.append(ANY)
         elif inside:
             out.append(SPACE_CLASS if token == r"\s" else token)
         else:

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from reviewloom.functions.dialect import to_java
+from reviewloom.functions.binding import quoted
+from reviewloom.functions.dialect import (
+    ANY,
+    DOT,
+    INLINE_SPACE_CLASS,
+    LINE_END_CLASS,
+    LINE_START,
+    SPACE,
+    WORD,
+    to_java,
+)
 
 
 @dataclass(frozen=True)
@@ -13,6 +23,12 @@ class Pattern:
     needs: tuple[str, ...] = ()  # one of these must be in the text
     ignore_case: bool = False
     starts: str = ""  # every match starts with one of these characters, in either case
+    # The same matches found in linear time: Java, with what is skipped in group 1 and the match in group 2,
+    # or in 3 and 4.
+    linear: str = ""
+    # Or the part of the text (SQL) that ``cut_java`` finds the same matches in, in linear time.
+    cut: str = ""
+    cut_regex: str = ""
 
 
 @dataclass(frozen=True)
@@ -28,8 +44,58 @@ class Rule:
 
     @property
     def java(self) -> str:
-        return to_java(self.pattern.regex, self.pattern.ignore_case, self.pattern.starts)
+        """The form that is run."""
+        p = self.pattern
+        return p.linear or to_java(p.cut_regex or p.regex, p.ignore_case, p.starts)
 
+    def text(self, text: str) -> str:
+        """The part of a text (SQL) that the form is run on."""
+        return self.pattern.cut.replace("{text}", text) if self.pattern.cut else text
+
+    @property
+    def marked(self) -> tuple[str, str]:
+        """What goes before and after a mark that is put at the start of a match."""
+        if not self.pattern.linear:
+            return "", "$0"
+        return ("$1$3", "$2$4") if self.pattern.linear is _DOM_LOOP else ("$1", "$2")
+
+
+# Some patterns take quadratic or cubic time in Java: each start that leads nowhere reads on to the end of its
+# line or of the text.  The forms below look at the first start only where all later ones must fail with it.
+_LINE = f"(?:{LINE_START}|\\G)"
+_WORD_END = f"(?<={WORD})(?!{WORD})"
+
+
+def _first(start: str, skipped: str) -> str:
+    """Skip to the first place where ``start`` matches, for good."""
+    return f"((?>{skipped}*?(?={start})))"
+
+
+# A statement: from the first ``${`` of a line; its end is the last call on the line.
+_TEMPLATE_SQL = (
+    _LINE + _first(r"\$\{", DOT) + rf"(\$\{{[^}}{LINE_END_CLASS}]*+\}}{DOT}*(?:query|execute|exec){SPACE}*\()"
+)
+# A loop: from the first one of a line.  The brace is the last of the line, or the last with a name before the next
+# brace.  A loop whose parenthesis is on a later line is the last thing on its own.
+_NAME = f"(?<!{WORD})(?:document|DOM|innerHTML){_WORD_END}"
+_BODY = rf"(?:(?>{DOT}*\{{)[^}}]*{_NAME}|{DOT}*\{{[^{{}}{LINE_END_CLASS}]*{_NAME})"
+_LOOP = rf"(?:for|while)[{INLINE_SPACE_CLASS}]*\("
+_LOOP_OVER = rf"(?:for|while)[{INLINE_SPACE_CLASS}]*[{LINE_END_CLASS}]"
+_DOM_LOOP = (
+    _LINE + rf"(?:{_first(_LOOP, DOT)}({_LOOP}{_BODY})|{_first(_LOOP_OVER, DOT)}({_LOOP_OVER}{SPACE}*\({_BODY}))"
+)
+# A timer: from the first one before a comma.
+_TIMER = rf"setInterval{SPACE}*\([^,]"
+_FAST_TIMER = (
+    rf"(?:^|(?<=,)|\G){_first(_TIMER, '[^,]')}(setInterval{SPACE}*\([^,]+,{SPACE}*(?:[0-9]|[1-9][0-9]){SPACE}*\))"
+)
+# What may end anywhere later: from the first start; if that has no end, no later one has.
+_TRY = rf"try{SPACE}*\{{"
+_EMPTY_CATCH_TRY = (
+    rf"\G{_first(_TRY, ANY)}({_TRY}{ANY}*?\}}{SPACE}*catch{SPACE}*\({SPACE}*{WORD}*{SPACE}*\){SPACE}*\{{{SPACE}*\}})"
+)
+_EFFECT = rf"(?:useState|useEffect){SPACE}*\({SPACE}*\(\){SPACE}*=>{SPACE}*\{{"
+_EFFECT_FETCH = rf"\G{_first(_EFFECT, ANY)}({_EFFECT}{ANY}*?fetch)"
 
 # The patterns the rules look for.
 PATTERNS = {
@@ -38,7 +104,9 @@ PATTERNS = {
     "inner_html": Pattern(r"innerHTML\s*=", ("innerHTML",)),
     "react_html": Pattern(r"dangerouslySetInnerHTML", ("dangerouslySetInnerHTML",)),
     "document_write": Pattern(r"document\.write\s*\(", ("document.write",)),
-    "template_sql": Pattern(r"\$\{.*\}.*(?:query|execute|exec)\s*\(", ("${",)),
+    "template_sql": Pattern(
+        r"\$\{.*\}.*(?:query|execute|exec)\s*\(", ("${",), linear=_TEMPLATE_SQL
+    ),
     "quoted_secret": Pattern(
         r"""(?:password|secret|api_key|apikey|token)\s*[:=]\s*['"][^'"]+['"]""",
         ignore_case=True,
@@ -73,7 +141,13 @@ PATTERNS = {
     "pickle_load": Pattern(r"pickle\.loads?\s*\(", ("pickle.load",)),
     "os_system": Pattern(r"os\.system\s*\(", ("os.system",)),
     "subprocess_string": Pattern(r"""subprocess\.call\s*\(\s*['"`]""", ("subprocess.call",)),
-    "yaml_load": Pattern(r"yaml\.load\s*\((?!.*Loader)", ("yaml.load",)),
+    "yaml_load": Pattern(
+        r"yaml\.load\s*\((?!.*Loader)",
+        ("yaml.load",),
+        # What has a Loader after it on its line is left out at once.
+        cut=f"regexp_replace({{text}}, {quoted(f'{LINE_START}{DOT}*Loader')}, '#')",
+        cut_regex=r"yaml\.load\s*\(",
+    ),
     "sql_concat": Pattern(r"""SQL\s*\+\s*f?['"`]""", ("SQL",)),
     "runtime_exec": Pattern(
         r"Runtime\.getRuntime\(\)\.exec", ("Runtime.getRuntime().exec",)
@@ -96,17 +170,30 @@ PATTERNS = {
     "dom_loop": Pattern(
         r"(?:for|while)\s*\(.*\{[^}]*\b(?:document|DOM|innerHTML)\b",
         ("document", "DOM", "innerHTML"),
+        linear=_DOM_LOOP,
     ),
     "fast_timer": Pattern(
-        r"setInterval\s*\([^,]+,\s*(?:[0-9]|[1-9][0-9])\s*\)", ("setInterval",)
+        r"setInterval\s*\([^,]+,\s*(?:[0-9]|[1-9][0-9])\s*\)",
+        ("setInterval",),
+        linear=_FAST_TIMER,
     ),
     "new_regexp": Pattern(r"new\s+RegExp\s*\(", ("RegExp",)),
-    "new_regexp_args": Pattern(r"new\s+RegExp\s*\([^)]+\)", ("RegExp",)),
+    "new_regexp_args": Pattern(
+        r"new\s+RegExp\s*\([^)]+\)",
+        ("RegExp",),
+        # Nothing after the last parenthesis can be the beginning of a match.
+        cut="left({text}, length({text}) - coalesce(nullif(locate(')', reverse({text})), 0) - 1, length({text})))",
+        cut_regex=r"new\s+RegExp\s*\([^)]+\)",
+    ),
     "empty_catch_try": Pattern(
-        r"(?:try\s*\{[\s\S]*?\}\s*catch\s*\(\s*\w*\s*\)\s*\{\s*\})", ("catch",)
+        r"(?:try\s*\{[\s\S]*?\}\s*catch\s*\(\s*\w*\s*\)\s*\{\s*\})",
+        ("catch",),
+        linear=_EMPTY_CATCH_TRY,
     ),
     "effect_fetch": Pattern(
-        r"(?:useState|useEffect)\s*\(\s*\(\)\s*=>\s*\{[\s\S]*?fetch", ("fetch",)
+        r"(?:useState|useEffect)\s*\(\s*\(\)\s*=>\s*\{[\s\S]*?fetch",
+        ("fetch",),
+        linear=_EFFECT_FETCH,
     ),
     "async_foreach": Pattern(r"\.forEach\s*\(\s*async", (".forEach",)),
     "console_call": Pattern(r"console\.(log|warn|error|debug|info)\s*\(", ("console.",)),
@@ -313,9 +400,20 @@ def catalogue(spark):
 
 
 def from_table(df) -> list[Rule]:
-    """Rules read back from a catalogue table (a few hundred rows, read once on the driver)."""
-    return [
-        Rule(r.rule_id, r.rule_ord, r.kind, r.type, r.level,
-             Pattern(r.regex, (), r.ignore_case), r.note, r.advice)
-        for r in df.orderBy("rule_ord").collect()
-    ]
+    """Rules read back from a catalogue table (a few hundred rows, read once on the driver).
+
+    A regex that is one of our own keeps its gates and its linear form.  Others are compiled here once, so
+    that a broken one is named before any scan.
+    """
+    known = {(p.regex, p.ignore_case): p for p in PATTERNS.values()}
+    compiled = df.sparkSession._jvm.java.util.regex.Pattern
+    found = []
+    for r in df.orderBy("rule_ord").collect():
+        pattern = known.get((r.regex, r.ignore_case), Pattern(r.regex, (), r.ignore_case))
+        rule = Rule(r.rule_id, r.rule_ord, r.kind, r.type, r.level, pattern, r.note, r.advice)
+        try:
+            compiled.compile(rule.java)
+        except Exception as e:
+            raise ValueError(f"rule {r.rule_id} has no valid regex: {r.regex}") from e
+        found.append(rule)
+    return found

@@ -38,9 +38,10 @@ def _possible(text: str, rule: Rule) -> str:
 
 def _match_lines(text: str, rule: Rule) -> str:
     """Line of every match, in order of place."""
-    mark = quoted(_MARK)
+    mark, text = quoted(_MARK), rule.text(text)
+    before, after = rule.marked
     clean = f"IF(contains({text}, {mark}), translate({text}, {mark}, {quoted(_STAND_IN)}), {text})"
-    marked = f"regexp_replace({clean}, {quoted(rule.java)}, {quoted(_MARK + '$0')})"
+    marked = f"regexp_replace({clean}, {quoted(rule.java)}, {quoted(before + _MARK + after)})"
     repeated = f"array_repeat(i + 1, length(l) - length(replace(l, {mark}, '')))"
     return f"flatten(transform(split({marked}, '\\n', -1), (l, i) -> {repeated}))"
 
@@ -52,7 +53,7 @@ def _rule_findings(text: str, rule: Rule) -> str:
         f"'rule_ord', {rule.rule_ord}, 'match_ord', CAST(i + 1 AS INT))"
     )
     return (
-        f"CASE WHEN {_possible(text, rule)} AND rlike({text}, {quoted(rule.java)}) "
+        f"CASE WHEN {_possible(text, rule)} AND rlike({rule.text(text)}, {quoted(rule.java)}) "
         f"THEN transform({_match_lines(text, rule)}, (line, i) -> {finding}) ELSE {NO_FINDINGS} END"
     )
 
@@ -67,7 +68,7 @@ def level_counts(text: str, pack: list[Rule], prefix: str) -> list[Column]:
 
     def count(rule: Rule) -> str:
         return (
-            f"IF({_possible(text, rule)}, regexp_count({text}, {quoted(rule.java)}), 0)"
+            f"IF({_possible(text, rule)}, regexp_count({rule.text(text)}, {quoted(rule.java)}), 0)"
         )
 
     columns = []

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,44 @@ def test_scan_finds_what_python_finds(spark, pack):
     assert len(want) > 50
 
 
+SLOW = {
+    "template_sql": ["${", "}", "query", "exec", "execute (", "(", " ", "\n", "x", "{", "$"],
+    "dom_loop": ["for", "while", "for(", "while (", "(", "{", "}", "document", "DOM", "innerHTML", "a", " ", "\n", "_", ";", "\t"],
+    "fast_timer": ["setInterval", "setInterval(", "(", ",", "5", "50", "500", ")", " ", "\n", "a", ", 9)"],
+    "new_regexp_args": ["new RegExp(", "new", " ", "RegExp", "(", ")", "a", "\n"],
+    "yaml_load": ["yaml.load", "yaml.load(", "(", "Loader", " ", "\n", "a", "Loader("],
+    "empty_catch_try": ["try", "try {", "{", "}", "catch", "catch (e) {", "(", ")", "e", " ", "\n", "} catch (e) { }"],
+    "effect_fetch": ["useEffect", "useState(", "(() => {", "()", "=>", "{", "(", "fetch", " ", "\n", "a"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(SLOW))
+def test_linear_forms_find_the_same(spark, name):
+    rng = random.Random(name)
+    made = ["".join(rng.choice(SLOW[name]) for _ in range(rng.randint(1, 45))) for _ in range(3000)]
+    pattern = rules.PATTERNS[name]
+    rule = rules.Rule("X01", 1, "security", "t", "high", pattern, "n", "a")
+    df = spark.createDataFrame(list(enumerate(made)), "id int, content string").repartition(8)
+    got = sorted((r.id, r.rule_id, r.line, r.match_ord) for r in scan(df, [rule]).collect())
+    want = sorted((i, *f) for i, t in enumerate(made) for f in expected(t, [rule]))
+    assert got == want and len(want) > 50
+
+
+@pytest.mark.parametrize("name", sorted(rules.PATTERNS))
+def test_long_lines_take_no_longer_than_their_length(spark, name):
+    """A line of 100 kB made of what a match begins with, and then of what it is made of."""
+    pattern = rules.PATTERNS[name]
+    rule = rules.Rule("X01", 1, "security", "t", "high", pattern, "n", "a")
+    pieces = SLOW.get(name, [*pattern.needs, "password='", "console.log(", "DELETE ", "await "])
+    lines = [(p * (100_000 // len(p) + 1))[:100_000] + "".join(pattern.needs) for p in pieces if p.strip()]
+    compiled = spark._jvm.java.util.regex.Pattern.compile(rule.java)
+    for line in lines:
+        text = spark.createDataFrame([(line,)], "t string").selectExpr(rule.text("t")).first()[0]
+        start = time.perf_counter()
+        compiled.matcher(text).results().count()
+        assert time.perf_counter() - start < 1.5, line[:40]
+
+
 def test_every_rule_is_hit_and_missed_by_the_bank():
     for pack in rules.ALL_PACKS:
         for rule in pack:
@@ -109,6 +148,10 @@ def test_catalogue_goes_to_a_table_and_back(spark):
     table = rules.catalogue(spark)
     assert table.count() == 75
     back = rules.from_table(table.filter("rule_id like 'CS%'"))
+    assert [r.pattern for r in back] == [r.pattern for r in rules.CODE_SECURITY]
+    broken = table.limit(1).withColumn("regex", F.lit("(a"))
+    with pytest.raises(ValueError, match="has no valid regex"):
+        rules.from_table(broken)
     df = spark.createDataFrame([(1, SNIPPETS[0][1])], "id int, content string")
     assert scan(df, back).collect() == scan(df, rules.CODE_SECURITY).collect()
 
