@@ -25,9 +25,19 @@ SELECTS: dict[str, str] = {}
 
 SELECTS["tree_blobs"] = "SELECT * FROM tree_t WHERE type = 'blob'"
 SELECTS["pr_file_pages"] = """
-    SELECT analysis_id, file_ord * 100 AS file_ord, path, status, CAST(additions AS INTEGER) AS additions,
+    SELECT 'big-' || (CAST(substr(analysis_id, 4) AS BIGINT) // 50) AS analysis_id,
+           row_number() OVER (PARTITION BY CAST(substr(analysis_id, 4) AS BIGINT) // 50
+                              ORDER BY CAST(substr(analysis_id, 4) AS BIGINT), file_ord) - 1 AS file_ord,
+           path, status, CAST(additions AS INTEGER) AS additions,
            CAST(deletions AS INTEGER) AS deletions, CAST(changes AS INTEGER) AS changes, patch FROM pr_files_t
 """
+SELECTS["repo_tree_json"] = """
+    SELECT analysis_id || '-' || (file_ord // 1000) AS analysis_id,
+           row_number() OVER (PARTITION BY analysis_id, file_ord // 1000 ORDER BY file_ord) - 1 AS file_ord, path, type, size
+    FROM tree_t
+"""
+SELECTS["repo_languages_json"] = "SELECT analysis_id, language, bytes FROM languages_t"
+SELECTS["pr_headers_json"] = "SELECT analysis_id, title, author FROM pr_header_t"
 SELECTS["decode_contents"] = """
     SELECT source AS analysis_id, doc_id AS file_ord, text AS content FROM documents WHERE doc_id % 7 <> 1 AND text <> ''
 """

@@ -7,7 +7,7 @@ given rows but the repository header and language sizes, which are small aggrega
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.binding import literals
@@ -214,6 +214,42 @@ def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the file lists of large requests, which have the files of fifty conversations each."""
+    conv = F.substring("analysis_id", 4, 20).cast("bigint")
+    group = F.concat(F.lit("big-"), F.floor(conv / 50).cast("string"))
+    # A request has a few hundred files, so its numbers fit a plain window, and a page a list.
+    order = Window.partitionBy("group").orderBy("conv", "file_ord")
+    files = pr_files(spark, sf_dir).withColumns({"group": group, "conv": conv})
+    item = F.struct(F.col("path").alias("filename"), "status", "additions", "deletions", "changes", "patch")
+    placed = files.select("group", (F.row_number().over(order) - 1).alias("pos"), item.alias("item"))
+    items = F.sort_array(F.collect_list(F.struct("pos", "item")))
+    return placed.groupBy(
+        F.col("group").alias("analysis_id"), (F.floor(F.col("pos") / 100) + 1).cast("int").alias("page")
+    ).agg(F.to_json(F.transform(items, lambda x: x["item"])).alias("body"))
+
+
+def tree_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees as JSON bodies; a repository of many files has several, each a tree of its own."""
+    item = F.struct("path", F.lit("100644").alias("mode"), "type", "size", F.sha1(F.col("path").cast("binary")).alias("sha"))
+    items = F.sort_array(F.collect_list(F.struct("file_ord", item.alias("item"))))
+    part = F.concat("analysis_id", F.lit("-"), F.floor(F.col("file_ord") / 1000).cast("string"))
+    return tree(spark, sf_dir).groupBy(part.alias("analysis_id")).agg(
+        F.to_json(F.struct(F.transform(items, lambda x: x["item"]).alias("tree"))).alias("body")
+    )
+
+
+def language_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language sizes as JSON bodies, an object for each repository."""
+    entries = F.collect_list(F.struct("language", "bytes"))
+    return repo_languages(spark, sf_dir).groupBy("analysis_id").agg(F.to_json(F.map_from_entries(entries)).alias("body"))
+
+
+def pr_header_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.struct("title", F.struct(F.col("author").alias("login")).alias("user"), F.lit("open").alias("state"))
+    return pr_headers(spark, sf_dir).select("analysis_id", F.to_json(header).alias("body"))
+
+
 def pr_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents of the files with a patch of each pull request, which import one another."""
     turn = F.col("turn")

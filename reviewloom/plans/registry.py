@@ -57,21 +57,29 @@ def tree_blobs(spark, sf):
     return selection.tree_blobs(corpora.tree(spark, sf))
 
 
+@query
+def repo_tree_json(spark, sf):
+    """Trees read back from JSON bodies of the host's shape, a thousand items to a body."""
+    return landed.tree(corpora.tree_bodies(spark, sf))
+
+
+@query
+def repo_languages_json(spark, sf):
+    found = landed.repo_languages(corpora.language_bodies(spark, sf))
+    return found.select("analysis_id", "language", "bytes")
+
+
+@query
+def pr_headers_json(spark, sf):
+    found = landed.pr_headers(corpora.pr_header_bodies(spark, sf))
+    return found.select("analysis_id", "title", F.col("user.login").alias("author"))
+
+
 @query
 def pr_file_pages(spark, sf):
-    """Files of pull requests read back from JSON pages of the host's shape."""
-    files = corpora.pr_files(spark, sf).select(
-        "analysis_id",
-        (F.col("file_ord") + 1).alias("page"),
-        F.to_json(
-            F.array(
-                F.struct(
-                    F.col("path").alias("filename"), "status", "additions", "deletions", "changes", "patch"
-                )
-            )
-        ).alias("body"),
-    )
-    return landed.pr_files(files).select(
+    """Files of large pull requests from JSON pages of a hundred, which come in any order."""
+    pages = corpora.pr_pages(spark, sf).repartition("body")
+    return landed.pr_files(pages).select(
         "analysis_id", F.col("file_ord").cast("bigint"), "path", "status", "additions",
         "deletions", "changes", "patch",
     )
