@@ -63,7 +63,10 @@ def latest(saves: DataFrame, order: list[str]) -> DataFrame:
 
 
 def retain_latest(saves: DataFrame, order: list[str], n: int = RETAINED) -> DataFrame:
-    """The ``n`` results saved first most recently.  Saving one again does not move it."""
+    """Newest by first save: the ``n`` ids whose first save is newest; saving one again does not move it.
+
+    Evictions are not replayed one by one, so an id saved again after it would have been dropped isn't new.
+    """
     return latest(saves, order).orderBy(F.desc("first_save")).limit(n)
 
 
