@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import Index, bounded, nonempty, texts
 
-Q, RATE, PIECE, SHORTEST = 8, 0.1, 160, 25
+Q, RATE, PIECE, SHORTEST = 8, 0.1, 100, 25
 LOT = 4_000_000
 BLOCK = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -9,8 +9,8 @@ Equal texts have equal digests; the empty text has the digest of no counts.
 
 ``neighbours`` compares each text with an edited form of it and with the next one by doc_id. One shuffle by
 ranges of doc_id puts neighbours side by side; a task gives on the first and the last text of its range only,
-so that no task sees more. Null text is empty. Rows of equal doc_id follow each other in order of their text,
-null ids come first; the last row's next is the first row, and a single row is its own next.
+so that no task sees more. Null text is empty. Rows of equal doc_id follow each other in order of a hash of their text,
+so that many of them are dealt to several tasks; null ids come first; the last row's next is the first row, and a single row is its own next.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from reviewloom.llm.common import nonempty, texts, written
+from reviewloom.llm.common import bounded, nonempty, text_digest, texts, written
 
 BUCKETS = 256
 OFFSETS = (3, 8)
@@ -185,8 +185,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
                 _compare(batch["doc_id"].to_pylist(), texts(batch["text"]), texts(batch["next_text"]))
             )
 
-    ranged = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = ranged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    bounded(docs.sparkSession)
+    ranged = docs.select(
+        F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), text_digest("text").alias("digest")
+    )
+    ranged = ranged.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").drop("digest")
     walked = written(ranged.mapInArrow(walk, f"kind string, part int, text string, {RESULT}"))
     # Two rows for each task that had any.
     firsts = walked.where("kind = 'first'").select("part", F.col("text").alias("next_text"))

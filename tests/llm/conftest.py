@@ -12,6 +12,8 @@ SCHEMA = T.StructType(
         T.StructField("score", T.StringType()),
         T.StructField("key", T.StringType()),
         T.StructField("size", T.StringType()),
+        T.StructField("ranges", T.StringType()),
+        T.StructField("wanted", T.StringType()),
     ]
 )
 
@@ -24,7 +26,7 @@ def documents(spark):
         full = []
         for row in rows:
             doc_id, text, lang, source = (*row, None, None)[:4]
-            full.append((doc_id, text, lang, source, None if text is None else len(text), "s", "k", "z"))
+            full.append((doc_id, text, lang, source, None if text is None else len(text), "s", "k", "z", "r", "w"))
         return spark.createDataFrame(full, SCHEMA).repartition(3)
 
     return make

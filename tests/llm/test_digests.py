@@ -1,13 +1,16 @@
 import hashlib
 
+import numpy as np
 import pytest
+import xxhash
 
 from reviewloom.llm import digests
 
 
 def want(rows):
     """(doc_id, n_chars, edited hash) in order, the plain way."""
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    digest = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1])))
     texts = [t or "" for _, t in rows]
     out = []
     for (doc, _), own, after in zip(rows, texts, texts[1:] + texts[:1]):
@@ -23,7 +26,7 @@ def want(rows):
 
 ROWS = [
     (5, "one two three four five six seven eight"), (1, "é" * 41), (2, ""), (3, None), (9, "ab"), (4, "漢字かな" * 20),
-    (7, "same"), (7, "same"), (6, "long words " * 5000), (None, "no id"), (8, "x" * 3),
+    (7, "same"), (7, "same"), (7, "other"), (7, None), (6, "long words " * 5000), (None, "no id"), (None, "none either"), (8, "x" * 3),
 ]
 
 
