@@ -29,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from reviewloom.llm.common import bounded, nonempty, row_key, text_digest, utf8, written
 from reviewloom.llm.suffix_arrays import repeated_windows, words_at
 
 WIDTH, GRAM = 200, 32
-SHARD, RUNS = 2 << 20, 4096
+SHARD, RUNS = 1 << 20, 4096
 BLOCK = 1 << 16
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -138,12 +139,12 @@ def runs(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def run_texts(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(key, run, n, salt, shards, bytes) of the runs named in ``rows``: __rid, __th, text, wanted and any more columns."""
+    """(key, run, n, salt, shards, bytes) of the runs named in ``rows``: __rid, __th, text, __wanted and any more columns."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             raw, ends = utf8(batch["text"])
-            wanted = batch["wanted"]
+            wanted = batch["__wanted"]
             runs_of = wanted.flatten()
             of = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
             at = runs_of.field("at").to_numpy()
@@ -279,13 +280,14 @@ def merged(windows: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, longest: int = RUNS) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with __rid and __th, and (__rid, __th, ranges): windows that repeat, as 512 * first + number."""
+    """``docs`` with __rid and __th, and (__rid, __th, __ranges): windows that repeat, as 512 * first + number."""
     bounded(docs.sparkSession)
     rows = docs.withColumns(row_key("doc_id", text_digest("text")))
     cut = runs(rows, width)
     keys = cut.groupBy("key").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high"))
     keys = keys.where("n > 1").select("key", (F.col("low") != F.col("high")).alias("differ"))
-    met = written(cut.join(keys, "key"))
+    # Written, so that the join is one that Spark splits where a key is hot.
+    met = written(cut.join(written(keys), "key"))
     kinds = met.where("differ").groupBy("key", "run").agg(
         F.min(F.struct("__rid", "__th", "at")).alias("one"), F.count("*").alias("n")
     )
@@ -295,20 +297,24 @@ def spans(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, longest: int
     kinds = kinds.select("key", "run", "n", "one", shards.alias("shards"))
     kinds = kinds.withColumn("salt", F.pmod(F.xxhash64("run"), F.col("shards")).cast("int"))
     wanted = kinds.groupBy("one.__rid", "one.__th").agg(
-        F.collect_list(F.struct("key", "run", "n", "salt", "shards", "one.at")).alias("wanted")
+        F.collect_list(F.struct("key", "run", "n", "salt", "shards", "one.at")).alias("__wanted")
     )
     judged = written(judge(run_texts(rows.join(wanted, ["__rid", "__th"]), width), width, shard))
     verdict = judged.where("ranges IS NOT NULL AND size(ranges) > 0").select("key", "run", "ranges")
     verdict = verdict.unionByName(merged(judged))
-    differ = met.where("differ").join(verdict, ["key", "run"]).select(
-        "__rid",
-        "__th",
-        F.explode(
-            F.transform("ranges", lambda r: r + F.shiftright("at", 9) * 512)
-        ).alias("at"),
+    # What was found of a kind of run goes to its places in groups of some thousand ids, so that a run which very many
+    # texts have meets its verdict in many tasks.
+    verdict = verdict.groupBy("key", "run").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    places = met.where("differ").select("key", "run", F.shiftright("__rid", 12).alias("some"), "__rid", "__th", "at")
+    told = places.select("key", "run", "some").distinct().join(verdict, ["key", "run"])
+    group = W.Window.partitionBy("key", "run", "some")
+    both = places.unionByName(told, allowMissingColumns=True)
+    both = both.withColumn("ranges", F.first("ranges", ignorenulls=True).over(group))
+    differ = both.where("at IS NOT NULL AND ranges IS NOT NULL").select(
+        "__rid", "__th", F.transform("ranges", lambda r: r + F.shiftright("at", 9) * 512).alias("ranges")
     )
-    every = met.where("NOT differ").select("__rid", "__th", "at").unionByName(differ)
-    return rows, every.groupBy("__rid", "__th").agg(F.collect_list("at").alias("ranges"))
+    every = met.where("NOT differ").select("__rid", "__th", F.array("at").alias("ranges")).unionByName(differ)
+    return rows, every.groupBy("__rid", "__th").agg(F.flatten(F.collect_list("ranges")).alias("__ranges"))
 
 
 def covered(size: int, ranges: list | np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -358,7 +364,7 @@ def report(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, longest: int
 def removed(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The bytes of each text of a batch, and its removed runs."""
     raw, ends = utf8(batch["text"])
-    for i, ranges in enumerate(batch["ranges"]):
+    for i, ranges in enumerate(batch["__ranges"]):
         text = raw[ends[i] : ends[i + 1]]
         yield text, covered(len(text), ranges.values.to_numpy() if ranges.is_valid else [], width)
 
