@@ -141,6 +141,8 @@ def forest(groups: np.ndarray, fps: np.ndarray, bits: int = BITS) -> tuple[np.nd
 
 def links(fps: DataFrame, bits: int = BITS, longest: int = LIST) -> DataFrame:
     """(u, v): links that connect whatever differs in ``bits`` bits or fewer."""
+    if bits > BITS:
+        raise ValueError(f"the lists hold only pairs of up to {BITS} differing bits together")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_group, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -185,7 +187,11 @@ def classes(docs: DataFrame, words: int = WORDS, bits: int = BITS, longest: int
 
 def one_each(docs: DataFrame, words: int = WORDS, bits: int = BITS, longest: int = LIST) -> DataFrame:
     """The rows of ``docs``, all their columns, that have the least id of their component; of rows alike in id and text, one."""
-    found = classes(docs, words, bits, longest)
+    return one_row_each(docs, classes(docs, words, bits, longest))
+
+
+def one_row_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the least id of each ``root`` of ``found`` (doc_id, text_hash, root), one of rows alike."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     kept = found.groupBy("root").agg(first.alias("one")).select(
         *[c.alias(n) for n, c in row_key(F.col("one.doc_id"), F.col("one.text_hash")).items()]

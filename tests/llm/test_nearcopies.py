@@ -1,0 +1,66 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from reviewloom.llm import nearcopies, simhash
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def planted(seed=5):
+    """Texts of 30 to 400 words with copies of one to twelve replaced words, chains of copies, and short texts."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    found = []
+    for _ in range(60):
+        text = [word() for _ in range(r.randrange(30, 400))]
+        found.append(text)
+        for _ in range(5):
+            text = list(r.choice([text, found[-1]]))
+            for _ in range(r.randrange(1, 1 + max(1, len(text) // 40))):
+                text[r.randrange(len(text))] = word()
+            found.append(text)
+    found += [["a", "b"], ["A", "b"], ["b", "a"], [], ["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "e", "f"]]
+    r.shuffle(found)
+    return [" ".join(x) for x in found]
+
+
+def groups(texts):
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    return {frozenset(i for i, x in enumerate(root) if x == k) for k in set(root)}
+
+
+@pytest.mark.parametrize("longest", [nearcopies.LONGEST, 2])
+def test_groups_are_those_of_brute_force(documents, longest):
+    texts = planted()
+    rows = nearcopies.classes(documents(list(enumerate(texts))), longest=longest).collect()
+    got = {frozenset(r.doc_id for r in rows if r.root == k) for k in {r.root for r in rows}}
+    want = groups(texts)
+    assert len(want) < len(texts) - 150  # many planted copies are near
+    assert got == want
+
+
+def test_the_stage_takes_near_copies_and_keeps_one_whole(spark, documents, sf_dir):
+    texts = planted(7)
+    docs = documents([*enumerate(texts), (0, texts[0]), (None, "no id " * 9), (None, None)])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(i for i, _ in rows if i is not None) == sorted(min(g) for g in groups(texts))
+    assert all(texts[i] == t for i, t in rows if i is not None)
+    assert [t for i, t in rows if i is None] == ["no id " * 9]  # the null text has the empty one's place
+
+
+def test_what_the_lists_of_op8_cannot_hold_is_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,), (7,)], "fp long"), bits=3)
