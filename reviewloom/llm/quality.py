@@ -190,9 +190,9 @@ def learn(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2, m
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality"))
     marked = marked.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", divisor) != held))
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # max_docs rows at most go to the tasks; those whose text is too long or missing fall away.
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_doc_bytes)
+    # Of the labels whose document is here and short enough, max_docs at most go to the tasks.
+    chosen = marked.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     schema = "doc_id long, quality int, n_line int, " + ", ".join(f"{n} double" for n in BASE)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,9 @@ def predict(docs: DataFrame, field: Field | None, divisor: int = 4, held: int =
 
 
 def keep(docs: DataFrame, field: Field | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose text the field takes for good."""
+    """The rows of ``docs``, all their columns, whose text the field takes for good; without a field, all of them."""
+    if field is None:
+        return docs
     sent = bounded(docs.sparkSession).sparkContext.broadcast(field)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,3 +102,15 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = REGISTRY["op9_quality_classifier"](spark, sf_dir).where("held_out").join(labels, "doc_id").collect()
     assert len(rows) > 50 and sum(r.predicted == r.quality for r in rows) >= 0.97 * len(rows)
+
+
+def test_without_a_field_nothing_is_rejected(tables):
+    docs, labels, _ = tables
+    field = quality.learn(docs, labels.where("quality is null"))
+    assert field is None and quality.keep(docs, field).count() == docs.count()
+
+
+def test_labels_without_documents_take_no_places(spark, documents):
+    docs = documents([(i, f"text {i}") for i in range(4000, 4040)])
+    labels = spark.range(4040).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    assert quality.learn(docs, labels, max_docs=5) is not None
