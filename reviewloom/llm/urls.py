@@ -26,10 +26,28 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-STRICT = ["porn", "xxx", "hentai", "camgirls", "warez", "keygen", "phishing", "malware", "escorts", "nsfw"]
+#: Of no other common sense. A term that begins with // is a word that a host begins with, which says more than one in a path.
+STRICT = [
+    "porn", "xxx", "hentai", "camgirls", "warez", "keygen", "phishing", "malware", "escorts", "nsfw",
+    "porno", "pornos", "pornhub", "milf", "milfs", "camgirl", "camsex", "sexcam", "sexcams", "livesex", "sexchat", "sexshop",
+    "xrated", "x-rated", "adultxxx", "fetish", "upskirt", "blowjob", "creampie", "gangbang", "keygens", "serialz", "crackz",
+    "onlinecasino", "onlinecasinos", "casinobonus", "freebets", "freespins", "sportsbook", "sportsbooks", "cheappills", "onlinepharmacy",
+    "buyviagra", "buycialis", "spyware", "adware", "ransomware", "spambot", "spambots", "spamfarm", "linkfarm", "clickbait",
+    "paydayloan", "paydayloans", "doubleclick", "adserver", "adservers", "adtracker", "adtracking", "popunder", "clickfraud",
+    "//adult", "//adults", "//sex", "//sexy", "//nude", "//nudes", "//casino", "//casinos", "//poker", "//bet", "//bets", "//betting",
+    "//gambling", "//slots", "//viagra", "//cialis", "//pills", "//torrent", "//torrents", "//spam", "//ads", "//adtrack", "//jackpot",
+    "adult-x", "x-adult", "adult-video", "adult-videos", "adult-movies", "adult-chat", "adult-cam", "adult-cams", "adult-toys", "adult-dating",
+    "adult-content", "adult-site", "sex-chat", "sex-cam", "sex-cams", "sex-video", "sex-videos", "sex-shop", "sex-toys",
+]
 SOFT = [
     "adult", "sex", "sexy", "nude", "casino", "poker", "betting", "gambling", "viagra", "cialis", "torrent",
     "crack", "hack", "cheat", "bonus", "jackpot", "dating", "replica", "payday", "loan",
+    "adults", "sexual", "nudes", "erotic", "erotik", "erotica", "webcam", "webcams", "hookup", "hookups", "escort", "girls", "singles", "hot",
+    "casinos", "kasino", "bet", "bets", "gamble", "slot", "slots", "roulette", "blackjack", "bingo", "lottery", "lotto", "odds", "wager",
+    "win", "winner", "winners", "prize", "prizes", "jackpots", "bonuses", "spins", "pill", "pills", "pharmacy", "tramadol", "xanax",
+    "prescription", "torrents", "pirated", "cracked", "cracks", "serials", "hacks", "hacked", "cheats", "spam", "spammer", "scam",
+    "farm", "ads", "adclick", "banner", "banners", "popup", "popups", "track", "tracker", "tracking", "clicks", "free", "gratis", "cheap",
+    "cheapest", "discount", "replicas", "rolex", "knockoff", "loans", "debt", "forex", "bitcoin", "crypto", "earn", "cash", "money", "rich",
 ]
 SOFT_LIMIT = 2
 

@@ -51,3 +51,23 @@ def test_empty_table_and_own_vocabulary(spark, pages):
     assert urls.url_filter(pages.limit(0)).count() == 0
     got = urls.url_filter(pages, rules=[], strict=["en"], soft=[]).where("page_id = 4").first()
     assert (got.rule, got.verdict) == (None, "block")
+
+
+BAD = [
+    "https://adult-x.example.net/en/1", "https://adult-x.example.net/de/2", "http://cheap-pills.example.org/", "http://free-bets.example.org/a",
+    "http://spam-farm.example.org/p/3", "http://casino-win.example.org/", "http://ads-track.example.org/px.gif",
+    "http://shop.example.org/cheap/pills?id=1", "http://a.example.org/best-slots-bonus", "http://a.example.org/loans/payday",
+    "http://my.example.org/x-rated/1", "http://www.adult-x.example.net/de/3", "http://m.casino-win.example.org/en/4",
+]
+CLEAN = [
+    "https://en.example.org/wiki/Sussex", "https://news.example.org/sport/winter-games", "https://a.example.org/health/adult-education",
+    "https://a.example.org/recipes/free-range-eggs", "https://a.example.org/farm/animals", "https://a.example.org/music/track/12",
+    "https://law.example.org/sex-discrimination-act", "https://uni.example.org/adsorption/spills", "https://a.example.org/windows/freedom",
+    "https://history.example.org/roads/better-tracks", "https://docs.example.org/bank/loan-basics",
+]
+
+
+def test_bad_and_clean_addresses(spark):
+    pages = spark.createDataFrame(list(enumerate(BAD + CLEAN)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.url_filter(pages).where("rule is null").collect()}
+    assert [got[i] for i in range(len(BAD + CLEAN))] == ["block"] * len(BAD) + ["allow"] * len(CLEAN)
