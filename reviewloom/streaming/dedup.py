@@ -76,42 +76,22 @@ def _folder(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 
 
-def _exists(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return store if store.exists(at) else None
-
-
 def take_batch(
     batch: DataFrame, batch_id: int, sink: str, checkpoint: str, key: list[str], ts: str, row_id: str,
-    ttl_seconds: int = TTL_SECONDS,
 ) -> None:
-    """Accept what is new in a batch; a batch that runs again replaces what it wrote.
+    """Land the narrow rows of a batch; a batch that runs again replaces what it wrote.
 
-    Rows without a time are put in the folder of rejects.  The state, a time per key, is
-    written anew with each batch and read from the one before.
+    Rows without a time are put in the folder of rejects.  What is accepted is settled over all landed rows
+    (``accepted``), as a file may bring rows of any time.
     """
-    spark = batch.sparkSession
     narrow = batch.select(
         F.struct(*key).alias("key"), F.unix_micros(F.col(ts)).alias("micros"), F.col(row_id).alias("row_id")
     ).persist()
     narrow.filter("micros IS NULL").select("key.*", "row_id").write.mode("overwrite").parquet(
         _folder(f"{sink}/rejects", batch_id)
     )
-    rows = narrow.filter("micros IS NOT NULL")
-    before = _folder(f"{checkpoint}/last", batch_id - 1)
-    known = rows.select("key", F.col("micros").alias("last"))
-    state = spark.read.schema(known.schema).parquet(before) if batch_id and _exists(spark, before) else known.limit(0)
-    out = _folder(f"{sink}/accepted", batch_id)
-    first_sights(rows, state, ttl_seconds).write.mode("overwrite").parquet(out)
-    accepted = spark.read.parquet(out).select("key", F.col("micros").alias("last"))
-    accepted.unionByName(state).groupBy("key").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(
-        _folder(f"{checkpoint}/last", batch_id)
-    )
+    narrow.filter("micros IS NOT NULL").write.mode("overwrite").parquet(_folder(f"{sink}/rows", batch_id))
     narrow.unpersist()
-    old = _folder(f"{checkpoint}/last", batch_id - 2)
-    if store := _exists(spark, old):
-        store.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
 
 def start_dedup(
@@ -128,7 +108,8 @@ def start_dedup(
     )
 
 
-def accepted(spark: SparkSession, sink: str) -> DataFrame:
-    """The accepted rows: the key's columns, accepted_at, row_id."""
-    rows = spark.read.parquet(f"{sink}/accepted")
+def accepted(spark: SparkSession, sink: str, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """The accepted rows: the key's columns, accepted_at, row_id; the same however the rows came in batches."""
+    landed = spark.read.parquet(f"{sink}/rows").select("key", "micros", "row_id")
+    rows = first_sights(landed, landed.select("key", F.col("micros").alias("last")).limit(0), ttl_seconds)
     return rows.select("key.*", F.timestamp_micros("micros").alias("accepted_at"), "row_id")

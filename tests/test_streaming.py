@@ -111,3 +111,9 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     for batch_id in (0, 1, 1):
         take_batch(batch, batch_id, *args)
     assert [r.row_id for r in accepted(spark, f"{tmp_path}/out").orderBy("row_id").collect()] == [1, 2]
+
+
+def test_the_split_into_batches_does_not_matter(spark, tmp_path):
+    events = [("a", m) for m in (0, 3, 6, 60, 64, 66, 300)] + [("b", m) for m in (1, 200)]
+    late = [events[6:] + events[3:5], events[:3], events[5:6]]
+    assert sights(spark, str(tmp_path), late) == [("a", 0), ("a", 6), ("a", 60), ("a", 66), ("a", 300), ("b", 1), ("b", 200)]
