@@ -4,17 +4,18 @@ Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last h
 stages the rows are written to the cluster's shared folder and read again, so a lost executor costs a read.
 
 1. ``quality``: documents that the quality classifier rejects go.
-2. ``near_duplicates``: one document of each group of near copies (five-word similarity of 0.8 or more) stays, the one with the least id.
+2. ``near_duplicates``: one document of each group that SimHash links (three-word shingles, two differing bits at most) stays, the one
+   with the least id.
 3. ``repeats``: passages that occur more than once are taken out of the texts.
 4. ``decontamination``: documents that hold a passage of the benchmark go.
-5. ``mix``: what the mix of the sources takes of each document.
+5. ``mix``: the documents of which the mix of the sources takes words, with the words taken in each turn.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import decontaminate, mixing, nearcopies, quality, repeats
+from reviewloom.llm import decontaminate, mixing, quality, repeats, simhash
 from reviewloom.llm.common import bounded, read, written
 
 
@@ -25,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded(spark)
-    return nearcopies.one_each(docs)
+    return simhash.one_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
