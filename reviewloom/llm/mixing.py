@@ -15,6 +15,8 @@ Ranks and places are sums in two steps (within a chunk, over the chunks), so no
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -99,15 +101,15 @@ def places(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def blocks(placed: DataFrame, block: int = BLOCK, epochs: int = EPOCHS) -> DataFrame:
-    """(sid, start, rank, words): what each document gives to the blocks of its source."""
+    """(sid, start, turn, rank, words): what each document gives to the blocks of its source, in each turn."""
     turn = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("turn")
     laid = placed.where("size > 0").select("sid", "start", "size", "source_size", turn)
     laid = laid.withColumn("from", F.col("start") + F.col("turn") * F.col("source_size"))
     laid = laid.withColumn("to", F.col("from") + F.col("size"))
     first, last = F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)
-    laid = laid.select("sid", "start", "from", "to", F.explode(F.sequence(first, last)).alias("rank"))
+    laid = laid.select("sid", "start", "turn", "from", "to", F.explode(F.sequence(first, last)).alias("rank"))
     words = F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)
-    return laid.select("sid", "start", "rank", words.alias("words"))
+    return laid.select("sid", "start", "turn", "rank", words.alias("words"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -121,23 +123,30 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mix(sizes: DataFrame, block: int = BLOCK, epochs: int = EPOCHS) -> DataFrame:
-    """``sizes`` (of ``sized``) with source_size, target and taken."""
+    """``sizes`` (of ``sized``) with source_size, target, taken and taken_by_turn (a number for each turn)."""
     sources = written(targets(sizes, epochs=epochs))
     placed = written(places(sizes, sources))
     met = blocks(placed, block, epochs).join(schedule(sources, block), ["sid", "rank"])
-    taken = met.groupBy("sid", "start").agg(F.sum("words").alias("words"))
-    got = F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    turns = [f"__turn{n}" for n in range(epochs)]
+    sums = [F.sum(F.when(F.col("turn") == n, F.col("words"))).alias(name) for n, name in enumerate(turns)]
+    taken = met.groupBy("sid", "start").agg(*sums)
+    # Documents without words share a place with the next one, but take nothing.
+    got = [F.when(F.col("size") > 0, F.coalesce(name, F.lit(0))).otherwise(F.lit(0)).cast("long") for name in turns]
     return placed.join(taken, ["sid", "start"], "left").select(
-        "doc_id", "source", "text_hash", "size", "source_size", "target", got.alias("taken")
+        "doc_id", "source", "text_hash", "size", "source_size", "target",
+        reduce(Column.__add__, got).alias("taken"), F.array(*got).alias("taken_by_turn"),
     )
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, epochs: int = EPOCHS) -> DataFrame:
-    """``docs``, all columns, with size, source_size, target and taken; columns of those names are replaced."""
-    new = ["size", "source_size", "target", "taken"]
+    """The documents in the mix, all columns, with size, source_size, target, taken and taken_by_turn.
+
+    A document that has words of which none is taken goes; one without words stays. Columns of the new names are replaced.
+    """
+    new = ["size", "source_size", "target", "taken", "taken_by_turn"]
     copy = F.row_number().over(W.Window.partitionBy("__rid", "__th").orderBy("__source"))
     part = mix(sized(docs), block, epochs).withColumns(row_key("doc_id", "text_hash")).withColumnRenamed("source", "__source")
-    part = part.withColumn("__copy", copy).select("__rid", "__th", "__copy", *new)
+    part = part.withColumn("__copy", copy).where("size = 0 OR taken > 0").select("__rid", "__th", "__copy", *new)
     names = [n for n in docs.columns if n not in new]
     rows = docs.select(*names).withColumns(row_key("doc_id", text_digest("text")) | {"__source": F.col("source")})
     rows = rows.withColumn("__copy", copy)

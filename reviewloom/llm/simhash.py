@@ -198,7 +198,8 @@ def one_row_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     )
     names = docs.columns
     rows = docs.withColumns(row_key("doc_id", text_digest("text"))).join(kept, ["__rid", "__th"], "left_semi")
-    copy = F.row_number().over(W.Window.partitionBy("__rid", "__th").orderBy("__th"))
+    # Rows alike in id and text may differ in the other columns; the least of them as JSON stays.
+    copy = F.row_number().over(W.Window.partitionBy("__rid", "__th").orderBy(F.to_json(F.struct(*names))))
     return rows.withColumn("__copy", copy).where("__copy = 1").select(*names)
 
 

@@ -75,8 +75,19 @@ def test_schedule_spreads_every_source(spark, documents):
             assert abs(n - share[s] * (slot + 1)) <= 3 + math.log2(slot + 1) / 2
 
 
-def test_rows_keep_their_columns(documents):
-    docs = documents(ROWS + [ROWS[7], ROWS[7]])
+def test_rows_keep_their_columns_and_go_where_nothing_is_taken(documents):
+    rows = ROWS + [ROWS[7], ROWS[7]]
+    docs = documents(rows)
     got = mixing.mixed(docs)
-    assert got.columns == [c for c in docs.columns if c != "size"] + ["size", "source_size", "target", "taken"]
-    assert sorted(repr(r.text) for r in got.collect()) == sorted(repr(r.text) for r in docs.collect())
+    assert got.columns == [c for c in docs.columns if c != "size"] + ["size", "source_size", "target", "taken", "taken_by_turn"]
+    all_of_them = mixing.mix(mixing.sized(docs)).collect()
+    gone = [r for r in all_of_them if r.size > 0 and r.taken == 0]
+    assert gone and len(gone) < len(rows) / 2
+    kept = got.collect()
+    assert len(kept) == len(rows) - len(gone)
+    assert sum(r.taken for r in kept) == sum(r.taken for r in all_of_them)
+    for r in kept:
+        assert len(r.taken_by_turn) == 2 and sum(r.taken_by_turn) == r.taken
+        assert all(0 <= t <= r.size for t in r.taken_by_turn) and (r.taken or not r.size)
+    texts = {repr((r.doc_id, r.text, r.source)) for r in docs.collect()}
+    assert all(repr((r.doc_id, r.text, r.source)) in texts for r in kept)

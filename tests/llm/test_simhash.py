@@ -90,6 +90,13 @@ def test_odd_rows(documents):
     assert simhash.classes(documents([])).count() == 0 and simhash.one_each(documents([])).count() == 0
 
 
+def test_rows_alike_in_id_and_text_leave_the_same_one(spark):
+    rows = [(1, "a b c d", s) for s in ("q", "p", "r")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        assert [r.source for r in simhash.one_each(docs).collect()] == ["p"]
+
+
 def test_query_against_brute_force(spark, sf_dir):
     from reviewloom.llm.queries import REGISTRY
 
