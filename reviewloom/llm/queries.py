@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import decontaminate, digests, langid, mixing, quality, repeats, simhash, tokens, urls, warc
-from reviewloom.llm.common import read
+from reviewloom.llm import alignment, chat, decontaminate, digests, langid, mixing, quality, repeats, simhash, tokens, urls, vector_codes, warc
+from reviewloom.llm.common import read, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -93,6 +94,44 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, langid.learn(docs))
 
 
+@query
+def op11_alignment(spark, sf_dir):
+    found = alignment.align(
+        read(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    found = vector_codes.compress(read(spark, sf_dir, "embeddings"), carried=("label",))
+    digest = hashlib.sha256(vector_codes.codebook_text(found.books).encode()).hexdigest()
+    rows = vector_codes.label_errors(written(found.rows))
+    return rows.select(
+        F.col("vec_id").cast("long"),
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(digest).alias("codebooks_sha256"),
+    )
+
+
+#: A conversation whose texts are control strings of the template.
+CONTROL = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query
+def op13_chat_formatting(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    more = spark.createDataFrame(CONTROL, "conv_id long, turn long, role string, text string")
+    chosen = chat.paths(chat.from_turns(turns.unionByName(more)))
+    return chat.read_back(chat.formatted(chosen)).drop("leaf").withColumnRenamed("tree", "conv_id")
+
+
 PAGES_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -109,4 +148,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": PAGES_SQL,
         "op6_url_filters": urls.filter_sql(),
         "op7_source_mix": mixing.mix_sql(),
+        "op12_vector_codes": vector_codes.codes_sql(),
+        "op13_chat_formatting": chat.turns_sql(" UNION ALL ".join(f"SELECT {i}, {n}, '{role}', '{text}'" for i, n, role, text in CONTROL)),
     }
