@@ -93,25 +93,24 @@ def reached(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         )
     )
     size, jumps, reach = rows.count(), [], 1
-    while True:
-        open_ = rows.where("up IS NOT NULL").select("tree", "id", "up")
-        if reach > 2 * size or open_.isEmpty():
-            break
-        jumps.append(open_)
-        above = rows.select(
+    done, open_ = rows.where("up IS NULL").drop("up"), rows.where("up IS NOT NULL")
+    while reach <= 2 * size and not open_.isEmpty():
+        jumps.append(open_.select("tree", "id", "up"))
+        # What lies above is another open message, or one that has its root.
+        here = done.withColumn("up", F.lit(None).cast("long")).unionByName(open_).select(
             F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("next"), F.col("root").alias("its_root"),
             F.col("depth").alias("more"), F.col("total").alias("its"),
         )
-        met = rows.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")), "left")
+        met = open_.join(here, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")))
         rows = written(
             met.select(
-                "tree", "id", F.col("next").alias("up"), F.coalesce("root", "its_root").alias("root"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("its", F.lit(0.0))).alias("total"),
+                "tree", "id", F.col("next").alias("up"), F.col("its_root").alias("root"),
+                (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("its")).alias("total"),
             )
         )
+        done, open_ = done.unionByName(rows.where("up IS NULL").drop("up")), rows.where("up IS NOT NULL")
         reach *= 2
-    return rows.where("root IS NOT NULL").drop("up"), jumps
+    return done, jumps
 
 
 def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
