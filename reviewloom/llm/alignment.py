@@ -15,21 +15,22 @@ what a worker holds is bounded however many pairs there are. The highest counts
 entry of its vocabulary.
 
 Texts that are null, empty, or whose tokens' bytes don't give the text back have no tokens. Special strings in texts are
-plain text. Very long texts are cut for the libraries where a space stands between two other characters, which no token of
-either vocabulary spans. Rows keep what they are; repeated rows count as often as they come.
+plain text. No token of either vocabulary lies over a single space between two other characters, which is proven of their
+entries; very long texts are cut there for the libraries. Rows keep what they are; repeated rows count as often as they come.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
@@ -42,8 +43,10 @@ from reviewloom.llm.tokens import LETTERS
 
 #: Pairs of a shard, about; pairs whose hashes a worker holds at once; salts of the first sum of the tree.
 SHARD, LOT, FAN = 1 << 13, 1 << 22, 16
-#: Characters of a text that go to a library at once, and bytes of text in a batch of results.
+#: Characters of a text that go to a library at once, and bytes of text or ids in one piece of work.
 PORTION, RESULT_BYTES = 1 << 20, 2 << 20
+#: A space before which, and behind which, another character stands; Python's white space is the widest there is.
+CUT = re.compile(r"(?<=\S) (?=[^\s▁])")
 
 
 class Vocabularies:
@@ -65,48 +68,46 @@ class Vocabularies:
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in ranks.items():
             self.bytes_a[i] = token
-        self.bytes_b, whole = [], True
+        self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
-            whole &= "▁" not in piece.lstrip("▁")
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-        self.size_a, self.size_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
-        # A piece that holds a space inside could lie over a cut.
+        self.sizes = tuple(np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        inside = any(re.search(r"\S ", t.decode("utf-8", "replace")) for x in (self.bytes_a, self.bytes_b) for t in x)
+        whole = not inside and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b")
         self.portion = PORTION if whole else None
-        self.cut = regex.compile(r"(?<=\S) (?=[^\s▁])")
 
     def portions(self, text: str) -> list[str]:
         """``text`` in portions; the space at a cut goes, as each portion gets one before it."""
-        if self.portion is None or len(text) <= self.portion:
-            return [text]
         found, start = [], 0
-        while len(text) - start > self.portion:
-            cut = self.cut.search(text, start + self.portion)
+        while self.portion is not None and len(text) - start > self.portion:
+            cut = CUT.search(text, start + self.portion)
             if cut is None:
                 break
             found.append(text[start : cut.start()])
             start = cut.end()
-        return [*found, text[start:]]
+        return [*found, text[start:] if start else text]
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """The ids of both; none where their bytes aren't the text's."""
+    def encode(self, text: str) -> tuple[bytes, bytes]:
+        """The ids of both as little-endian 32 bits; none where their bytes aren't the text's."""
         if not text:
-            return [], []
+            return b"", b""
         a, b = [], []
         for part in self.portions(text):
             a += self.a.encode_ordinary(" " + part)
             b += self.b.encode(part)
         want = b" " + text.encode("utf-8")
         same = all(b"".join(map(x.__getitem__, ids)) == want for x, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-        return (a, b) if same else ([], [])
+        return (np.array(a, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes()) if same else (b"", b"")
 
 
 class Aligned:
     """The links of some texts, from their ids end to end and the numbers of ids of each."""
 
-    def __init__(self, known: Vocabularies, a: list[np.ndarray], b: list[np.ndarray]):
+    def __init__(self, sizes: tuple[np.ndarray, np.ndarray], a: list[np.ndarray], b: list[np.ndarray]):
+        """``sizes``: the bytes of every token of A and of B."""
         self.a, self.b = (np.concatenate([np.zeros(0, np.uint32), *x]).astype(np.int64) for x in (a, b))
-        self.ends_a, self.ends_b = np.cumsum(known.size_a[self.a]), np.cumsum(known.size_b[self.b])
+        self.ends_a, self.ends_b = np.cumsum(sizes[0][self.a]), np.cumsum(sizes[1][self.b])
         both = np.concatenate([self.ends_a, self.ends_b])
         both.sort(kind="stable")
         last = np.ones(len(both), dtype=bool)
@@ -114,7 +115,7 @@ class Aligned:
         ends = both[last]  # each stretch between two ends lies in one A and one B token: a link
         self.shared = both[~last]  # where both end: the groups
         self.at_a, self.at_b = np.searchsorted(self.ends_a, ends), np.searchsorted(self.ends_b, ends)
-        self.pairs = self.a[self.at_a] * len(known.size_b) + self.b[self.at_b]
+        self.pairs = self.a[self.at_a] * len(sizes[1]) + self.b[self.at_b]
         self.texts_a = np.cumsum([0, *map(len, a)])
         self.texts_b = np.cumsum([0, *map(len, b)])
         # The links of text i are those from links[i] on, the groups those from groups[i] on.
@@ -139,10 +140,16 @@ class Aligned:
         mark[place_a[ends_a - 1]], mark[place_b[ends_b - 1]] = 1, 2
         stops = self.texts_a + self.texts_b
         mark[stops[1:][np.diff(stops) > 0] - 1] = 3
-        text = [f"{i}{',|;'[m]}" if m < 3 else str(i) for i, m in zip(ids.tolist(), mark.tolist(), strict=True)]
+        text = list(map(_spelled().__getitem__, (ids * 4 + mark).tolist()))
         return ["".join(text[x:y]) for x, y in zip(stops, stops[1:])]
 
 
+@cache
+def _spelled() -> list[str]:
+    """Ids below 2**16 as decimals, each with each mark behind it."""
+    return [f"{i}{mark}" for i in range(1 << 16) for mark in (",", "|", ";", "")]
+
+
 _KNOWN: dict[str, Vocabularies] = {}
 _TABLES: dict[str, tuple] = {}
 
@@ -180,8 +187,8 @@ def tokenized(docs: DataFrame, key: str, sent) -> DataFrame:
         for batch in nonempty(batches):
             for some in _slices(batch, ("text",)):
                 pairs = [known.encode(t) for t in texts(some["text"])]
-                a, b = ([np.array(p[i], dtype="<u4").tobytes() for p in pairs] for i in (0, 1))
-                columns = {"doc_id": some["doc_id"], "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}
+                a, b = (pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1))
+                columns = {"doc_id": some["doc_id"], "a": a, "b": b}
                 yield pa.record_batch(columns)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -189,15 +196,14 @@ def tokenized(docs: DataFrame, key: str, sent) -> DataFrame:
     return written(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def hashed(tokens: DataFrame, key: str, sent, shard: int) -> tuple[DataFrame, int]:
+def hashed(tokens: DataFrame, sizes, shard: int) -> tuple[DataFrame, int]:
     """(shard, sizes, words, pairs) of the distinct pairs' hashes, written, and the number of shards."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _kept(_KNOWN, key, lambda: Vocabularies(*sent.value))
         seen = np.zeros(0, dtype=np.int64)
         for batch in nonempty(batches):
             for some in _slices(batch, ("a", "b")):
-                seen = np.union1d(seen, Aligned(known, _ids(some["a"]), _ids(some["b"])).pairs)
+                seen = np.union1d(seen, Aligned(sizes.value, _ids(some["a"]), _ids(some["b"])).pairs)
                 if len(seen) > LOT:
                     yield pa.record_batch({"pair": seen})
                     seen = seen[:0]
@@ -282,18 +288,17 @@ def _vector(shard: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def counted(tokens: DataFrame, hashes: DataFrame, shards: int, some: list[int], key: str, sent) -> DataFrame:
+def counted(tokens: DataFrame, hashes: DataFrame, shards: int, some: list[int], sizes) -> DataFrame:
     """(shard, n, at, counts) of the shards ``some``: the number of links of each pair, by index."""
     rows = hashes.where(F.col("shard").isin(some)).orderBy("shard").collect()  # a lot
     name, lot = uuid.uuid4().hex, tokens.sparkSession.sparkContext.broadcast([r.asDict() for r in rows])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _kept(_KNOWN, key, lambda: Vocabularies(*sent.value))
         table = _kept(_TABLES, name, lambda: _table(lot.value, shards))
         counts = np.zeros(len(table), dtype=np.int64)
         for batch in nonempty(batches):
             for part in _slices(batch, ("a", "b")):
-                at = table.find(Aligned(known, _ids(part["a"]), _ids(part["b"])).pairs)
+                at = table.find(Aligned(sizes.value, _ids(part["a"]), _ids(part["b"])).pairs)
                 counts += np.bincount(at[at >= 0], minlength=len(table))
         salt = TaskContext.get().partitionId() % FAN  # the same when the task runs again
         for number, a, b in zip(table.numbers, table.starts, table.starts[1:]):
@@ -331,7 +336,7 @@ def _dense(row: dict) -> np.ndarray:
     return full
 
 
-def looked_up(tokens: DataFrame, rows: list, shards: int, most: np.ndarray, key: str, sent) -> DataFrame:
+def looked_up(tokens: DataFrame, rows: list, shards: int, most: np.ndarray, sizes) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of every text, for the pairs of ``rows`` alone."""
     name = uuid.uuid4().hex
     lot = tokens.sparkSession.sparkContext.broadcast(([r.asDict() for r in rows], most))
@@ -341,12 +346,11 @@ def looked_up(tokens: DataFrame, rows: list, shards: int, most: np.ndarray, key:
         return _table(found, shards), np.concatenate([np.zeros(0, np.int64), *map(_dense, found)]), best
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _kept(_KNOWN, key, lambda: Vocabularies(*sent.value))
         table, counts, best = _kept(_TABLES, name, make)
         counts = np.append(counts, 0)  # pairs of other lots: index -1
         for batch in nonempty(batches):
             for some in _slices(batch, ("a", "b")):
-                aligned = Aligned(known, _ids(some["a"]), _ids(some["b"]))
+                aligned = Aligned(sizes.value, _ids(some["a"]), _ids(some["b"]))
                 found = counts[table.find(aligned.pairs)]
                 top = (found > 0) & (found == best[aligned.b[aligned.at_b]])
                 columns = {
@@ -370,21 +374,23 @@ def align(docs: DataFrame, byte_level: str, pattern: str, pieces: str, shard: in
     spark = bounded(docs.sparkSession)
     with open(byte_level, encoding="utf-8") as file, open(pieces, "rb") as model:
         contents = file.read(), pattern, model.read()
-    n_b = len(Vocabularies(*contents).size_b)
-    key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(contents)
-    tokens = tokenized(docs, key, sent)
-    hashes, shards = hashed(tokens, key, sent, shard)
+    known = Vocabularies(*contents).sizes
+    if len(known[0]) > len(_spelled()) // 4 or len(known[1]) > len(_spelled()) // 4:
+        raise ValueError("ids of more than 16 bits")
+    sizes, n_b = spark.sparkContext.broadcast(known), len(known[1])
+    tokens = tokenized(docs, uuid.uuid4().hex, spark.sparkContext.broadcast(contents))
+    hashes, shards = hashed(tokens, sizes, shard)
     dealt = lots(hashes, lot)
     summed = None
     for some in dealt:
-        part = counted(tokens, hashes, shards, some, key, sent)
+        part = counted(tokens, hashes, shards, some, sizes)
         summed = part if summed is None else summed.unionByName(part)
     if summed is None:  # no link anywhere
-        return looked_up(tokens, [], shards, np.zeros(n_b, np.int64), key, sent).drop("row")
+        return looked_up(tokens, [], shards, np.zeros(n_b, np.int64), sizes).drop("row")
     counts = written(hashes.join(summed.select("shard", "at", "counts"), "shard"))
     most = highest(counts, n_b)
     parts = [
-        looked_up(tokens, counts.where(F.col("shard").isin(some)).orderBy("shard").collect(), shards, most, key, sent)
+        looked_up(tokens, counts.where(F.col("shard").isin(some)).orderBy("shard").collect(), shards, most, sizes)
         for some in dealt
     ]
     found = parts[0]
