@@ -368,3 +368,4 @@ SELECTS["stream_results"] = " UNION ALL ".join(
     ]
 )
 SELECTS["stream_dedup"] = "SELECT user_id, event_type, event_id FROM accepted"
+SELECTS["stream_dedup_settled"] = SELECTS["stream_dedup"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ from reviewloom.operators import (
     selection,
 )
 from reviewloom.plans import analyses, corpora
-from reviewloom.session import reuse, shared_folder
+from reviewloom.session import reuse, scratch
 from reviewloom.sources import landed, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,14 +40,6 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared one; it goes when the driver's JVM ends."""
-    folder = f"{shared_folder(spark)}/run-{uuid.uuid4()}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
-
-
 # Sources -------------------------------------------------------------------------------
 
 
@@ -624,7 +615,7 @@ def results(spark, sf):
 def stream_scan(spark, sf):
     from reviewloom.streaming.scan import start_scan
 
-    folder = _scratch(spark)
+    folder = scratch(spark)
     start_scan(corpora.page_stream(spark, sf), f"{folder}/out", f"{folder}/state").awaitTermination()
     return _long(spark.read.parquet(f"{folder}/out"), "file_ord", "line", "rule_ord", "match_ord")
 
@@ -633,17 +624,33 @@ def stream_scan(spark, sf):
 def stream_results(spark, sf):
     from reviewloom.streaming.results import start_results
 
-    folder = _scratch(spark)
+    folder = scratch(spark)
     start_results(corpora.page_stream(spark, sf), f"{folder}/out", f"{folder}/state").awaitTermination()
     return store.load(spark, f"{folder}/out").select(*analyses.RESULT)
 
 
+@query
+def stream_dedup_settled(spark, sf):
+    """The same, settled as the watermark passes: state is kept for a day of lateness."""
+    from reviewloom.streaming.dedup import accepted, start_dedup
+
+    folder = scratch(spark)
+    events = corpora.table_stream(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"
+    )
+    start_dedup(
+        events, f"{folder}/out", f"{folder}/state", ["user_id", "event_type"], "ts", "event_id", 86_400
+    ).awaitTermination()
+    found = accepted(spark, f"{folder}/out", checkpoint=f"{folder}/state")
+    return found.select("user_id", "event_type", F.col("row_id").alias("event_id"))
+
+
 @query
 def stream_dedup(spark, sf):
     """Events of one user and type suppress each other; the table's own files are the stream."""
     from reviewloom.streaming.dedup import accepted, start_dedup
 
-    folder = _scratch(spark)
+    folder = scratch(spark)
     events = corpora.table_stream(spark, sf, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"
     )

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +53,42 @@ def reuse(df: DataFrame) -> DataFrame:
     Nothing runs before the result is asked for, and what a lost executor kept is worked out anew.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder in the shared one; it goes when the driver's JVM ends."""
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4()}"
+    path, files = _path(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
+def landed_table(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that its lineage ends there."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def freed(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that this library wrote and needs no more; one that isn't there is no error."""
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers can import this package; Spark sends it to every executor, once."""
+    if getattr(spark.sparkContext, "_package_sent", None) is None:
+        spark.sparkContext._package_sent = True
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="code-"), f"{package.name}-core.zip")
+        with zipfile.ZipFile(archive, "w") as file:
+            for module in sorted(package.rglob("*.py")):
+                file.write(module, module.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+    return spark
