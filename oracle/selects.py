@@ -96,6 +96,8 @@ _FOUND = (
 )
 for _key, _cte in {
     "scan_code_security": "found_cs",
+    "scan_catalogue_security": "found_cs",
+    "scan_incremental": "found_cs",
     "scan_code_performance": "found_cp",
     "scan_repo_security": "found_rs",
     "scan_pr_security": "found_ps",

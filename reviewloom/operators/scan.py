@@ -36,16 +36,20 @@ def _possible(text: str, rule: Rule) -> str:
     return f"({' OR '.join(tests)})" if tests else "true"
 
 
-def _match_lines(text: str, rule: Rule) -> str:
-    """Line of every match, in order of place."""
-    mark, text = quoted(_MARK), rule.text(text)
-    before, after = rule.marked
+def lines(text: str, regex: str, replacement: str = quoted(_MARK + "$0")) -> str:
+    """Line of every match of ``regex`` (SQL expressions), in order of place; ``replacement`` puts a mark before each."""
+    mark = quoted(_MARK)
     clean = f"IF(contains({text}, {mark}), translate({text}, {mark}, {quoted(_STAND_IN)}), {text})"
-    marked = f"regexp_replace({clean}, {quoted(rule.java)}, {quoted(before + _MARK + after)})"
+    marked = f"regexp_replace({clean}, {regex}, {replacement})"
     repeated = f"array_repeat(i + 1, length(l) - length(replace(l, {mark}, '')))"
     return f"flatten(transform(split({marked}, '\\n', -1), (l, i) -> {repeated}))"
 
 
+def _match_lines(text: str, rule: Rule) -> str:
+    before, after = rule.marked
+    return lines(rule.text(text), quoted(rule.java), quoted(before + _MARK + after))
+
+
 def _rule_findings(text: str, rule: Rule) -> str:
     finding = (
         f"named_struct('rule_id', {quoted(rule.rule_id)}, 'kind', {quoted(rule.kind)}, "
@@ -60,7 +64,8 @@ def _rule_findings(text: str, rule: Rule) -> str:
 
 def findings_array(text: str, *packs: list[Rule]) -> Column:
     """All findings of the packs in one text (a SQL expression), rule by rule."""
-    return F.expr(f"concat({', '.join(_rule_findings(text, r) for pack in packs for r in pack)})")
+    found = [_rule_findings(text, r) for pack in packs for r in pack]
+    return F.expr(f"concat({', '.join(found or [NO_FINDINGS])})")
 
 
 def level_counts(text: str, pack: list[Rule], prefix: str) -> list[Column]:

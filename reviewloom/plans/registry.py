@@ -209,6 +209,29 @@ def scan_code_security(spark, sf):
     return _found(corpora.code_files(spark, sf), rules.CODE_SECURITY, "content")
 
 
+@query
+def scan_catalogue_security(spark, sf):
+    """The same by the way of large catalogues: the rules written to a table and read back, gated by required strings."""
+    from reviewloom.operators.catalogues import scan_catalogue
+
+    pack = rules.from_table(rules.catalogue(spark).filter("rule_id LIKE 'CS%'"))
+    keyed = corpora.code_files(spark, sf).select("analysis_id", "path", "file_ord", "content")
+    return _long(scan_catalogue(keyed, pack).select(*_FOUND), "file_ord", "line", "rule_ord", "match_ord")
+
+
+@query
+def scan_incremental(spark, sf):
+    """The same by contents: the first run scans each content once, the second finds all of them scanned."""
+    from reviewloom.sources import contents
+
+    folder = scratch(spark)
+    keyed = corpora.code_files(spark, sf).select("analysis_id", "path", "file_ord", "content")
+    for batch_id in range(2):
+        contents.scan_new(keyed, rules.CODE_SECURITY, folder, batch_id)
+    found = contents.attached(keyed, rules.CODE_SECURITY, folder, "file_ord")
+    return _long(found.select(*_FOUND), "file_ord", "line", "rule_ord", "match_ord")
+
+
 @query
 def scan_code_performance(spark, sf):
     return _found(corpora.code_files(spark, sf), rules.CODE_PERFORMANCE, "content")

@@ -172,7 +172,7 @@ def settle(spark, folder, batches, lateness):
 
 def test_settling_as_the_watermark_passes(spark, tmp_path):
     r = random.Random(4)
-    events = sorted(((f"k{r.randrange(3)}", r.randrange(6000) / 10) for _ in range(900)), key=lambda e: e[1] + r.random() * 25)
+    events = sorted(((f"k{r.randrange(3)}", r.randrange(6000) / 10) for _ in range(500)), key=lambda e: e[1] + r.random() * 25)
     rows = [(i, k, m) for i, (k, m) in enumerate(events)]
     want = []
     for key in ("k0", "k1", "k2"):
@@ -181,14 +181,14 @@ def test_settling_as_the_watermark_passes(spark, tmp_path):
             if k == key:
                 first.setdefault(m, i)
         want += [(key, first[m]) for m in rule(first)]
-    split = [rows[i : i + 100] for i in range(0, 900, 100)]
+    split = [rows[i : i + 100] for i in range(0, 500, 100)]
     assert settle(spark, f"{tmp_path}/many", split, 1800) == sorted(want)
     assert settle(spark, f"{tmp_path}/one", [rows], 1800) == sorted(want)
-    waiting = spark.read.parquet(f"{tmp_path}/many/state/rows/open/batch=8")
+    waiting = spark.read.parquet(f"{tmp_path}/many/state/rows/open/batch=4")
     span = waiting.agg(F.max("micros") - F.min("micros")).first()[0]
-    assert waiting.count() < 200 and span <= 1800 * 1_000_000  # bounded by the lateness, not by what came
-    assert spark.read.parquet(f"{tmp_path}/many/state/rows/last/batch=8").count() <= 3
-    assert sorted(p.name for p in (tmp_path / "many/state/rows/open").iterdir()) == ["batch=7", "batch=8"]
+    assert waiting.count() < 120 and span <= 1800 * 1_000_000  # bounded by the lateness, not by what came
+    assert spark.read.parquet(f"{tmp_path}/many/state/rows/last/batch=4").count() <= 3
+    assert sorted(p.name for p in (tmp_path / "many/state/rows/open").iterdir()) == ["batch=3", "batch=4"]
 
 
 def test_what_comes_too_late_is_rejected(spark, tmp_path):
