@@ -14,7 +14,7 @@ and Kasai's common prefixes of at least ``WIDTH`` bytes between neighbours are t
 
 *Across shards.* A key with more than ``RUNS`` kinds of runs is dealt over several shards. Each gives on the fingerprints of its
 windows, sorted; merge groups, each with its own part of the fingerprints, search every shard's list in those before it by
-halving. Each group's size is bounded.
+halving. A group has a window once for each shard.
 
 Windows are judged on the input. Null text is empty; texts shorter than the window keep all. Rows that are alike in id and text
 are copies of each other, so their long enough windows all repeat. Other columns are kept as they are.
@@ -185,8 +185,8 @@ def fingerprints(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def judge(texts: DataFrame, width: int = WIDTH, shard: int = SHARD) -> DataFrame:
-    """(key, run, ranges, shards, salt, w1, w2, place): ranges of repeated windows, and for keys of several shards each
-    different window that isn't yet known to repeat, for the merge."""
+    """(key, run, ranges, shards, salt, w1, w2, place): ranges of repeated windows, and for keys of several shards every
+    window for the merge, as those of other shards may equal it; ``place`` is below zero for one known to repeat."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -243,7 +243,10 @@ def judge(texts: DataFrame, width: int = WIDTH, shard: int = SHARD) -> DataFrame
 
 
 def merged(windows: DataFrame) -> DataFrame:
-    """(key, run, ranges) of the windows that another shard of their key has too."""
+    """(key, run, ranges) of the windows that another shard of their key has too.
+
+    A merge group holds each of its windows once for a shard, however many runs have it; the verdict goes back by a join.
+    """
 
     def search(table: pa.Table) -> pa.Table:
         w1, w2 = (table[c].to_numpy().view(np.uint64) for c in ("w1", "w2"))
@@ -253,7 +256,6 @@ def merged(windows: DataFrame) -> DataFrame:
         names, known = np.unique(both, return_inverse=True)  # one number for both halves keeps their order
         order = np.lexsort((known, salt))
         cuts = np.flatnonzero(np.diff(salt[order], prepend=-1, append=-1))
-        found = np.zeros(len(w1), dtype=bool)
         before = np.zeros(0, dtype=np.int64)  # sorted windows of the shards so far
         seen = np.zeros(len(names), dtype=bool)
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -263,19 +265,16 @@ def merged(windows: DataFrame) -> DataFrame:
             hit[hit] = before[at[hit]] == own[hit]
             seen[own[hit]] = True
             before = np.union1d(before, own)
-        found = seen[known]
-        place = table["place"].to_numpy()[found]
-        return pa.table(
-            {
-                "key": table["key"].filter(pa.array(found)),
-                "run": table["run"].filter(pa.array(found)),
-                "at": pa.array(np.where(place < 0, -1 - place, place).astype(np.int64) * 512 + 1),
-            }
-        )
+        found = np.ascontiguousarray(names[seen]["a"]), np.ascontiguousarray(names[seen]["b"])
+        key = table["key"].slice(0, 1).to_pylist() * len(found[0])
+        return pa.table({"key": pa.array(key, pa.int64())} | {n: pa.array(w.view(np.int64)) for n, w in zip(("w1", "w2"), found)})
 
+    every = windows.where("w1 IS NOT NULL").select("key", "salt", "shards", "run", "w1", "w2", "place")
     part = F.pmod(F.xxhash64("w1", "w2"), F.col("shards")).alias("part")
-    dealt = windows.where("w1 IS NOT NULL").select("key", part, "salt", "run", "w1", "w2", "place")
-    hits = dealt.groupBy("key", "part").applyInArrow(search, "key long, run long, at long")
+    once = every.select("key", part, "salt", "w1", "w2").distinct()
+    shared = once.groupBy("key", "part").applyInArrow(search, "key long, w1 long, w2 long")
+    place = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).cast("long")
+    hits = every.join(shared, ["key", "w1", "w2"]).select("key", "run", (place * 512 + 1).alias("at"))
     return hits.groupBy("key", "run").agg(F.collect_list("at").alias("ranges"))
 
 
@@ -286,10 +285,12 @@ def spans(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, longest: int
     cut = runs(rows, width)
     keys = cut.groupBy("key").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high"))
     keys = keys.where("n > 1").select("key", (F.col("low") != F.col("high")).alias("differ"))
-    # Written, so that the join is one that Spark splits where a key is hot.
+    # Written, so that the join is one that Spark splits where a key is hot. Rows alike in id and text have their places once.
     met = written(cut.join(written(keys), "key"))
+    met = met.groupBy("key", "differ", "run", "__rid", "__th", "at").agg(F.count("*").alias("copies"))
+    met = written(met)
     kinds = met.where("differ").groupBy("key", "run").agg(
-        F.min(F.struct("__rid", "__th", "at")).alias("one"), F.count("*").alias("n")
+        F.min(F.struct("__rid", "__th", "at")).alias("one"), F.sum("copies").alias("n")
     )
     long = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > longest)
     kinds = kinds.join(long, "key", "left")
@@ -299,7 +300,9 @@ def spans(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, longest: int
     wanted = kinds.groupBy("one.__rid", "one.__th").agg(
         F.collect_list(F.struct("key", "run", "n", "salt", "shards", "one.at")).alias("__wanted")
     )
-    judged = written(judge(run_texts(rows.join(wanted, ["__rid", "__th"]), width), width, shard))
+    # Of rows alike in id and text, one gives its runs; the join has brought them together already.
+    texts = rows.select("__rid", "__th", "text").join(wanted, ["__rid", "__th"]).dropDuplicates(["__rid", "__th"])
+    judged = written(judge(run_texts(texts, width), width, shard))
     verdict = judged.where("ranges IS NOT NULL AND size(ranges) > 0").select("key", "run", "ranges")
     verdict = verdict.unionByName(merged(judged))
     # What was found of a kind of run goes to its places in groups of some thousand ids, so that a run which very many

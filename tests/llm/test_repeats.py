@@ -96,6 +96,17 @@ def test_stripped_rows(documents):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.collect())
 
 
+def test_many_repeated_rows_have_their_ranges_once(spark, documents):
+    r = random.Random(9)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300))
+    rows = [(1, text)] * 3000 + [(2, "new " + text[:900] + " end"), (3, "x" * 150)]
+    docs = documents(rows)
+    found = repeats.spans(docs)[1].collect()
+    assert len(found) == 2 and max(len(f["__ranges"]) for f in found) < len(text) / 10
+    got = Counter((r.doc_id, r.n_removed) for r in repeats.report(docs).collect())
+    assert got == {(1, len(text)): 3000, (2, 900): 1, (3, 0): 1}
+
+
 def test_empty_table(documents):
     assert repeats.report(documents([])).count() == 0
     assert repeats.stripped(documents([])).count() == 0
