@@ -121,7 +121,7 @@ def review_items_pr(pr_files: DataFrame, coupled: DataFrame) -> DataFrame:
         complexity_of_file(F.expr(patch)).alias("complexity"),
     )
     title = F.concat(
-        F.lit("High complexity in "), place, F.lit(" (score: "), F.col("complexity"), F.lit(")")
+        F.lit("Very complex: "), place, F.lit(" (measure "), F.col("complexity"), F.lit(")")
     )
     of_files = scanned.select(
         "analysis_id",
@@ -144,8 +144,8 @@ def review_items_pr(pr_files: DataFrame, coupled: DataFrame) -> DataFrame:
                 F.col("severity"),
                 F.lit(None).cast("int"),
                 F.concat(
-                    F.lit("High coupling in "), basename(F.col("source")), F.lit(" ("), n,
-                    F.lit(" dependencies)"),
+                    F.lit("Imports much: "), basename(F.col("source")), F.lit(" ("), n,
+                    F.lit(" imports)"),
                 ),
                 F.concat(F.lit("This file imports "), n, F.lit(" of the changed files")),
                 F.lit("Put an interface between them"),
@@ -185,7 +185,7 @@ def reviews_repo(contents: DataFrame) -> DataFrame:
         complexity_of_file(F.col("content")).alias("complexity"),
     )
     title = F.concat(
-        F.lit("High complexity in "), place, F.lit(" ("), F.col("complexity"), F.lit(")")
+        F.lit("Very complex: "), place, F.lit(" ("), F.col("complexity"), F.lit(")")
     )
     items = scanned.select(
         "analysis_id",

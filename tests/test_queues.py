@@ -103,8 +103,8 @@ def test_pr(spark, pr_files, edges):
     queue = reviews.reviews_pr(items).orderBy("priority").collect()
     assert [(q.id, q.category, q.severity, q.path, q.title) for q in queue] == [
         ("r2", "security", "critical", "src/b.ts", "Code Injection in b.ts"),
-        ("r4", "complexity", "high", "src/c.ts", "High complexity in c.ts (score: 90)"),
-        ("r5", "architecture", "high", "src/a.ts", "High coupling in a.ts (5 dependencies)"),
+        ("r4", "complexity", "high", "src/c.ts", "Very complex: c.ts (measure 90)"),
+        ("r5", "architecture", "high", "src/a.ts", "Imports much: a.ts (5 imports)"),
         ("r1", "security", "low", "src/a.ts", "Unsafe Deserialization in a.ts"),
         ("r3", "performance", "low", "src/b.ts", "Dynamic Regex in b.ts"),
     ]
@@ -168,4 +168,4 @@ def test_repo(spark):
     assert points["bare", "Technical Debt"] == ["None to speak of."]
     queue = reviews.reviews_repo(contents).orderBy("priority").collect()
     assert [(q.id, q.title) for q in queue] == [
-        ("r1", "Code Injection in f3.go"), ("r2", "XSS in f3.go"), ("r3", "High complexity in f4.go (82)")]
+        ("r1", "Code Injection in f3.go"), ("r2", "XSS in f3.go"), ("r3", "Very complex: f4.go (82)")]
