@@ -52,6 +52,17 @@ SELECTS["result_lookup"] = """
     LEFT JOIN (SELECT 'u' || user_id AS id, max_by(value, (ts, event_id)) AS value FROM events GROUP BY user_id) e
       ON e.id = c.id
 """
+SELECTS["store_upsert"] = """
+    SELECT 'u' || user_id AS analysis_id, arg_max(event_id, (event_id % 3, ts, event_id)) AS event_id,
+           arg_max(value, (event_id % 3, ts, event_id)) AS value
+    FROM events GROUP BY user_id
+"""
+SELECTS["store_get"] = """
+    SELECT c.id AS analysis_id, e.value, e.id IS NOT NULL AS found
+    FROM (SELECT DISTINCT 'u' || conv_id AS id FROM conversations) c
+    LEFT JOIN (SELECT 'u' || user_id AS id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, ts DESC, event_id DESC) AS n
+               FROM events) e ON e.id = c.id AND e.n = 1
+"""
 SELECTS["route_submissions"] = "SELECT analysis_id, kind, reject_reason FROM routed_t"
 SELECTS["parse_urls"] = "SELECT analysis_id, url, type, owner, repo, pr_number FROM parsed_t"
 SELECTS["detect_diffs"] = (

@@ -24,7 +24,7 @@ from reviewloom.operators import (
 )
 from reviewloom.plans import analyses, corpora
 from reviewloom.session import reuse, scratch
-from reviewloom.sources import landed, store
+from reviewloom.sources import landed, store, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -115,6 +115,32 @@ def result_lookup(spark, sf):
     return store.lookup(wanted, results)
 
 
+def _store_of_saves(spark, sf):
+    """All saves in three batches, the second of which is replayed and then merged into the buckets."""
+    folder = scratch(spark)
+    saves = corpora.saves(spark, sf)
+    for batch_id in (0, 1, 1, 2):
+        batch = saves.filter(F.pmod("event_id", F.lit(3)) == batch_id)
+        if not upserts.upsert(batch, folder, ["saved_at", "event_id"], batch_id):
+            upserts.compact(spark, folder)
+    return folder
+
+
+@query
+def store_upsert(spark, sf):
+    """The last result of each id, by batch and then by time, out of snapshots and deltas."""
+    return upserts.read(spark, _store_of_saves(spark, sf)).select("analysis_id", "event_id", "value")
+
+
+@query
+def store_get(spark, sf):
+    """The same for the ids of all conversations, from the files that can have them."""
+    wanted = corpora.table(spark, sf, "conversations").select(
+        F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("analysis_id")
+    )
+    return upserts.get(wanted, _store_of_saves(spark, sf)).select("analysis_id", "value", "found")
+
+
 # Routing, selection and projections ------------------------------------------------------
 
 

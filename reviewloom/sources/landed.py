@@ -50,6 +50,30 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("analysis_id string, page int, body string").json(path)
 
 
+# What a body of each kind is read as.
+BODY_SCHEMAS = {
+    "pr_files": f"array<{PR_FILE}>",
+    "pr_header": PR_HEADER_SCHEMA,
+    "repo_info": REPO_INFO_SCHEMA,
+    "tree": f"sha string, truncated boolean, tree array<{TREE_ITEM}>",
+    "languages": "map<string,bigint>",
+}
+
+
+def body_fault(body: Column, kind: str) -> Column:
+    """Why a body gives no rows or not all of them, null for a good one.
+
+    ``empty``: null or blank.  ``not json``: cut off or something else.  ``other shape``: JSON of another kind, such as
+    an error message in place of a list, or with a value of another type.  ``truncated``: a tree that the host cut short.
+    """
+    shape = F.schema_of_json(F.lit("[]" if kind == "pr_files" else "{}"))
+    first = "[" if kind == "pr_files" else "{"
+    # A strict parse fails as a whole; try_parse_json tells broken text from text of another shape.
+    read = F.from_json(body, BODY_SCHEMAS[kind], {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    del shape
+    return first, read
+
+
 def pr_files(raw_pages: DataFrame) -> DataFrame:
     """Files of pull requests from their pages, in (page, place) order.
 
