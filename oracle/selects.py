@@ -52,6 +52,27 @@ SELECTS["result_lookup"] = """
     LEFT JOIN (SELECT 'u' || user_id AS id, max_by(value, (ts, event_id)) AS value FROM events GROUP BY user_id) e
       ON e.id = c.id
 """
+SELECTS["landed_submissions"] = "SELECT analysis_id, url, diff, code, CAST(NULL AS VARCHAR) AS filename FROM subs_t"
+SELECTS["repo_info_json"] = """
+    SELECT source AS analysis_id, source AS name, 'org/' || source AS full_name,
+           CASE WHEN min(doc_id) % 3 <> 0 THEN arg_min(text, doc_id) END AS description,
+           CAST(count(*) * min(doc_id) AS BIGINT) AS stargazers_count
+    FROM documents GROUP BY source
+"""
+SELECTS["pr_page_faults"] = """
+    SELECT 'big-' || g AS analysis_id, page, fault FROM (
+      SELECT g, page, fault FROM bad_pages_t
+      UNION ALL SELECT g, page, 'repeated' FROM big_pages_t WHERE damage = 4
+      UNION ALL SELECT g, page, 'short' FROM big_pages_t p WHERE damage IN (4, 5) AND n < 100
+        AND EXISTS (SELECT 1 FROM big_pages_t q WHERE q.g = p.g AND q.page > p.page AND q.damage <> 2)
+      UNION ALL SELECT g, page, 'missing before' FROM big_pages_t p WHERE damage <> 2
+        AND EXISTS (SELECT 1 FROM big_pages_t q WHERE q.g = p.g AND q.page = p.page - 1 AND q.damage = 2))
+"""
+SELECTS["pr_pages_sound"] = """
+    SELECT 'big-' || f.g AS analysis_id, f.ord, f.path, NULL AS fault
+    FROM big_files_t f JOIN big_pages_t p ON p.g = f.g AND p.page = f.ord // 100 + 1 WHERE p.damage IN (4, 5)
+    UNION ALL SELECT 'big-' || g, page, NULL, fault FROM bad_pages_t
+"""
 SELECTS["store_upsert"] = """
     SELECT 'u' || user_id AS analysis_id, arg_max(event_id, (event_id % 3, ts, event_id)) AS event_id,
            arg_max(value, (event_id % 3, ts, event_id)) AS value
@@ -233,6 +254,18 @@ SELECTS["folder_tree"] = """
     UNION ALL
     SELECT analysis_id, '', NULL, '/', 'folder', 0, count(*), NULL, NULL FROM folders_t WHERE depth = 1 GROUP BY 1
 """
+# Level by level: a child's ordinal among its siblings is appended to its folder's list of ordinals.
+SELECTS["folder_listing"] = """
+    SELECT analysis_id, path, node_type, depth, row_number() OVER (PARTITION BY analysis_id ORDER BY ordinals) AS pos FROM (
+      WITH RECURSIVE placed AS (
+        SELECT *, row_number() OVER (PARTITION BY analysis_id, parent ORDER BY node_type DESC, name) AS ordinal FROM folders_t
+      ), walked AS (
+        SELECT DISTINCT analysis_id, '' AS path, 'folder' AS node_type, 0::BIGINT AS depth, []::BIGINT[] AS ordinals FROM folders_t
+        UNION ALL
+        SELECT p.analysis_id, p.path, p.node_type, p.depth::BIGINT, list_append(w.ordinals, p.ordinal)
+        FROM walked w JOIN placed p ON p.analysis_id = w.analysis_id AND p.parent = w.path AND p.depth = w.depth + 1
+      ) SELECT * FROM walked)
+"""
 SELECTS["summary_pr"] = "SELECT * FROM summary_pr_t"
 SELECTS["summary_repo"] = "SELECT * FROM summary_repo_t"
 SELECTS["summary_diff"] = "SELECT * FROM summary_diff_t"

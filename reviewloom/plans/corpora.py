@@ -229,6 +229,20 @@ def pr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.to_json(F.transform(items, lambda x: x["item"])).alias("body"))
 
 
+def damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as they may land: cut off, replaced by a message, left out, empty, or twice."""
+    damage = (F.substring("analysis_id", 5, 20).cast("bigint") * 7 + F.col("page")) % 6
+    none = F.lit(None).cast("string")
+    body = (
+        F.when(damage == 0, F.left("body", F.floor(F.length("body") / 2).cast("int")))
+        .when(damage == 1, '{"message":"Not Found"}')
+        .when(damage == 3, none)
+        .otherwise(F.col("body"))
+    )
+    copies = F.array_repeat(body, F.when(damage == 2, 0).when(damage == 4, 2).otherwise(1))
+    return pr_pages(spark, sf_dir).select("analysis_id", "page", F.explode(copies).alias("body"))
+
+
 def tree_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees as JSON bodies; a repository of many files has several, each a tree of its own."""
     item = F.struct("path", F.lit("100644").alias("mode"), "type", "size", F.sha1(F.col("path").cast("binary")).alias("sha"))

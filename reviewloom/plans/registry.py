@@ -13,6 +13,7 @@ from reviewloom.functions.lookup import basename, extension, language, parent
 from reviewloom.operators import (
     diffs,
     graph,
+    listing,
     metrics,
     narrative,
     reviews,
@@ -76,6 +77,39 @@ def pr_file_pages(spark, sf):
     )
 
 
+@query
+def landed_submissions(spark, sf):
+    """Submissions landed as JSON and read back."""
+    folder = scratch(spark)
+    corpora.submissions(spark, sf).write.json(folder)
+    return landed.submissions(spark, folder, "json").select("analysis_id", "url", "diff", "code", "filename")
+
+
+@query
+def repo_info_json(spark, sf):
+    info = corpora.repo_info(spark, sf)
+    bodies = info.select("analysis_id", F.to_json(F.struct(*info.columns[1:])).alias("body"))
+    found = landed.repo_info(landed.sound(bodies, "repo_info"))
+    return found.select("analysis_id", "name", "full_name", "description", "stargazers_count")
+
+
+@query
+def pr_page_faults(spark, sf):
+    """What is wrong with the file lists of large pull requests whose pages were damaged on the way."""
+    return _long(landed.page_faults(corpora.damaged_pages(spark, sf)), "page")
+
+
+@query
+def pr_pages_sound(spark, sf):
+    """The files of their good pages, of a page landed twice once, and the pages set aside as a row each."""
+    pages = corpora.damaged_pages(spark, sf)
+    good = landed.pr_files(landed.sound(pages, "pr_files").dropDuplicates(["analysis_id", "page"]))
+    aside = landed.rejects(pages, "pr_files")
+    return good.select("analysis_id", F.col("file_ord").cast("bigint").alias("ord"), "path", F.lit(None).cast("string").alias("fault")).unionByName(
+        aside.select("analysis_id", F.col("page").cast("bigint").alias("ord"), F.lit(None).cast("string").alias("path"), "fault")
+    )
+
+
 @query
 def decode_contents(spark, sf):
     docs = corpora.texts(spark, sf, "documents", "doc_id")
@@ -587,6 +621,14 @@ def folder_tree(spark, sf):
     return _long(nodes, "depth", "child_count")
 
 
+@query
+def folder_listing(spark, sf):
+    """The folder trees with the position of each node in the listing a reader sees."""
+    nodes = rollups.folder_tree(selection.repo_files(corpora.tree(spark, sf)))
+    found = listing.display_positions(reuse(nodes))
+    return _long(found.select("analysis_id", "path", "node_type", "depth", "pos"), "depth", "pos")
+
+
 @query
 def summary_pr(spark, sf):
     p = _pr_parts(spark, sf)

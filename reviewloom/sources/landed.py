@@ -50,37 +50,86 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("analysis_id string, page int, body string").json(path)
 
 
-# What a body of each kind is read as.
-BODY_SCHEMAS = {
-    "pr_files": f"array<{PR_FILE}>",
+# What a body of each kind is read as; a list is wrapped in an object, so that a broken item shows.
+BODIES = {
+    "pr_files": f"items array<{PR_FILE}>",
     "pr_header": PR_HEADER_SCHEMA,
     "repo_info": REPO_INFO_SCHEMA,
     "tree": f"sha string, truncated boolean, tree array<{TREE_ITEM}>",
-    "languages": "map<string,bigint>",
+    "languages": "items map<string,bigint>",
 }
 
 
-def body_fault(body: Column, kind: str) -> Column:
-    """Why a body gives no rows or not all of them, null for a good one.
+def with_fault(raw: DataFrame, kind: str) -> DataFrame:
+    """Raw rows with ``fault``: why their body gives no rows or not all of them, null for a good one.
 
-    ``empty``: null or blank.  ``not json``: cut off or something else.  ``other shape``: JSON of another kind, such as
-    an error message in place of a list, or with a value of another type.  ``truncated``: a tree that the host cut short.
+    ``empty``: null or blank.  ``not json``: cut off or something else.  ``other shape``: JSON without what its kind must
+    have, such as an error message, or with a value of another type.  ``truncated``: a tree that the host cut short.
     """
-    shape = F.schema_of_json(F.lit("[]" if kind == "pr_files" else "{}"))
-    first = "[" if kind == "pr_files" else "{"
-    # A strict parse fails as a whole; try_parse_json tells broken text from text of another shape.
-    read = F.from_json(body, BODY_SCHEMAS[kind], {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    del shape
-    return first, read
+    body, schema = F.col("body"), BODIES[kind]
+    wrapped = F.concat(F.lit('{"items":'), body, F.lit("}")) if schema.startswith("items ") else body
+    read = F.from_json(wrapped, f"{schema}, unread string", {"columnNameOfCorruptRecord": "unread"})
+    needed = {
+        "pr_files": lambda r: F.forall(r["items"], lambda f: f["filename"].isNotNull()),
+        "pr_header": lambda r: r["title"].isNotNull(),
+        "repo_info": lambda r: r["full_name"].isNotNull(),
+        "tree": lambda r: F.forall(r["tree"], lambda i: i["path"].isNotNull()),
+        "languages": lambda r: F.forall(F.map_values(r["items"]), lambda n: n.isNotNull()),
+    }[kind]
+    cut = (lambda r: F.coalesce(r["truncated"], F.lit(False))) if kind == "tree" else (lambda r: F.lit(False))
+    fault = let(
+        read,
+        lambda r: F.when(F.coalesce(body, F.lit("")).rlike(r"^\s*$"), "empty")
+        .when(F.try_parse_json(body).isNull(), "not json")
+        .when(r["unread"].isNotNull() | ~F.coalesce(needed(r), F.lit(False)), "other shape")
+        .when(cut(r), "truncated"),
+    )
+    return raw.withColumn("fault", fault)
+
+
+def sound(raw: DataFrame, kind: str) -> DataFrame:
+    """Raw rows whose body can be read whole, and trees as far as the host gave them."""
+    return with_fault(raw, kind).filter(F.col("fault").isNull() | (F.col("fault") == "truncated")).drop("fault")
+
+
+def rejects(raw: DataFrame, kind: str) -> DataFrame:
+    """The other raw rows, body and all, with their fault."""
+    return with_fault(raw, kind).filter(F.col("fault") != "truncated")
+
+
+def page_faults(raw_pages: DataFrame) -> DataFrame:
+    """What keeps file lists from being whole: (analysis_id, page, fault), one row per fault.
+
+    Beside the faults of bodies: ``repeated``, a page landed more than once; ``short``, a good page that isn't full and isn't
+    the last; ``missing before``, a page whose predecessor never landed.  A list that lacks its last pages does not show
+    here; its header's count of files does.  Pages meet their predecessors by key, so a long list is spread over tasks.
+    """
+    items = F.when(F.col("fault").isNull(), F.json_array_length("body"))
+    read = with_fault(raw_pages, "pr_files").select("analysis_id", "page", "fault", items.alias("n"))
+    pages = read.groupBy("analysis_id", "page").agg(
+        F.count(F.lit(1)).alias("landed"), F.min("n").alias("n"), F.collect_set("fault").alias("faults")
+    )
+    last = pages.groupBy("analysis_id").agg(F.max("page").alias("last"))
+    before = pages.select("analysis_id", (F.col("page") + 1).alias("page"), F.lit(True).alias("follows"))
+    placed = pages.join(last, "analysis_id").join(before, ["analysis_id", "page"], "left")
+    found = [
+        F.when(F.col("landed") > 1, "repeated"),
+        F.when((F.col("n") < PAGE_ROWS) & (F.col("page") < F.col("last")), "short"),
+        F.when((F.col("page") > 1) & F.col("follows").isNull(), "missing before"),
+    ]
+    every = F.concat("faults", F.array_compact(F.array(*found)))
+    return placed.select("analysis_id", "page", F.explode(every).alias("fault"))
 
 
 def pr_files(raw_pages: DataFrame) -> DataFrame:
     """Files of pull requests from their pages, in (page, place) order.
 
-    Every page but the last is full, so a file's ordinal follows from its page and place.
+    Every page but the last is full, so a file's ordinal follows from its page and place.  A body that isn't
+    a list of files gives none; ``rejects`` and ``page_faults`` tell of it.
     """
     files = F.from_json("body", f"array<{PR_FILE}>")
-    return raw_pages.select("analysis_id", "page", F.posexplode(files).alias("pos", "f")).select(
+    items = raw_pages.select("analysis_id", "page", F.posexplode(files).alias("pos", "f"))
+    return items.filter("f.filename IS NOT NULL").select(
         "analysis_id",
         ((F.col("page") - 1) * PAGE_ROWS + F.col("pos")).cast("int").alias("file_ord"),
         F.col("f.filename").alias("path"),

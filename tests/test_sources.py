@@ -23,6 +23,43 @@ def test_pages_become_files(spark, tmp_path):
     assert rows[1].patch == "@@ 1" and rows[2].patch is None
 
 
+def test_broken_bodies(spark):
+    def faults(kind, *bodies):
+        df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "analysis_id int, body string")
+        return [r.fault for r in landed.with_fault(df, kind).orderBy("analysis_id").collect()]
+
+    wrong = ["empty", "empty", "not json", "other shape"]
+    message = '{"message":"rate limit"}'
+    assert faults("pr_files", None, " \n", '[{"filename":"a"', message, "[]", '[{"filename":"a"}]') == [*wrong, None, None]
+    assert faults("pr_files", "[1]", "[null]", '[{"filename":"a","additions":"x"}]', '[{"filename":"a"}] x') == ["other shape"] * 4
+    assert faults("pr_header", None, "", "{", message, '{"title":""}', '{"title":"t","additions":"x"}') == [*wrong, None, "other shape"]
+    assert faults("repo_info", None, "", "{", message, '{"full_name":"o/r","x":1}') == [*wrong, None]
+    tree = '{"tree":[{"path":"a","type":"blob"}],"truncated":%s}'
+    assert faults("tree", None, "", "{", message, "[]", tree % "false", tree % "true", '{"tree":[{"path":"a","size":"big"}]}') == [
+        *wrong, "other shape", None, "truncated", "other shape"]
+    assert faults("languages", None, "", "{", message, "{}", '{"Go":1}', '{"Go":"x","C":1}') == [*wrong, None, None, "other shape"]
+
+    df = spark.createDataFrame([("cut", tree % "true"), ("bad", message)], "analysis_id string, body string")
+    assert [r.analysis_id for r in landed.sound(df, "tree").collect()] == ["cut"]
+    assert [(r.analysis_id, r.body) for r in landed.rejects(df, "tree").collect()] == [("bad", message)]
+
+
+def test_incomplete_lists(spark):
+    def page(n):
+        return json.dumps([{"filename": f"f{i}"} for i in range(n)])
+
+    rows = [("whole", 1, page(100)), ("whole", 2, page(3)), ("gap", 1, page(100)), ("gap", 4, page(100)),
+            ("headless", 2, page(1)), ("short", 1, page(99)), ("short", 2, page(100)),
+            ("twice", 1, page(5)), ("twice", 1, page(5)), ("cut", 1, page(100)[:50]), ("cut", 2, page(1))]
+    df = spark.createDataFrame(rows, "analysis_id string, page int, body string")
+    got = sorted((r.analysis_id, r.page, r.fault) for r in landed.page_faults(df).collect())
+    assert got == [("cut", 1, "not json"), ("gap", 4, "missing before"), ("headless", 2, "missing before"),
+                   ("short", 1, "short"), ("twice", 1, "repeated")]
+    # An error message is not a file without a name.
+    assert landed.pr_files(spark.createDataFrame([("e", 1, '{"message":"x"}')], df.schema)).count() == 0
+    assert landed.page_faults(df.limit(0)).count() == 0
+
+
 def test_tree_info_and_languages(spark):
     def raw(body):
         return spark.createDataFrame([("r", json.dumps(body))], "analysis_id string, body string")
