@@ -167,6 +167,8 @@ SELECTS["imports_pr"] = "SELECT * FROM imports_pr_t"
 SELECTS["imports_repo"] = "SELECT * FROM imports_all_t"
 SELECTS["edges_pr"] = "SELECT analysis_id, source, target, type, weight FROM edges_pr_t"
 SELECTS["edges_repo"] = "SELECT * FROM edges_all_t"
+SELECTS["edges_pr_resolved"] = "SELECT * FROM edges_pr_resolved_t"
+SELECTS["edges_repo_resolved"] = "SELECT * FROM edges_up_t"
 SELECTS["coupling"] = "SELECT analysis_id, source, n_edges, severity FROM coupled_t"
 SELECTS["graph_nodes"] = """
     SELECT n.analysis_id, n.path, m.additions, m.deletions, m.risk, m.complexity

@@ -69,15 +69,35 @@ def _ending_keys(path: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(endings))
 
 
-def edges_pr(imports: DataFrame, pr_files: DataFrame) -> DataFrame:
+def _resolved(source: Column, imp: Column) -> Column:
+    """The path that a relative import of ``source`` names, without ``.`` and ``..``."""
+    return _collapse_dots(F.concat_ws("/", parent(source), imp))
+
+
+def _relative_edges_pr(sources: DataFrame, pr_files: DataFrame) -> DataFrame:
+    """Relative imports meet the files they name by whole paths; a file that very many import is spread over tasks."""
+    named = _resolved(F.col("source"), F.col("imp"))
+    wanted = sources.withColumn("named", named).withColumn(
+        "target", F.explode(F.array(*[F.concat("named", F.lit(t)) for t in PR_TAILS]))
+    )
+    targets = pr_files.select("analysis_id", F.col("path").alias("target"), F.col("file_ord").alias("target_ord"))
+    return salted_join(targets, wanted.drop("named"), ["analysis_id", "target"], spread_by="source")
+
+
+def edges_pr(imports: DataFrame, pr_files: DataFrame, resolve_dots: bool = False) -> DataFrame:
     """Edges from imports (see ``imports_pr``) to changed files whose path ends with them.
 
+    With ``resolve_dots``, relative imports lead to the files they name from the importing file's folder; by default
+    their dots are kept as written, so they lead nowhere.
+
     An import that fits a target gives one edge, and two imports that fit it give two.
     A one-letter import, as the pattern for Python gives, fits every path with that ending: that many edges
     are meant, and both joins are salted for them.
     """
     # Both joins read the imports; the texts they come from are read once.
-    sources = reuse(imports.withColumn("key", F.xxhash64("imp")))
+    every = reuse(imports.withColumn("key", F.xxhash64("imp")))
+    relative = F.col("imp").startswith(".")
+    sources = every.filter(~relative) if resolve_dots else every
     wanted = sources.select("analysis_id", "imp", "key").distinct()
     # Of each analysis, the lengths of its imports: a few numbers.
     lengths = wanted.groupBy("analysis_id").agg(F.collect_set(F.length("imp")).alias("lengths"))
@@ -97,6 +117,8 @@ def edges_pr(imports: DataFrame, pr_files: DataFrame) -> DataFrame:
         .drop("key")
     )
     edges = salted_join(matched, sources.drop("key"), ["analysis_id", "imp"], spread_by="source")
+    if resolve_dots:
+        edges = edges.unionByName(_relative_edges_pr(every.filter(relative).drop("key"), pr_files))
     return edges.filter(F.col("source") != F.col("target")).select(
         "analysis_id",
         "source",
@@ -110,12 +132,12 @@ def edges_pr(imports: DataFrame, pr_files: DataFrame) -> DataFrame:
 
 
 def _collapse_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` in a path."""
+    """Resolve ``.`` and ``..`` in a path and drop empty steps; a path that leaves the root keeps its ``..``."""
     walked = F.aggregate(
         F.split(path, "/", -1),
         F.array().cast("array<string>"),
-        lambda acc, seg: F.when(seg == ".", acc)
-        .when((seg == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        lambda acc, seg: F.when(seg.isin(".", ""), acc)
+        .when((seg == "..") & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("..")) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(seg))),
     )
     return F.array_join(walked, "/")

@@ -435,6 +435,23 @@ def edges_repo(spark, sf):
     return _long(_edges_repo(spark, sf), "weight")
 
 
+@query
+def edges_pr_resolved(spark, sf):
+    """The same with relative imports resolved."""
+    imports = graph.imports_pr(corpora.pr_contents(spark, sf))
+    found = graph.edges_pr(imports, corpora.pr_files(spark, sf), resolve_dots=True)
+    return _long(found.select("analysis_id", "source", "target", "type", "weight"), "weight")
+
+
+@query
+def edges_repo_resolved(spark, sf):
+    """The same with relative imports resolved; each file imports one of another folder, up and down again."""
+    near = F.col("file_ord") + 20
+    up = F.concat(F.lit("\nimport up from '../m"), (near % 13).cast("string"), F.lit("/./f"), near.cast("string"), F.lit("';"))
+    files = corpora.code_files(spark, sf).withColumn("content", F.concat("content", up))
+    return _long(graph.edges_repo(graph.imports_repo(files), selection.repo_files(corpora.tree(spark, sf)), True), "weight")
+
+
 @query
 def coupling(spark, sf):
     return graph.coupling(_edges_pr(spark, sf)).drop("source_ord")

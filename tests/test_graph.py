@@ -54,6 +54,30 @@ def test_pr_edges(spark, files):
     assert len(want) > 100
 
 
+def test_pr_edges_resolved(spark, files):
+    import posixpath
+
+    df = spark.createDataFrame(files, SCHEMA)
+    got = sorted((r.analysis_id, r.source, r.target, r.imp_ord)
+                 for r in graph.edges_pr(graph.imports_pr(df), df, resolve_dots=True).collect() if r.type == "import")
+    want = []
+    for repo, _, source, code in files:
+        for k, m in enumerate(named(code, True)):
+            path = posixpath.normpath(posixpath.join(posixpath.dirname(source.lstrip("/")), m))
+            want += [(repo, source, target, k) for other, _, target, _ in files
+                     if m.startswith(".") and other == repo and target != source and target in {path + t for t in graph.PR_TAILS}]
+    assert got == sorted(want) and len(want) > 5
+    plain = [r for r in graph.edges_pr(graph.imports_pr(df), df).collect() if r.type == "require"]
+    kept = [r for r in graph.edges_pr(graph.imports_pr(df), df, resolve_dots=True).collect() if r.type == "require"]
+    assert sorted(plain) == sorted(kept)
+
+
+def test_dots(spark):
+    paths = {"a/./b//c": "a/b/c", "a/../b": "b", "../x": "../x", "../../x": "../../x", "a/../../x": "../x", ".": "", "a/b/..": "a", "./": ""}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.q for r in df.select("p", graph._collapse_dots(df.p).alias("q")).collect()} == paths
+
+
 def fits(source, m, target):
     if m.startswith("."):
         folder = source.rpartition("/")[0]
