@@ -11,8 +11,10 @@ headers are inflated first. Equality and membership filters on ``warc_type`` and
 are pushed down: a record that fails them is skipped by its stated size, its payload neither read nor inflated (a
 foreign member without a stated size is inflated to find its end, but not decoded). ``payload=false`` leaves payloads out too.
 
-Null payloads are written as empty ones, null header fields left out. Repeated rows are repeated records. A record
-with broken headers ends the task with an error that names file and place.
+Null payloads are written as empty ones, null header fields left out; values are written as they are, but for line ends, which are
+dropped. Repeated rows are repeated records. Header names are read without regard to case, folded lines are joined, and HTTP headers are
+cut off blocks of ``application/http`` alone; any other block is its own payload. A record with broken headers ends the task with an
+error that names file and place.
 """
 
 from __future__ import annotations
@@ -62,12 +64,33 @@ SMALLEST_REVISIT = 1000
 CHUNK = 1 << 16
 
 
-def escaped(value: str) -> str:
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+def one_line(value: str) -> str:
+    """A header's value: as it is, but for line ends, which would end the header, and blanks around it."""
+    return value.replace("\r", "").replace("\n", "").strip(" \t")
 
 
-def unescaped(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def named_fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name: any blanks around the value, folded lines joined, the first of a repeated name."""
+    joined: list[str] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and joined:
+            joined[-1] += " " + line.strip(" \t")
+        else:
+            joined.append(line)
+    found: dict[str, str] = {}
+    for line in joined:
+        name, colon, value = line.partition(":")
+        if colon:
+            found.setdefault(name.strip(" \t").lower(), value.strip(" \t"))
+    return found
+
+
+def bare_digest(stated: str) -> str:
+    """Lower-case hex of a SHA-1 stated in base 32 or hex; other algorithms as stated."""
+    algorithm, colon, value = stated.partition(":")
+    if not colon or algorithm.lower() != "sha1":
+        return stated
+    return base64.b32decode(value, casefold=True).hex() if len(value) == 32 else value.lower()
 
 
 def place(url: str) -> tuple[fs.FileSystem, str]:
@@ -84,20 +107,28 @@ def member(record: bytes) -> bytes:
     return start + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
+#: Content types of blocks that are not HTTP messages; other types than these are written as octets.
+CONTENT_TYPES = {"warcinfo": "application/warc-fields", "metadata": "application/warc-fields"}
+
+
 def record(row: dict) -> bytes:
-    """A response with its payload, or a revisit with the HTTP headers alone."""
-    payload = bytes(row["payload"] or b"")
-    revisit = row["warc_type"] == "revisit"
-    size = row["payload_bytes"] if revisit and row["payload_bytes"] is not None else len(payload)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    block = http if revisit else http + payload
-    digest = bytes.fromhex(row["payload_digest"]) if row["payload_digest"] else hashlib.sha1(payload).digest()
+    """A response with its payload, a revisit with the HTTP headers alone, or a record of another type with its block as it is."""
+    payload, kind = bytes(row["payload"] or b""), row["warc_type"]
+    revisit = kind == "revisit"
+    block, content_type = payload, CONTENT_TYPES.get(kind, "application/octet-stream")
+    if kind in ("response", "revisit", None):
+        size = row["payload_bytes"] if revisit and row["payload_bytes"] is not None else len(payload)
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+        block, content_type = http if revisit else http + payload, "application/http; msgtype=response"
+    digest = row["payload_digest"] or hashlib.sha1(payload).hexdigest()
+    if ":" not in digest:  # one with its algorithm is written as it is
+        digest = f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"
     lines = ["WARC/1.1"]
-    lines += [f"{HEADERS[c]}: {escaped(row[c])}" for c in HEADERS if c != "payload_digest" and row[c] is not None]
-    lines += [f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", f"WARC-Date: {DATE}"]
+    lines += [f"{HEADERS[c]}: {one_line(row[c])}" for c in HEADERS if c != "payload_digest" and row[c] is not None]
+    lines += [f"WARC-Payload-Digest: {one_line(digest)}", f"WARC-Date: {DATE}"]
     if revisit:
         lines.append(f"WARC-Profile: {REVISIT_PROFILE}")
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    lines += [f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -217,11 +248,17 @@ class Reader(DataSourceReader):
                 pending = inflater.unconsumed_tail
             if not pending and file.tell() >= file.size() and plain.find(b"\r\n\r\n") < 0:
                 raise ValueError("the headers don't end")
-        fields = dict(line.split(": ", 1) for line in plain[:end].decode().split("\r\n")[1:])
-        length, head = int(fields["Content-Length"]), end + 4
-        row = {c: unescaped(fields[h]) if h in fields else None for c, h in HEADERS.items()}
-        if (row["payload_digest"] or "").startswith("sha1:"):
-            row["payload_digest"] = base64.b32decode(row["payload_digest"][5:]).hex()
+        version, *lines = plain[:end].decode("utf-8", "replace").split("\r\n")
+        if not version.startswith("WARC/"):
+            raise ValueError(f"it begins with {version[:20]!r}")
+        fields = named_fields(lines)
+        length, head = int(fields["content-length"]), end + 4
+        row = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
+        if version == "WARC/1.0" and (row["target_uri"] or "")[:1] == "<":  # that version's grammar has brackets
+            row["target_uri"] = row["target_uri"].strip("<>")
+        if row["payload_digest"]:
+            row["payload_digest"] = bare_digest(row["payload_digest"])
+        is_http = fields.get("content-type", "").lower().startswith("application/http")
         need = head + length + 4
         wanted = self.wanted(row)
         if inflater is None:
@@ -234,8 +271,9 @@ class Reader(DataSourceReader):
             return None, at + packed_size
         else:
             parts, got = [plain], len(plain)
-            enough = need if wanted and (self.payload or not packed_size) else min(need, head + 4096)
-            while not inflater.eof and (got < enough or not packed_size):
+            enough = need if self.payload or not packed_size else head
+            # Without payloads, only the HTTP headers of the block are still of interest.
+            while not inflater.eof and (got < enough or not packed_size or (enough < need and is_http and b"\r\n\r\n" not in b"".join(parts)[head:])):
                 more = inflater.decompress(pending or file.read(CHUNK), 1 << 20)
                 pending = inflater.unconsumed_tail
                 got += len(more)
@@ -245,13 +283,16 @@ class Reader(DataSourceReader):
             following = at + packed_size if packed_size else file.tell() - len(inflater.unused_data)
             if not wanted:
                 return None, following
-        http_end = plain.find(b"\r\n\r\n", head)
-        http = plain[head:http_end].decode("latin-1").lower() if http_end >= 0 else ""
-        stated = [h.split(":", 1)[1] for h in http.split("\r\n") if h.startswith("content-length:")]
-        row["payload_bytes"] = int(stated[0]) if stated else None
+        http_end = plain.find(b"\r\n\r\n", head, head + length) if is_http else -1
+        body = http_end + 4 if http_end >= 0 else head + length if is_http else head
+        row["payload_bytes"] = head + length - body
+        if row["warc_type"] == "revisit":  # its block has no payload; its headers may say how long that was
+            http = named_fields(plain[head : max(http_end, head)].decode("latin-1").split("\r\n"))
+            stated = http.get("content-length", "")
+            row["payload_bytes"] = int(stated) if stated.isascii() and stated.isdigit() else None
         row["payload"] = None
         if self.payload and row["warc_type"] != "revisit":
-            row["payload"] = plain[http_end + 4 : head + length]
+            row["payload"] = plain[body : head + length]
         return row, following
 
 

@@ -37,10 +37,12 @@ def test_round_trip(spark, folder):
     at = warc.archive(spark.read.parquet(f"{folder}/pages.parquet"))
     got = warc.load(spark, at).collect()
     kept = {r.record_id: r for r in got if r.warc_type == "response"}
+    # A header's value has no line ends; all else comes back as it was.
+    uris = {"http://b\r\nc %0A": "http://bc %0A"}
     for page, url, html in ROWS:
         row = kept.get(f"<urn:page:{page}>")
         if row is not None and page != 1:
-            assert (row.target_uri, row.payload.decode()) == (url, html or "")
+            assert (row.target_uri, row.payload.decode()) == (uris.get(url, url), html or "")
             assert row.payload_digest == hashlib.sha1((html or "").encode()).hexdigest()
     revisits = [r for r in got if r.warc_type == "revisit"]
     assert {r.refers_to for r in revisits} == {"<urn:page:2>", "<urn:page:7>"} and all(r.payload is None for r in revisits)
@@ -104,3 +106,57 @@ def test_large_files_are_split(monkeypatch, tmp_path):
     pieces = reader.partitions()
     assert len(pieces) > 5
     assert [r for p in pieces for b in reader.read(p) for r in b["record_id"].to_pylist()] == [str(i) for i in range(20)]
+
+
+def foreign(fields, block, version="WARC/1.1"):
+    return f"{version}\r\n{fields}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_addresses_are_not_altered(spark, tmp_path):
+    uris = ["http://a/?x=100%25", "http://a/%0A%0D%250A", "http://a/%25c?u=%7E", "http://é/ü%zz"]
+    at = str(tmp_path)
+    rows = [("response", f"<r:{i}>", u, None, None, None, b"x") for i, u in enumerate(uris)]
+    spark.createDataFrame(rows, warc.SCHEMA).write.format("warc").mode("append").save(at)
+    assert {r.target_uri for r in warc.load(spark, at).collect()} == set(uris)
+    inside = b"".join(gzip.decompress(f.read_bytes()) for f in tmp_path.glob("*.gz"))
+    assert all(f"WARC-Target-URI: {u}\r\n".encode() in inside for u in uris)
+    (tmp_path / "foreign").mkdir()
+    (tmp_path / "foreign" / "f.warc").write_bytes(b"".join(foreign(f"WARC-Type: resource\r\nWARC-Target-URI: {u}", b"") for u in uris))
+    assert {r.target_uri for r in warc.load(spark, str(tmp_path / "foreign")).collect()} == set(uris)
+
+
+def test_other_records_keep_their_blocks(spark, tmp_path):
+    block = b"software: x\r\nformat: WARC\r\n\r\nrest: \xff\r\n"
+    kinds = ["warcinfo", "resource", "metadata", "conversion"]
+    own, other = tmp_path / "own", tmp_path / "foreign"
+    spark.createDataFrame([(k, k, None, None, None, None, block) for k in kinds], warc.SCHEMA).write.format("warc").mode("append").save(str(own))
+    other.mkdir()
+    data = [foreign(f"WARC-Type: {k}\r\nWARC-Record-ID: {k}\r\nContent-Type: text/plain", block) for k in kinds]
+    (other / "f.warc.gz").write_bytes(b"".join(gzip.compress(d) for d in data))
+    for folder in (own, other):
+        got = warc.load(spark, str(folder)).collect()
+        assert {r.record_id: (bytes(r.payload), r.payload_bytes) for r in got} == {k: (block, len(block)) for k in kinds}
+        sizes = warc.load(spark, str(folder), payload=False).collect()
+        assert all(r.payload is None and r.payload_bytes == len(block) for r in sizes)
+
+
+def test_header_variants(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nX-Long: " + b"h" * 9000 + b"\r\n\r\n"
+    hexed = hashlib.sha1(b"body").hexdigest()
+    first = "warc-type:response\r\nWARC-RECORD-ID: \t<a> \r\nwarc-target-uri: http://a/\r\n\tb\r\nContent-type:application/http;msgtype=response"
+    data = [
+        foreign(first + f"\r\nWARC-Payload-Digest: sha1:{hexed.upper()}", http + b"body"),
+        foreign("WARC-Type: response\r\nWARC-Record-ID: <b>\r\nWARC-Target-URI: <http://b/>\r\nContent-Type: application/http"
+                "\r\nWARC-Payload-Digest: md5:00", b"HTTP/1.1 304 Not Modified\r\n", "WARC/1.0"),
+        foreign("WARC-Type: revisit\r\nWARC-Record-ID: <c>\r\nContent-Type: application/http", b"HTTP/1.1 200 OK\r\ncontent-length:77\r\n\r\n"),
+    ]
+    (tmp_path / "f.warc.gz").write_bytes(b"".join(warc.member(d) for d in data))
+    got = {r.record_id: r for r in warc.load(spark, str(tmp_path)).collect()}
+    assert (got["<a>"].target_uri, bytes(got["<a>"].payload), got["<a>"].payload_digest) == ("http://a/ b", b"body", hexed)
+    assert (got["<b>"].target_uri, bytes(got["<b>"].payload), got["<b>"].payload_digest) == ("http://b/", b"", "md5:00")
+    assert (got["<c>"].payload, got["<c>"].payload_bytes) == (None, 77)
+    sizes = warc.load(spark, str(tmp_path), payload=False).collect()
+    assert {r.record_id: r.payload_bytes for r in sizes} == {"<a>": 4, "<b>": 0, "<c>": 77}
+    with pytest.raises(Exception, match="no WARC record"):
+        (tmp_path / "bad.warc").write_bytes(b"HTTP/1.1 200 OK\r\nContent-Length: 0\r\n\r\n")
+        warc.load(spark, str(tmp_path)).collect()
