@@ -49,7 +49,7 @@ def test_against_sql(pages):
 
 def test_empty_table_and_own_vocabulary(spark, pages):
     assert urls.url_filter(pages.limit(0)).count() == 0
-    got = urls.url_filter(pages, rules=[], strict=["en"], soft=[]).where("page_id = 4").first()
+    got = urls.url_filter(pages, rules=[], vocabulary={("strict", "any"): ["en"]}).where("page_id = 4").first()
     assert (got.rule, got.verdict) == (None, "block")
 
 
@@ -58,12 +58,19 @@ BAD = [
     "http://spam-farm.example.org/p/3", "http://casino-win.example.org/", "http://ads-track.example.org/px.gif",
     "http://shop.example.org/cheap/pills?id=1", "http://a.example.org/best-slots-bonus", "http://a.example.org/loans/payday",
     "http://my.example.org/x-rated/1", "http://www.adult-x.example.net/de/3", "http://m.casino-win.example.org/en/4",
+    "http://www.adult.com", "http://porntube1.com", "http://bestcasino.bet", "https://m.sex.org/", "http://free.xxx/", "http://ads.tracker.org/p",
+    "http://user@poker.org:80/x", "http://a.org/replica-rolex", "http://hookup.org/escorts",
 ]
 CLEAN = [
     "https://en.example.org/wiki/Sussex", "https://news.example.org/sport/winter-games", "https://a.example.org/health/adult-education",
     "https://a.example.org/recipes/free-range-eggs", "https://a.example.org/farm/animals", "https://a.example.org/music/track/12",
     "https://law.example.org/sex-discrimination-act", "https://uni.example.org/adsorption/spills", "https://a.example.org/windows/freedom",
     "https://history.example.org/roads/better-tracks", "https://docs.example.org/bank/loan-basics",
+    "https://school.org/girls/track", "https://bank.org/loans/debt-help", "https://nhs.uk/pharmacy/prescription",
+    "https://nytimes.org/free-money-tips", "https://farm.gov/track/cattle", "https://docs.python.org/3/hot/track-changes",
+    "https://a.org/login?u=https://ads.example.org/x", "https://essex.ac.uk/adult-education", "https://library.org/adult/sex-education",
+    "https://adult-learning.org/courses", "https://security.org/phishing/malware", "https://calendar.org/free-slots",
+    "https://x.org/adult", "https://a.org/wiki/Casino_Royale", "https://poker-face.org/", "https://adsorption.org/bets", "https://beta.org/win",
 ]
 
 
