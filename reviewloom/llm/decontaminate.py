@@ -3,12 +3,12 @@
 Texts and items are lower-cased and their white space made single spaces. An item is looked for whole; one longer than
 ``PIECE`` characters in pieces of that many, each half over the one before, so that a document with a good part of it is
 found too. A piece of m characters that occurs with k = floor(m * ``RATE``) edits or fewer has at least m - q + 1 - k * q of its
-q-grams there, all within k + 1 neighbouring diagonals. So shared q-grams are counted in bands of 2 (k + 1)
+q-grams there (q is 8, or less where an item's length needs it for a bound of 1 or more), all within k + 1 neighbouring diagonals. So shared q-grams are counted in bands of 2 (k + 1)
 diagonals, each half over the one before; bands that reach the bound are verified by edit distance within
 the band.
 
-Items shorter than ``SHORTEST`` characters, null ones too, are never looked for: they would be found anywhere. Null and
-empty texts hold nothing. A document and an item make one row at most, the occurrence with the fewest edits for its
+Items shorter than ``SHORTEST`` characters, null ones too, are never looked for: they would be found anywhere. Items
+without an id are looked for as any other and share the null id in results. Null and empty texts hold nothing. A document and an item make one row at most, the occurrence with the fewest edits for its
 length, then the first. Repeated documents are repeated rows; repeated items are looked for once under their least id.
 
 The items go to every task in lots of at most ``LOT`` characters. There is one pass over the documents for each lot, so
@@ -30,6 +30,7 @@ from reviewloom.llm.common import Index, bounded, nonempty, texts
 
 Q, RATE, PIECE, SHORTEST = 8, 0.1, 100, 25
 LOT = 4_000_000
+NO_ID = -(1 << 63)
 BLOCK = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,9 +68,10 @@ class Pieces:
         self.items = np.array(self.items, dtype=np.int64)
         self.m = np.array([len(c) for c in self.codes], dtype=np.int64)
         self.k = np.floor(self.m * rate).astype(np.int64)
-        # Where the bound says nothing, one shared q-gram is asked for.
-        self.bound = np.maximum(1, self.m - Q + 1 - self.k * Q)
-        keys = [qgrams(c) for c in self.codes]
+        # The longest q-grams up to Q for which every piece's bound is 1 at least, so that none is missed.
+        self.q = int(min(Q, (self.m // (self.k + 1)).min(initial=Q)))
+        self.bound = self.m - self.q + 1 - self.k * self.q
+        keys = [qgrams(c, self.q) for c in self.codes]
         of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         at = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -86,7 +88,7 @@ class Pieces:
 
     def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces and first diagonals of the bands that reach their bound in a text."""
-        keys = qgrams(codes)
+        keys = qgrams(codes, self.q)
         places = np.flatnonzero(self.maybe[keys >> np.uint64(44)])
         found = self.index.find(keys[places])
         places, found = places[found >= 0], found[found >= 0]
@@ -171,7 +173,7 @@ _PIECES: dict[str, Pieces] = {}
 
 def _lots(items: DataFrame, shortest: int, lot: int) -> Iterator[list[tuple[int, str]]]:
     """The distinct items, normalized, in lots of bounded size; the driver holds one lot at a time."""
-    known = items.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    known = items.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
     known = known.groupBy("text").agg(F.min("item_id").alias("item_id"))
     now, size = [], 0
     for row in known.orderBy("item_id").toLocalIterator():
@@ -181,7 +183,7 @@ def _lots(items: DataFrame, shortest: int, lot: int) -> Iterator[list[tuple[int,
         if now and size + len(text) > lot:
             yield now
             now, size = [], 0
-        now.append((row["item_id"], text))
+        now.append((NO_ID if row["item_id"] is None else row["item_id"], text))
         size += len(text)
     if now:
         yield now
@@ -209,7 +211,7 @@ def leaks(
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in nonempty(batches):
                 rows = [
-                    (doc, item, edits, length, 1.0 - share, end)
+                    (doc, None if item == NO_ID else item, edits, length, 1.0 - share, end)
                     for doc, text in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), strict=True)
                     for item, (share, end, edits, length) in sorted(pieces().best(normal(text)).items())
                 ]

@@ -78,3 +78,27 @@ def test_query_finds_every_exact_passage(spark, sf_dir):
     exact = {(i, j) for i, t in docs.items() for j, x in items.items() if len(x) >= d.SHORTEST and x in t}
     got = {(r.doc_id, r.item_id): r for r in REGISTRY["op2_decontamination"](spark, sf_dir).collect()}
     assert exact and exact <= set(got) and all(got[k].edits == 0 for k in exact)
+
+
+def test_no_occurrence_within_the_budget_is_missed():
+    rng = random.Random(8)
+    for m in range(25, 65):
+        item = "".join(rng.choice("abcdefghij ") for _ in range(m)).replace("  ", "xy").strip().ljust(m, "z")
+        pieces = d.Pieces([(1, item)])
+        k = int(pieces.k[0])
+        assert pieces.bound.min() >= 1
+        # Edits spread evenly leave the shortest runs of letters untouched.
+        edited = list(item)
+        for i in range(k):
+            edited[(i + 1) * m // (k + 1) - 1] = "#"
+        found = list(pieces.search("some text before " + "".join(edited) + " and after"))
+        assert found and min(edits for _, edits, _, _ in found) <= k, (m, k)
+
+
+def test_items_without_an_id(spark):
+    text = "what is the capital of the country where the river ends"
+    items = spark.createDataFrame([(None, text), (None, text[::-1]), (4, "another question which no document has in it")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so: {text}?"), (2, text[::-1]), (3, "nothing of the kind")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in d.leaks(docs, items).collect())
+    assert got == [(1, None, 0), (2, None, 0)]
+    assert [r.doc_id for r in d.clean(docs, items).collect()] == [3]
