@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from reviewloom.llm.common import Index, nonempty, remainder, utf8
+from reviewloom.llm.common import Index, bounded, nonempty, remainder, utf8
 
 ORDER = 4
 MAX_DOCS, MAX_DOC_BYTES = 300, 1 << 16
@@ -179,7 +179,7 @@ _MODELS: dict[str, Model] = {}
 def predict(docs: DataFrame, model: Model | None, divisor: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text)."""
     key = uuid.uuid4().hex  # workers keep what they built from it
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _MODELS:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from reviewloom.llm.common import nonempty, texts, utf8
+from reviewloom.llm.common import bounded, nonempty, texts, utf8
 
 #: Pre-tokens off the shortcut that a worker remembers at most.
 REMEMBERED = 200_000
@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, limit: int = LI
         content = file.read()
     whole = whole_tokens(Tokenizer.from_str(content))
     key = uuid.uuid4().hex  # workers keep what they built from it
-    sent = docs.sparkSession.sparkContext.broadcast((content, pattern, whole))
+    sent = bounded(docs.sparkSession).sparkContext.broadcast((content, pattern, whole))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _COUNTERS.get(key)
