@@ -67,6 +67,13 @@ def remainder(column: str, divisor: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def draw_order(max_bytes: int) -> list[Column]:
+    """The order in which documents (doc_id, bytes) are drawn for learning: by a hash of the id, those that alone are
+    above ``max_bytes`` after all others, the smallest of them first."""
+    number = F.xxhash64("doc_id")
+    return [F.greatest("bytes", F.lit(max_bytes).cast("long")), F.pmod(number, F.lit(1 << 20)), number, F.col("doc_id")]
+
+
 def text_digest(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 

@@ -6,10 +6,11 @@ there, the escape D / (T + D) is paid and the context shortened by a byte; below
 byte has 1 / 256. Nothing is updated while scoring, so code lengths are exact sums over table entries. The
 language with the shortest code wins, ties go to the first name; the score is its share of the probability.
 
-Learning takes at most ``max_docs`` documents of each language, those first by a hash of their id, and
-none above ``max_doc_bytes`` bytes; rows without text or language aren't learned from. A null text, and one
-without a letter, is ``und`` with score 0. Repeated rows score alike; extra columns aren't read. If nothing
-was learned, every text is ``und``.
+Learning takes at most ``max_docs`` documents of each language and ``max_bytes`` bytes of them together, those
+first by a hash of their id; the first is taken whole whatever its size, so that a language of long documents
+alone is learned too. Rows of one id count as one document. Rows without text or language aren't learned from.
+A null text, and one without a letter, is ``und`` with score 0. Repeated rows score alike; extra columns aren't
+read. If nothing was learned, every text is ``und``.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from reviewloom.llm.common import Index, bounded, nonempty, remainder, utf8
+from reviewloom.llm.common import Index, bounded, draw_order, nonempty, remainder, utf8
 
 ORDER = 4
-MAX_DOCS, MAX_DOC_BYTES = 300, 1 << 16
+MAX_DOCS, MAX_BYTES = 300, 4 << 20
 BLOCK = 1 << 19
 
 
@@ -140,23 +141,25 @@ class Model:
         return total
 
 
-def sample(docs: DataFrame, divisor: int, max_docs: int, max_doc_bytes: int) -> DataFrame:
+def sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """lang and text of the documents that are learned from; ``docs`` must have ``part``, the id's remainder."""
-    fit = docs.where(
-        (F.col("part") != 0) & F.col("lang").isNotNull() & (F.octet_length("text").between(1, max_doc_bytes))
-    )
-    # Of a large language a fair share by hash is ranked, about four times what is taken.
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sizes = fit.groupBy("lang").agg(F.count("*").alias("docs"))
-    some = fit.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(part * F.col("docs") < 4 * max_docs)
-    order = W.Window.partitionBy("lang").orderBy(part, F.xxhash64("doc_id"), "doc_id")
-    ids = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs)
+    size = F.octet_length("text")
+    fit = docs.where((F.col("part") != 0) & F.col("lang").isNotNull() & (size > 0))
+    sized = fit.groupBy("lang", "doc_id").agg(F.sum(size).alias("bytes"))
+    order = draw_order(max_bytes)
+    # A large language is ranked in blocks first, so that no task has to sort it whole.
+    block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(256))
+    blocks, whole = W.Window.partitionBy("lang", block).orderBy(*order), W.Window.partitionBy("lang").orderBy(*order)
+    some = sized.withColumn("rank", F.row_number().over(blocks)).where(F.col("rank") <= max_docs)
+    ranked = some.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= max_docs)
+    ids = ranked.withColumn("upto", F.sum("bytes").over(whole.rowsBetween(W.Window.unboundedPreceding, 0)))
+    ids = ids.where((F.col("upto") <= max_bytes) | (F.col("rank") == 1))
     # max_docs ids for each language: small enough to go to every task.
-    return fit.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    return fit.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
-def learn(docs: DataFrame, divisor: int = 5, max_docs: int = MAX_DOCS, max_doc_bytes: int = MAX_DOC_BYTES) -> Model | None:
-    rows = sample(docs.withColumn("part", remainder("doc_id", divisor)), divisor, max_docs, max_doc_bytes).collect()
+def learn(docs: DataFrame, divisor: int = 5, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model | None:
+    rows = sample(docs.withColumn("part", remainder("doc_id", divisor)), max_docs, max_bytes).collect()
     texts: dict[str, list[bytes]] = {}
     for row in sorted(rows):
         texts.setdefault(row["lang"], []).append(row["text"].encode())

@@ -6,8 +6,10 @@ a document. The field is fitted by gradient ascent on whole-document likelihoods
 for each of its lines. A document's score is the mean of its lines' forward-backward marginals of being
 good, weighted by line length.
 
-The fit takes at most ``max_docs`` labelled documents, those first by a hash of their id, none above
-``max_doc_bytes`` bytes, and only ids whose crc32 isn't held out. Only text is scored: no id, language or source.
+The fit takes at most ``max_docs`` labelled documents and ``max_bytes`` bytes of them together, those first by a hash of
+their id, and only ids whose crc32 isn't held out; the first document of each label is taken whole whatever its size, so
+that a label of long documents alone is learned too. Rows of one id count as one document. Only text is scored: no
+id, language or source.
 Null and empty texts are one empty line. Repeated rows score alike. If several labels of one document differ, the
 least counts; null labels don't. Without any label every score is 0.5.
 """
@@ -20,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from reviewloom.llm.common import bounded, nonempty, remainder, utf8
+from reviewloom.llm.common import bounded, draw_order, nonempty, remainder, utf8
 
-MAX_DOCS, MAX_DOC_BYTES = 4000, 1 << 16
+MAX_DOCS, MAX_BYTES = 4000, 24 << 20
 ROUNDS, RATE, RIDGE = 250, 0.08, 1e-3
 THRESHOLD = 0.7
 QUANTILES = (0.5, 0.9, 0.98)
@@ -185,14 +188,21 @@ class Field:
         return np.bincount(docs, weights=weight * good) / np.bincount(docs, weights=weight)
 
 
-def learn(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2, max_docs: int = MAX_DOCS, max_doc_bytes: int = MAX_DOC_BYTES) -> Field | None:
+def learn(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Field | None:
     bounded(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality"))
     marked = marked.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", divisor) != held))
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_doc_bytes)
-    # Of the labels whose document is here and short enough, max_docs at most go to the tasks.
-    chosen = marked.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    sized = texts.groupBy("doc_id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
+    usable, order = marked.join(sized, "doc_id"), draw_order(max_bytes)
+    # The first document of each label, then the first of all: few enough to go to every task.
+    firsts = W.Window.partitionBy("quality").orderBy(*order)
+    leads = usable.withColumn("turn", F.row_number().over(firsts) - 1).where(F.col("turn") == 0)
+    drawn = usable.orderBy(*order).limit(max_docs).withColumn("turn", F.lit(1)).unionByName(leads)
+    once = drawn.groupBy("doc_id", "quality", "bytes").agg(F.min("turn").alias("turn"))
+    upto = F.sum("bytes").over(W.Window.orderBy("turn", *order).rowsBetween(W.Window.unboundedPreceding, 0))
+    chosen = once.withColumn("upto", upto).where((F.col("upto") <= max_bytes) | (F.col("turn") == 0)).select("doc_id", "quality")
     schema = "doc_id long, quality int, n_line int, " + ", ".join(f"{n} double" for n in BASE)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,3 +80,17 @@ def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = REGISTRY["op10_language_id"](spark, sf_dir).where("held_out").join(docs, "doc_id").collect()
     assert len(rows) > 10 and sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+def test_the_sample_is_bounded_in_bytes_but_has_every_language(documents):
+    from reviewloom.llm.common import remainder
+
+    long = [(1000 + i, "un perro y " * (500 + i), "es") for i in range(8)]
+    docs = documents([(i, f"the cat {i:04}", "en") for i in range(200)] + [(7, "the same id", "en")] * 3 + long)
+    parted = docs.withColumn("part", remainder("doc_id", 5))
+    rows = langid.sample(parted, max_docs=50, max_bytes=300).collect()
+    taken = {name: [r.text for r in rows if r.lang == name] for name in ("en", "es")}
+    assert sum(map(len, taken["en"])) <= 300 and len(taken["en"]) > 10
+    fits = [r.text for r in parted.where("part != 0 and lang = 'es'").collect()]
+    assert taken["es"] == [min(fits, key=len)]
+    assert langid.sample(parted, max_docs=50).where("lang = 'en'").count() >= 50

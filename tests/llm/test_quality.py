@@ -114,3 +114,13 @@ def test_labels_without_documents_take_no_places(spark, documents):
     docs = documents([(i, f"text {i}") for i in range(4000, 4040)])
     labels = spark.range(4040).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
     assert quality.learn(docs, labels, max_docs=5) is not None
+
+
+def test_a_label_of_long_documents_alone_is_learned(spark, documents):
+    good = [(i, f"Plain words about topic {i}.\nAnother line of them, number {i * 7}.") for i in range(60)]
+    bad = [(1000 + i, f"w{i}### x{i}*** %%%\n$$$ y{i}&&& &&&\n" * 400) for i in range(3)]
+    docs = documents(good + bad)
+    labels = spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int")
+    field = quality.learn(docs, labels, max_docs=20, max_bytes=2_000)
+    got = {r.doc_id: r.predicted for r in quality.predict(docs, field).collect()}
+    assert all(got[i] == 1 for i, _ in good) and all(got[i] == 0 for i, _ in bad)
