@@ -41,6 +41,17 @@ SELECTS["pr_headers_json"] = "SELECT analysis_id, title, author FROM pr_header_t
 SELECTS["decode_contents"] = """
     SELECT source AS analysis_id, doc_id AS file_ord, text AS content FROM documents WHERE doc_id % 7 <> 1 AND text <> ''
 """
+SELECTS["checkout_files"] = r"""
+    SELECT 'f-' || n AS file, size, CASE WHEN size > 500000 THEN 'too large' WHEN n % 5 = 4 THEN 'binary' ELSE 'text' END AS kind,
+           CASE WHEN size > 500000 OR n % 5 = 4 THEN NULL WHEN n % 5 = 2 THEN 'UTF-16BE'
+                WHEN n % 5 = 3 AND strlen(t) > length(t) THEN 'ISO-8859-1' ELSE 'UTF-8' END AS encoding,
+           CASE WHEN size <= 500000 AND n % 5 <> 4 THEN t || chr(10) END AS content
+    FROM (SELECT n, t, CASE n % 5 WHEN 0 THEN strlen(t) + 1 WHEN 1 THEN strlen(t) + 4
+                            WHEN 2 THEN 2 * length(t) + 2 * length(regexp_replace(t, '[^\x{10000}-\x{10FFFF}]', '', 'g')) + 4
+                            WHEN 3 THEN length(t) + 1 ELSE strlen(t) + 2 END AS size
+          FROM (SELECT n, CASE WHEN n % 5 = 3 THEN regexp_replace(s, '[^\x{00}-\x{FF}]', '?', 'g') ELSE s END AS t
+                FROM (SELECT doc_id // 25 AS n, string_agg(text, chr(10) ORDER BY doc_id, text) AS s FROM documents GROUP BY 1)))
+"""
 SELECTS["retain_latest"] = """
     SELECT 'u' || user_id AS analysis_id, min_by(event_id, (ts, event_id)) AS first_event,
            max_by(event_id, (ts, event_id)) AS last_event, max_by(value, (ts, event_id)) AS value

@@ -253,6 +253,26 @@ def tree_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_checkout(spark: SparkSession, sf_dir: str, folder: str, documents: int = 25) -> None:
+    """Documents as files below ``folder``, some to a file, in the encodings that checkouts come in, every fifth binary."""
+    number = F.floor(F.col("doc_id") / documents)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    files = table(spark, sf_dir, "documents").groupBy(number.alias("n")).agg(F.array_join(lines, "\n").alias("text"))
+    kind, text = F.col("n") % 5, F.col("text")
+    narrow = F.regexp_replace("text", r"[^\x{00}-\x{FF}]", "?")
+    # The writer ends each file with the byte 0A, which is the second one of a line end in UTF-16BE.
+    wide = F.concat(F.lit(b"\xfe\xff"), F.encode("text", "UTF-16BE"), F.lit(b"\0"))
+    raw = (
+        F.when(kind == 1, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("text", "UTF-8")))
+        .when(kind == 2, wide)
+        .when(kind == 3, F.encode(narrow, "ISO-8859-1"))
+        .when(kind == 4, F.concat(F.lit(b"\0"), F.encode("text", "UTF-8")))
+        .otherwise(F.encode(text, "UTF-8"))
+    )
+    named = files.select(F.concat(F.lit("f-"), F.col("n").cast("string")).alias("file"), raw.cast("string").alias("value"))
+    named.write.partitionBy("file").text(folder)
+
+
 def language_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language sizes as JSON bodies, an object for each repository."""
     entries = F.collect_list(F.struct("language", "bytes"))

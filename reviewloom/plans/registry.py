@@ -127,6 +127,15 @@ def decode_contents(spark, sf):
     return landed.file_contents(raw)
 
 
+@query
+def checkout_files(spark, sf):
+    """Documents written as files of several encodings, read back by their bytes."""
+    folder = scratch(spark)
+    corpora.write_checkout(spark, sf, folder)
+    name = F.regexp_extract("path", "^file=([^/]*)/", 1)
+    return landed.checkout_files(spark, folder).select(name.alias("file"), "size", "kind", "encoding", "content")
+
+
 @query
 def retain_latest(spark, sf):
     kept = store.retain_latest(corpora.saves(spark, sf), ["saved_at", "event_id"])

@@ -60,6 +60,12 @@ def _path(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder as Spark's file sources write its name, without a slash at its end."""
+    path, files = _path(spark, folder)
+    return files.makeQualified(path).toString().rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder in the shared one; it goes when the driver's JVM ends."""
     folder = f"{shared_folder(spark)}/run-{uuid.uuid4()}"

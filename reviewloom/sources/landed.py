@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.binding import let
+from reviewloom.session import qualified
 
 SUBMISSION_SCHEMA = (
     "analysis_id string, url string, diff string, code string, filename string, "
@@ -28,6 +29,14 @@ REPO_INFO_SCHEMA = (
 TREE_ITEM = "struct<path:string,mode:string,type:string,size:bigint,sha:string>"
 PAGE_ROWS = 100
 
+# A zero byte among the first ones makes a file a binary one.
+LOOKED_AT = 8000
+# Well-formed UTF-16 in hexadecimal digits, by its byte order; possessive, so that long files need no stack.
+UTF_16 = {
+    "UTF-16LE": "^(?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])*+$",
+    "UTF-16BE": "^(?:(?:[0-9A-CEF].|D[0-7])..|D[89AB]..D[C-F]..)*+$",
+}
+
 
 def submissions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(SUBMISSION_SCHEMA).format(fmt).load(path)
@@ -206,3 +215,55 @@ def checkout(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("text").option("wholetext", True).option(
         "recursiveFileLookup", True
     ).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def encoding_of(raw: Column) -> Column:
+    """The encoding that bytes are text in, null for binary ones.
+
+    A mark at the start decides, if what follows it is well-formed; else a zero byte tells a binary file, and the rest is
+    UTF-8 where it is valid and ISO-8859-1 where it is not, which has a character for every byte.
+    """
+    found = F.when((F.substring(raw, 1, 3) == F.lit(b"\xef\xbb\xbf")) & F.is_valid_utf8(raw.cast("string")), "UTF-8")
+    for name, mark in (("UTF-16LE", b"\xff\xfe"), ("UTF-16BE", b"\xfe\xff")):
+        found = found.when((F.substring(raw, 1, 2) == F.lit(mark)) & F.hex(raw).rlike(UTF_16[name]), name)
+    head = F.hex(F.substring(raw, 1, LOOKED_AT))
+    return found.when(~head.rlike("^(?:0[1-9A-F]|[1-9A-F].)*+$"), F.lit(None)).when(
+        F.is_valid_utf8(raw.cast("string")), "UTF-8"
+    ).otherwise("ISO-8859-1")
+
+
+def text_of(raw: Column, encoding: Column) -> Column:
+    """Bytes as text in their encoding (``encoding_of``), without the mark at their start."""
+    marked = F.substring(raw, 1, 3) == F.lit(b"\xef\xbb\xbf")
+    rest = F.substring(raw, F.lit(4), F.octet_length(raw))
+    wide = F.substring(raw, F.lit(3), F.octet_length(raw))
+    text = F.when(encoding == "UTF-8", F.when(marked, rest).otherwise(raw).cast("string"))
+    for name in UTF_16:
+        text = text.when(encoding == name, F.decode(wide, name))
+    return text.when(encoding == "ISO-8859-1", F.decode(raw, "ISO-8859-1"))
+
+
+def checkout_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = 500_000) -> DataFrame:
+    """Files of a checked-out folder tree by their bytes: (path, size, kind, encoding, content), one row each.
+
+    ``path`` is the place below the folder.  ``kind`` is ``text``, ``binary`` or ``too large``; only the first has an encoding
+    and content.  Files above ``max_bytes`` are listed and not opened: their rows come from a scan without contents.
+    Empty files have no row, as Spark's file sources pass them over.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    place = F.expr(f"substring(path, {len(qualified(spark, path)) + 2})").alias("path")
+    size = F.col("length").alias("size")
+    opened = files.filter(F.col("length") <= max_bytes).select(place, size, F.col("content").alias("raw"))
+    read = opened.withColumn("encoding", encoding_of(F.col("raw")))
+    known = read.select(
+        "path",
+        "size",
+        F.when(F.col("encoding").isNull(), "binary").otherwise("text").alias("kind"),
+        "encoding",
+        text_of(F.col("raw"), F.col("encoding")).alias("content"),
+    )
+    no_text = F.lit(None).cast("string")
+    large = files.filter(F.col("length") > max_bytes).select(
+        place, size, F.lit("too large").alias("kind"), no_text.alias("encoding"), no_text.alias("content")
+    )
+    return known.unionByName(large)

@@ -94,6 +94,29 @@ def test_checkout(spark, tmp_path):
     assert row.path.endswith("src/a.py") and row.content == "x = 1\ny = 2\n"
 
 
+def test_checkout_by_bytes(spark, tmp_path):
+    text = "zwölf Öfen\nügen"
+    files = {
+        "a.py": text.encode(), "b/bom.py": b"\xef\xbb\xbf" + text.encode(), "b/little.py": b"\xff\xfe" + (text + "😀").encode("utf-16-le"),
+        "b/c/big end.py": b"\xfe\xff" + (text + "😀").encode("utf-16-be"), "latin.py": text.encode("latin-1"), "empty.py": b"",
+        "zero.py": b"ab\0cd", "odd.py": b"\xff\xfea\0b", "lone.py": b"\xfe\xff\xd8\x00\x00a", "late.py": b"x" * 8000 + b"\0",
+        "large.py": b"x" * 20_001, "long.py": b"\xff\xfe" + ("ab" * 4000).encode("utf-16-le"), "other.txt": b"not asked for",
+    }
+    for name, raw in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path: r for r in landed.checkout_files(spark, str(tmp_path), "*.py", 20_000).collect()}
+    assert set(got) == set(files) - {"other.txt", "empty.py"} and all(r.size == len(files[p]) for p, r in got.items())
+    assert {p: (r.encoding, r.content) for p, r in got.items() if r.kind == "text"} == {
+        "a.py": ("UTF-8", text), "b/bom.py": ("UTF-8", text), "b/little.py": ("UTF-16LE", text + "😀"),
+        "b/c/big end.py": ("UTF-16BE", text + "😀"), "latin.py": ("ISO-8859-1", text),
+        "late.py": ("UTF-8", "x" * 8000 + "\0"), "long.py": ("UTF-16LE", "ab" * 4000),
+    }
+    assert {p: r.kind for p, r in got.items() if r.content is None} == {
+        "zero.py": "binary", "odd.py": "binary", "lone.py": "binary", "large.py": "too large",
+    }
+
+
 def test_routes(spark):
     base = "https://github.com/o/r"
     diff = "diff --git a/x b/x\n@@ -1 +1 @@\n+a"
