@@ -13,13 +13,17 @@ from reviewloom.functions.text import (
     line_count,
     non_blank_lines,
 )
-from reviewloom.operators.scan import level_counts
+from reviewloom.operators.scan import findings_array, level_counts, levels_found
 
 
-def pr_file_metrics(pr_files: DataFrame) -> DataFrame:
-    """Measures of the changed files of pull requests, taken from their patches."""
+def pr_file_metrics(pr_files: DataFrame, with_findings: bool = False) -> DataFrame:
+    """Measures of the changed files of pull requests, taken from their patches.
+
+    ``with_findings`` adds the findings themselves, ``sec`` and ``perf``; the counts are then taken from them.
+    """
     patch = "coalesce(patch, '')"
-    measured = pr_files.select(
+    packs = {"sec": rules.PR_SECURITY, "perf": rules.PR_PERFORMANCE}
+    plain = [
         "analysis_id",
         "file_ord",
         "path",
@@ -27,9 +31,12 @@ def pr_file_metrics(pr_files: DataFrame) -> DataFrame:
         "deletions",
         language(F.col("path")).alias("language"),
         complexity_of_file(F.expr(patch)).alias("complexity"),
-        *level_counts(patch, rules.PR_SECURITY, "sec"),
-        *level_counts(patch, rules.PR_PERFORMANCE, "perf"),
-    )
+    ]
+    if with_findings:
+        found = pr_files.select(*plain, *[findings_array(patch, pack).alias(kind) for kind, pack in packs.items()])
+        measured = found.select("*", *[c for kind in packs for c in levels_found(F.col(kind), kind)])
+    else:
+        measured = pr_files.select(*plain, *[c for kind, pack in packs.items() for c in level_counts(patch, pack, kind)])
     return measured.withColumn("risk", _pr_risk())
 
 
@@ -47,22 +54,26 @@ def _pr_risk() -> Column:
     )
 
 
-def repo_file_metrics(contents: DataFrame, *extra: Column) -> DataFrame:
+def repo_file_metrics(contents: DataFrame, *extra: Column, with_findings: bool = False) -> DataFrame:
     """Measures of scanned repository files; their churn is estimated from size and complexity.
 
-    ``extra`` columns over ``content`` are worked out in the same pass.
+    ``extra`` columns over ``content`` are worked out in the same pass.  ``with_findings`` adds the findings
+    themselves, ``found``; the counts are then taken from them.
     """
-    text = F.col("content")
-    measured = contents.select(
+    text, pack = F.col("content"), rules.REPO_SECURITY
+    plain = [
         "analysis_id",
         "file_ord",
         "path",
         language(F.col("path")).alias("language"),
         line_count(text).alias("lines"),
         complexity_of_file(text).alias("complexity"),
-        *level_counts("content", rules.REPO_SECURITY, "sec"),
-        *extra,
-    )
+    ]
+    if with_findings:
+        found = contents.select(*plain, *extra, findings_array("content", pack).alias("found"))
+        measured = found.select("*", *levels_found(F.col("found"), "sec"))
+    else:
+        measured = contents.select(*plain, *level_counts("content", pack, "sec"), *extra)
     risk = (
         F.when(F.col("sec_critical") > 0, "critical")
         .when(F.col("sec_high") > 0, "high")

@@ -111,7 +111,7 @@ def _number_small(items: DataFrame, inserted: list[str], ranked: list[str]) -> D
 
 def review_items_pr(pr_files: DataFrame, coupled: DataFrame) -> DataFrame:
     """Unnumbered queue items of pull requests, with the keys they are ordered by."""
-    patch, place = "coalesce(patch, '')", basename(F.col("path"))
+    patch = "coalesce(patch, '')"
     scanned = pr_files.select(
         "analysis_id",
         "file_ord",
@@ -120,6 +120,12 @@ def review_items_pr(pr_files: DataFrame, coupled: DataFrame) -> DataFrame:
         findings_array(patch, rules.PR_PERFORMANCE).alias("perf"),
         complexity_of_file(F.expr(patch)).alias("complexity"),
     )
+    return items_of_scanned_pr(scanned, coupled)
+
+
+def items_of_scanned_pr(scanned: DataFrame, coupled: DataFrame) -> DataFrame:
+    """The same items from measures that hold the findings (``metrics.pr_file_metrics``)."""
+    place = basename(F.col("path"))
     title = F.concat(
         F.lit("Very complex: "), place, F.lit(" (measure "), F.col("complexity"), F.lit(")")
     )

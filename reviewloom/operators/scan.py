@@ -83,6 +83,15 @@ def level_counts(text: str, pack: list[Rule], prefix: str) -> list[Column]:
     return columns
 
 
+def levels_found(found: Column, prefix: str) -> list[Column]:
+    """The same columns from findings that are there already (``findings_array`` of the pack)."""
+
+    def count(level: str) -> Column:
+        return F.size(F.filter(found, lambda f: f["level"] == level))
+
+    return [count(level).alias(f"{prefix}_{level}") for level in LEVELS[prefix]]
+
+
 def scan(files: DataFrame, pack: list[Rule], text: str = "content") -> DataFrame:
     """One row per match of any rule of ``pack``; the other columns of ``files`` are kept."""
     keys = [F.col(c) for c in files.columns if c != text]

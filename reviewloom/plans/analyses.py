@@ -62,10 +62,10 @@ def results_diff(submissions: DataFrame) -> DataFrame:
     return _result(scored.join(totals(sums), "analysis_id").join(texts, "analysis_id"), "diff")
 
 
-def pr_parts(pr_files: DataFrame, contents: DataFrame) -> dict[str, DataFrame]:
-    """Measures, sums, edges, queue counts and scores of pull requests."""
+def pr_parts(pr_files: DataFrame, contents: DataFrame, with_findings: bool = False) -> dict[str, DataFrame]:
+    """Measures (with the findings, if asked for), sums, edges, queue counts and scores of pull requests."""
     # The patches are scanned once; all else starts from the narrow measures.
-    measured = reuse(metrics.pr_file_metrics(pr_files))
+    measured = reuse(metrics.pr_file_metrics(pr_files, with_findings))
     sums = scores.file_sums(measured, "pr")
     edges = graph.edges_pr(graph.imports_pr(contents), pr_files)
     coupled = reuse(graph.coupling(edges))
@@ -87,16 +87,17 @@ def results_pr(pr_files: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def repo_parts(
-    info: DataFrame, languages: DataFrame, files: DataFrame, contents: DataFrame
+    info: DataFrame, languages: DataFrame, files: DataFrame, contents: DataFrame, with_findings: bool = False
 ) -> dict[str, DataFrame]:
     """Sums, scores and facts of repositories.
 
     ``languages`` as from ``rollups.language_stats``, ``files`` from ``selection.repo_files``,
-    ``contents`` those of the source files.
+    ``contents`` those of the source files.  ``with_findings`` keeps the findings beside the measures, and ``smaller``,
+    a column of ``contents`` that tells their order.
     """
-    imports = imports_of_repo_file(F.col("content")).alias("imports")
+    kept = [imports_of_repo_file(F.col("content")).alias("imports"), *([F.col("smaller")] if with_findings else [])]
     # The contents are scanned once; all else starts from the narrow measures.
-    measured = reuse(metrics.repo_file_metrics(contents, imports))
+    measured = reuse(metrics.repo_file_metrics(contents, *kept, with_findings=with_findings))
     sums = scores.with_all(info, scores.file_sums(measured.drop("imports"), "repo"), "repo")
     counted = files.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("total_files"))
     scored = scores.scores_repo(sums, counted)

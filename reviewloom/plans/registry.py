@@ -498,16 +498,17 @@ def _all_files_metrics(spark, sf):
     return metrics.repo_file_metrics(corpora.code_files(spark, sf))
 
 
-def _pr_parts(spark, sf):
-    return analyses.pr_parts(corpora.pr_files(spark, sf), corpora.pr_contents(spark, sf))
+def _pr_parts(spark, sf, with_findings=False):
+    return analyses.pr_parts(corpora.pr_files(spark, sf), corpora.pr_contents(spark, sf), with_findings)
 
 
-def _repo_parts(spark, sf, contents=None):
+def _repo_parts(spark, sf, with_findings=False):
     return analyses.repo_parts(
         corpora.repo_info(spark, sf),
         rollups.language_stats(corpora.repo_languages(spark, sf)),
         selection.repo_files(corpora.tree(spark, sf)),
-        corpora.repo_contents(spark, sf) if contents is None else contents,
+        corpora.repo_contents(spark, sf),
+        with_findings,
     )
 
 
@@ -691,16 +692,13 @@ def prompt_context(spark, sf):
     diff_metrics = reuse(metrics.diff_file_metrics(_diff_files(spark, sf)))
     diff_queue = reviews.queue_counts_diff(scores.file_sums(diff_metrics, "diff"))
     diff = narrative.context_diff(diff_metrics, diff_queue)
-    contents = corpora.repo_contents(spark, sf)
-    found = scan.scan(
-        contents.select("analysis_id", "smaller", "file_ord", "content"), rules.REPO_SECURITY
-    ).withColumn("note", scan.notes(rules.REPO_SECURITY))
-    repo = narrative.context_repo(_repo_parts(spark, sf, contents)["facts"], found)
-    files = corpora.pr_files(spark, sf)
-    p = _pr_parts(spark, sf)
+    r = _repo_parts(spark, sf, with_findings=True)
+    found = scan.flatten(r["metrics"].select("analysis_id", "smaller", "file_ord", "found"), "found")
+    repo = narrative.context_repo(r["facts"], found.withColumn("note", scan.notes(rules.REPO_SECURITY)))
+    p = _pr_parts(spark, sf, with_findings=True)
     pr = narrative.context_pr(
-        corpora.pr_headers(spark, sf), p["totals"], files, p["scores"],
-        reviews.review_items_pr(files, p["coupled"]), p["queue"],
+        corpora.pr_headers(spark, sf), p["totals"], corpora.pr_files(spark, sf), p["scores"],
+        reviews.items_of_scanned_pr(p["metrics"], p["coupled"]), p["queue"],
     )
     kinds = {"code": code, "diff": diff, "repo": repo, "pr": pr}
     named = [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]
