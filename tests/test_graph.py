@@ -5,6 +5,7 @@ import random
 import pytest
 
 from reviewloom.operators import graph
+from reviewloom.operators.joins import salted_join
 
 SCHEMA = "analysis_id string, file_ord int, path string, content string"
 NAMES = ["a", "b", "util", "index", "x.test", "util.min", "lib"]
@@ -124,3 +125,10 @@ def test_coupling_and_sizes(spark):
     assert rows == [("a", 5, "high", 0), ("b", 3, "medium", 1)]
     [size] = graph.graph_sizes(edges).collect()
     assert (size.n_nodes, size.n_edges) == (6, 9)
+
+
+def test_salted_joins_send_no_table_through_the_driver(spark):
+    few = spark.range(2000).withColumnRenamed("id", "key")
+    met = salted_join(few, few.selectExpr("key", "key % 7 AS row"), ["key"], spread_by="row")
+    assert sorted(r.key for r in met.collect()) == list(range(2000))
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
