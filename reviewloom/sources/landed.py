@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.binding import let
-from reviewloom.session import qualified
+from reviewloom.session import listed_in_lots, qualified
 
 SUBMISSION_SCHEMA = (
     "analysis_id string, url string, diff string, code string, filename string, "
@@ -212,9 +212,9 @@ def file_contents(raw: DataFrame) -> DataFrame:
 
 def checkout(spark: SparkSession, path: str) -> DataFrame:
     """Source files of a checked-out folder tree, one row each, as text."""
-    return spark.read.format("text").option("wholetext", True).option(
-        "recursiveFileLookup", True
-    ).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    with listed_in_lots(spark):
+        files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def encoding_of(raw: Column) -> Column:
@@ -250,7 +250,8 @@ def checkout_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: i
     and content.  Files above ``max_bytes`` are listed and not opened: their rows come from a scan without contents.
     Empty files have no row, as Spark's file sources pass them over.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    with listed_in_lots(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     place = F.expr(f"substring(path, {len(qualified(spark, path)) + 2})").alias("path")
     size = F.col("length").alias("size")
     opened = files.filter(F.col("length") <= max_bytes).select(place, size, F.col("content").alias("raw"))

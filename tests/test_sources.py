@@ -117,6 +117,22 @@ def test_checkout_by_bytes(spark, tmp_path):
     }
 
 
+def test_a_checkout_of_many_folders_is_listed_in_few_tasks(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.py").write_text(f"x = {i}")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, tracker = spark.conf.get(key), spark.sparkContext.statusTracker()
+    for name, reader in (("bytes", landed.checkout_files), ("text", landed.checkout)):
+        spark.sparkContext.setJobGroup(f"list-{name}", name)
+        found = reader(spark, str(tmp_path))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        stages = [s for j in tracker.getJobIdsForGroup(f"list-{name}") for s in tracker.getJobInfo(j).stageIds]
+        assert stages and all(tracker.getStageInfo(s).numTasks <= 4 * spark.sparkContext.defaultParallelism for s in stages)
+        assert {r.content for r in found.collect()} == {f"x = {i}" for i in range(100)}
+    assert spark.conf.get(key) == before
+
+
 def test_routes(spark):
     base = "https://github.com/o/r"
     diff = "diff --git a/x b/x\n@@ -1 +1 @@\n+a"
