@@ -109,3 +109,33 @@ def test_bands_and_rounding(spark):
 def test_looks_like_diff(spark):
     texts = ["diff --git a b\n@@ x", "x\n@@ y\ndiff --git q", " diff --git a\n@@ b", "diff --git a\n @@ b", "@@ a\rdiff --git b"]
     assert single(spark, texts, text.looks_like_diff(V)) == [True, True, False, False, False]
+
+
+def test_line_ends_are_matched_by_ranges():
+    # Single characters above U+00FF, united in a class, take Java ten times as long for each character.
+    from reviewloom.functions.dialect import LINE_START, to_java
+
+    for form in (to_java('a.*b'), LINE_START):
+        assert r"\x{2028}-\x{2029}" in form and r"\x{2028}\x{2029}" not in form
+
+
+def test_measures_on_random_text(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from reviewloom.functions import text as measures
+
+    pieces = ["function", "func", "fn", "def", "method", "=>", "=", ">", "x", "_", "9", "é", "😀", " ", "\t", "\r", "\n", " ", "﻿", "a=>b"]
+    rng = random.Random(5)
+    texts = ["", "\n", " ", "=>", "fn", "x=>y"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    space = "[\\t\\n\\x0b\\f\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+    named = re.compile(r"(?<![A-Za-z0-9_])(?:function|def|fn|func|method)(?![A-Za-z0-9_])|(?<=[A-Za-z0-9_])=>(?=[A-Za-z0-9_])")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    count = F.regexp_count(t, F.lit(measures._function_words(measures.FUNCTION_WORDS)))
+    for r in df.select("i", "t", count.alias("n"), measures.line_count(t).alias("lines"), measures.non_blank_lines(t).alias("full")).collect():
+        assert r.n == len(named.findall(r.t)), repr(r.t)
+        assert r.lines == r.t.count("\n") + 1
+        assert r.full == sum(1 for line in r.t.split("\n") if re.sub(space, "", line)), repr(r.t)
