@@ -24,9 +24,10 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from reviewloom.llm.tokens import LETTERS
 #: Pairs of a shard, about; pairs whose hashes a worker holds at once; salts of the first sum of the tree.
 SHARD, LOT, FAN = 1 << 13, 1 << 22, 16
 #: Characters of a text that go to a library at once, and bytes of text or ids in one piece of work.
-PORTION, RESULT_BYTES = 1 << 20, 2 << 20
+PORTION, RESULT_BYTES = 1 << 20, 1 << 20
 #: A space before which, and behind which, another character stands; Python's white space is the widest there is.
 CUT = re.compile(r"(?<=\S) (?=[^\s▁])")
 
@@ -73,6 +74,8 @@ class Vocabularies:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.sizes = tuple(np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.flat_b = np.frombuffer(b"".join(self.bytes_b), dtype=np.uint8)
+        self.first_b = np.cumsum(self.sizes[1]) - self.sizes[1]
         inside = any(re.search(r"\S ", t.decode("utf-8", "replace")) for x in (self.bytes_a, self.bytes_b) for t in x)
         whole = not inside and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b")
         self.portion = PORTION if whole else None
@@ -88,17 +91,36 @@ class Vocabularies:
             start = cut.end()
         return [*found, text[start:] if start else text]
 
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of both for each text; none where their bytes aren't the text's."""
+        none, found = np.zeros(0, dtype=np.uint32), []
+        parts = [self.portions(t) if t else [] for t in texts]
+        # One vocabulary after the other, as each needs the processor's memory for itself.
+        every_a = [_numbers([self.a.encode_ordinary(" " + p) for p in some]) for some in parts]
+        every_b = [_numbers([self.b.encode(p) for p in some]) for some in parts]
+        for text, a, b in zip(texts, every_a, every_b):
+            want = np.frombuffer(b" " + text.encode("utf-8"), dtype=np.uint8)
+            # A's tokens are the bytes of pieces of the text in their order, so only their number can differ.
+            same = self.sizes[0][a].sum() == len(want) and np.array_equal(self.joined_b(b, len(want)), want)
+            found.append((a, b) if same else (none, none))
+        return found
+
+    def joined_b(self, ids: np.ndarray, size: int) -> np.ndarray | None:
+        """The bytes of B's tokens end to end; none if they aren't ``size`` bytes."""
+        sizes = self.sizes[1][ids]
+        ends = np.cumsum(sizes)
+        if ends[-1:].sum() != size:
+            return None
+        return self.flat_b[np.repeat(self.first_b[ids] - ends + sizes, sizes) + np.arange(size)]
+
     def encode(self, text: str) -> tuple[bytes, bytes]:
-        """The ids of both as little-endian 32 bits; none where their bytes aren't the text's."""
-        if not text:
-            return b"", b""
-        a, b = [], []
-        for part in self.portions(text):
-            a += self.a.encode_ordinary(" " + part)
-            b += self.b.encode(part)
-        want = b" " + text.encode("utf-8")
-        same = all(b"".join(map(x.__getitem__, ids)) == want for x, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-        return (np.array(a, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes()) if same else (b"", b"")
+        """The same as little-endian 32 bits."""
+        a, b = (x.astype("<u4").tobytes() for x in self.ids([text])[0])
+        return a, b
+
+
+def _numbers(lists: list[list[int]]) -> np.ndarray:
+    return np.frombuffer(array("I", lists[0] if len(lists) == 1 else chain.from_iterable(lists)), dtype=np.uint32)
 
 
 class Aligned:
@@ -106,16 +128,19 @@ class Aligned:
 
     def __init__(self, sizes: tuple[np.ndarray, np.ndarray], a: list[np.ndarray], b: list[np.ndarray]):
         """``sizes``: the bytes of every token of A and of B."""
-        self.a, self.b = (np.concatenate([np.zeros(0, np.uint32), *x]).astype(np.int64) for x in (a, b))
+        self.a, self.b = (np.concatenate([np.zeros(0, np.uint16), *x]) for x in (a, b))
         self.ends_a, self.ends_b = np.cumsum(sizes[0][self.a]), np.cumsum(sizes[1][self.b])
-        both = np.concatenate([self.ends_a, self.ends_b])
-        both.sort(kind="stable")
-        last = np.ones(len(both), dtype=bool)
-        last[:-1] = both[1:] != both[:-1]
-        ends = both[last]  # each stretch between two ends lies in one A and one B token: a link
-        self.shared = both[~last]  # where both end: the groups
-        self.at_a, self.at_b = np.searchsorted(self.ends_a, ends), np.searchsorted(self.ends_b, ends)
-        self.pairs = self.a[self.at_a] * len(sizes[1]) + self.b[self.at_b]
+        # No token is empty: where a token of A ends is marked by 1, where one of B ends by 2.
+        marks = np.zeros(int(max(self.ends_a[-1:].sum(), self.ends_b[-1:].sum())) + 1, dtype=np.uint8)
+        marks[self.ends_a] = 1
+        marks[self.ends_b] += 2
+        ends = np.flatnonzero(marks != 0)  # each stretch between two ends lies in one A and one B token: a link
+        own = marks[ends]
+        at_a, at_b = (np.cumsum(x, dtype=np.int64) - x for x in (own & 1, own >> 1))
+        both = np.flatnonzero(own == 3)  # where both end: the groups, up to which there are as many ids
+        self.shared, self.upto_a, self.upto_b = ends[both], at_a[both] + 1, at_b[both] + 1
+        self.link_b = self.b[at_b]
+        self.pairs = self.a[at_a].astype(np.int64) * len(sizes[1]) + self.link_b
         self.texts_a = np.cumsum([0, *map(len, a)])
         self.texts_b = np.cumsum([0, *map(len, b)])
         # The links of text i are those from links[i] on, the groups those from groups[i] on.
@@ -128,9 +153,9 @@ class Aligned:
         total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
         return total[self.links[1:]] - total[self.links[:-1]]
 
-    def spelled(self) -> list[str]:
+    def spelled(self) -> pa.Array:
         """``a1,a2|b1;a3|b2,b3`` for each text: its groups with the ids of A and of B."""
-        ends_a, ends_b = np.searchsorted(self.ends_a, self.shared) + 1, np.searchsorted(self.ends_b, self.shared) + 1
+        ends_a, ends_b = self.upto_a, self.upto_b
         size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
         # Places of the ids where each group has its A ids, then its B ids.
         place_a = np.arange(len(self.a)) + np.repeat(ends_b - size_b, size_a)
@@ -140,14 +165,18 @@ class Aligned:
         mark[place_a[ends_a - 1]], mark[place_b[ends_b - 1]] = 1, 2
         stops = self.texts_a + self.texts_b
         mark[stops[1:][np.diff(stops) > 0] - 1] = 3
-        text = list(map(_spelled().__getitem__, (ids * 4 + mark).tolist()))
-        return ["".join(text[x:y]) for x, y in zip(stops, stops[1:])]
+        codes, (letters, lengths) = ids * 4 + mark, _spelled()
+        text = letters[codes].view(np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(lengths[codes], dtype=np.int64)])[stops]
+        kinds = pa.large_string(), pa.py_buffer(offsets), pa.py_buffer(text[text != 0])
+        return pa.Array.from_buffers(kinds[0], len(stops) - 1, [None, *kinds[1:]]).cast(pa.string())
 
 
 @cache
-def _spelled() -> list[str]:
-    """Ids below 2**16 as decimals, each with each mark behind it."""
-    return [f"{i}{mark}" for i in range(1 << 16) for mark in (",", "|", ";", "")]
+def _spelled() -> tuple[np.ndarray, np.ndarray]:
+    """Ids below 2**16 as decimals, each with each mark behind it: eight bytes, zeros behind, and how many are none."""
+    spelled = np.array([f"{i}{mark}" for i in range(1 << 16) for mark in (",", "|", ";", "")], dtype="S8")
+    return spelled.view(np.uint64), np.strings.str_len(spelled)
 
 
 _KNOWN: dict[str, Vocabularies] = {}
@@ -163,11 +192,11 @@ def _kept(store: dict, key: str, make):
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u4") for x in column.to_pylist()]
+    return [np.frombuffer(x, dtype="<u2") for x in column.to_pylist()]
 
 
 def _slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of a few megabytes of ``columns``, one row at least."""
+    """``batch`` in slices of a megabyte or two of ``columns``, one row at least."""
     size = sum(_lengths(batch[c]) for c in columns)
     cut = np.flatnonzero(np.diff(np.cumsum(size) // RESULT_BYTES, prepend=0))
     for a, b in zip([0, *cut], [*cut, batch.num_rows]):
@@ -180,13 +209,13 @@ def _lengths(column: pa.Array) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, key: str, sent) -> DataFrame:
-    """row (a number of its own), doc_id, a, b (ids as little-endian 32 bits) of every row, written."""
+    """row (a number of its own), doc_id, a, b (ids as little-endian 16 bits) of every row, written."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _kept(_KNOWN, key, lambda: Vocabularies(*sent.value))
         for batch in nonempty(batches):
             for some in _slices(batch, ("text",)):
-                pairs = [known.encode(t) for t in texts(some["text"])]
+                pairs = [[x.astype("<u2").tobytes() for x in both] for both in known.ids(texts(some["text"]))]
                 a, b = (pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1))
                 columns = {"doc_id": some["doc_id"], "a": a, "b": b}
                 yield pa.record_batch(columns)
@@ -352,13 +381,13 @@ def looked_up(tokens: DataFrame, rows: list, shards: int, most: np.ndarray, size
             for some in _slices(batch, ("a", "b")):
                 aligned = Aligned(sizes.value, _ids(some["a"]), _ids(some["b"]))
                 found = counts[table.find(aligned.pairs)]
-                top = (found > 0) & (found == best[aligned.b[aligned.at_b]])
+                top = (found > 0) & (found == best[aligned.link_b])
                 columns = {
                     "n_a": np.diff(aligned.texts_a), "n_b": np.diff(aligned.texts_b), "n_groups": np.diff(aligned.groups),
                     "n_links": np.diff(aligned.links), "n_best": aligned.sums(top), "count_sum": aligned.sums(found),
                 }
                 columns = {n: pa.array(v, pa.int64()) for n, v in columns.items()}
-                yield pa.record_batch({"row": some["row"], "doc_id": some["doc_id"], **columns, "groups": pa.array(aligned.spelled(), pa.string())})
+                yield pa.record_batch({"row": some["row"], "doc_id": some["doc_id"], **columns, "groups": aligned.spelled()})
 
     names = ", ".join(f"{n} long" for n in ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))
     return tokens.select("row", "doc_id", "a", "b").mapInArrow(look, f"{names}, groups string")
@@ -375,7 +404,7 @@ def align(docs: DataFrame, byte_level: str, pattern: str, pieces: str, shard: in
     with open(byte_level, encoding="utf-8") as file, open(pieces, "rb") as model:
         contents = file.read(), pattern, model.read()
     known = Vocabularies(*contents).sizes
-    if len(known[0]) > len(_spelled()) // 4 or len(known[1]) > len(_spelled()) // 4:
+    if max(map(len, known)) > 1 << 16:
         raise ValueError("ids of more than 16 bits")
     sizes, n_b = spark.sparkContext.broadcast(known), len(known[1])
     tokens = tokenized(docs, uuid.uuid4().hex, spark.sparkContext.broadcast(contents))

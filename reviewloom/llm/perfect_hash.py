@@ -15,6 +15,8 @@ import numpy as np
 #: Bits for a key at each level, in 64-bit words that hold them, and levels at most: each key that is left
 #: finds a place of its own with a chance above a half.
 SPACE, LEVELS = 2, 48
+#: Bits of a remembered key's place: the last key of each place is found without its levels.
+PLACES = 16
 
 
 def mixed(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -81,12 +83,27 @@ class Table:
         self.before = np.cumsum(counts) - counts
         self.key = np.concatenate([np.zeros(0, np.int64), *self.keys])
         self.starts = np.cumsum([0, *map(len, self.keys)])
+        # At first every place remembers the key of index 0; of no keys, none is ever found.
+        self.known = np.full(1 << PLACES, self.key[0] if len(self.key) else 0, dtype=np.int64)
+        self.index = np.full(1 << PLACES, 0 if len(self.key) else -1, dtype=np.int64)
 
     def __len__(self) -> int:
         return len(self.key)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The index of each key, -1 for one that isn't here."""
+        place = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACES)).astype(np.int64)
+        found = self.index[place]
+        new = np.flatnonzero(self.known[place] != keys)
+        if len(new):
+            place, keys = place[new], keys[new]
+            found[new] = index = self._searched(keys)
+            self.known[place] = keys
+            kept = self.known[place] == keys  # of several keys at one place, one is kept
+            self.index[place[kept]] = index[kept]
+        return found
+
+    def _searched(self, keys: np.ndarray) -> np.ndarray:
         found = np.full(len(keys), -1, dtype=np.int64)
         left, shard = np.arange(len(keys)), shard_of(keys, self.shards)
         for level in range(self.first.shape[1]):

@@ -133,6 +133,30 @@ def test_perfect_hash():
         perfect_hash.built(np.array([7, 7]))
 
 
+def test_remembered_pairs_are_not_searched_again(monkeypatch):
+    r = np.random.default_rng(6)
+    keys = np.unique(r.integers(0, 1 << 40, 40))
+    parts = [[x] for x in perfect_hash.built(keys)]
+    asked = r.choice(np.append(keys, [0, 5, 1 << 41]), 4000)
+    place = {int(k): i for i, k in enumerate(parts[2][0])}
+    want = [place.get(int(k), -1) for k in asked]
+    for bits in (1, 16):  # many keys at one place, and each at its own
+        monkeypatch.setattr(perfect_hash, "PLACES", bits)
+        table = perfect_hash.Table(1, [0], *parts)
+        assert all(table.find(asked[i : i + 700]).tolist() == want[i : i + 700] for i in range(0, 4000, 700))
+    assert perfect_hash.Table(1, [], [], [], []).find(np.array([0, 7])).tolist() == [-1, -1]
+    monkeypatch.setattr(perfect_hash.Table, "_searched", None)
+    assert table.find(asked).tolist() == want
+
+
+def test_written_ids_take_two_bytes(spark, documents):
+    with open(A, encoding="utf-8") as a, open(B, "rb") as b:
+        sent = spark.sparkContext.broadcast((a.read(), public_tokenizers.PATTERN, b.read()))
+    rows = [(i, t) for i, t in enumerate(ODD) if t]
+    got = {r.doc_id: (np.frombuffer(r.a, "<u2").tolist(), np.frombuffer(r.b, "<u2").tolist()) for r in alignment.tokenized(documents(rows), "two bytes", sent).collect()}
+    assert got == {i: tuple([n for n, _ in x] for x in tokens(t)) for i, t in rows}
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     digest = lambda g: hashlib.sha256(g.encode()).hexdigest() if g else ""
